@@ -105,7 +105,7 @@ class Model:
         if text is None or not self.names or not _LETTER.search(text):
             return UNKNOWN, 0.0
         n = counts(text.lower())
-        at = np.flatnonzero(n)
+        at = np.flatnonzero(n > 0)
         at, v = self._scale(at, n[at])
         u = (v @ self.w[at] + self.bias) / self.temperature
         p = np.exp(u - u.max())
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, trained: int = TRAINED) -> Model:
                 rows = []
                 for t in c.column(2):
                     m = counts(t.as_py().lower())
-                    at = np.flatnonzero(m)
+                    at = np.flatnonzero(m > 0)
                     rows.append(np.c_[at, m[at]].astype("<u4").tobytes())
                 yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(rows, pa.binary())], ["id", "lang", "row"])
 

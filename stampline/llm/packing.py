@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from struct import pack
+from unicodedata import normalize
 from zlib import crc32
 
 import numpy as np
@@ -29,27 +31,53 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.punctuation = Tokenizer.from_file(file), {}, {}
+        self.tokenizer, self.known = Tokenizer.from_file(file), {}
+        self.model = self.tokenizer.model
+        # the byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for the characters from 256 on
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        self.alphabet = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [np.asarray(e.ids, "<u4").tobytes() for e in encode(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+    def _word(self, word: str) -> bytes | None:
+        """Ids of a word of letters, which is one pre-token: normalised, in bytes' characters, straight through the merges. None if
+        it has other characters once it is normalised."""
+        if word.isascii():
+            word = word.lower()
+        else:
+            word = "".join(c.lower() for c in normalize("NFC", word))
+            if not word.isalpha():
+                return None
+            word = word.encode().decode("latin-1").translate(self.alphabet)
+        ids = [t.id for t in self.model.tokenize(word)]
+        return pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, new: set[str]) -> None:
+        """Encode chunks that are not known; words of letters take the short way."""
         known = self.known
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+        # a word of letters with one mark after it is two pre-tokens
+        ends = {c for c in new if len(c) > 1 and c[-1] in ".,;:!?)|" and c[:-1].isalpha()}
+        need = (new - ends) | {p for c in ends for p in (c[:-1], c[-1]) if p not in known}
+        known.update((c, ids) for c in need if c.isalpha() and (ids := self._word(c)) is not None)
+        rest = [c for c in need if c not in known]
+        known.update(zip(rest, self._ids(rest), strict=True))
+        known.update((c, known[c[:-1]] + known[c[-1]]) for c in ends)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         # x1C to x1F are white space for str.split() and not for the tokenizer
         odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
         # the special tokens' own strings are found before lower-casing
         chunks = [[] if o else t.lower().split() if t.isascii() and "<|" not in t else t.split() for t, o in zip(texts, odd, strict=True)]
-        new = set().union(*chunks).difference(known)
-        # a word of letters with one mark after it is two pre-tokens
-        ends = {c for c in new if not c[-1].isalnum() and c[:-1].isalpha() and len(c) > 1 and c[-1] in ".,;:!?)|"}
-        need = list((new - ends) | {c[:-1] for c in ends if c[:-1] not in known} | {c[-1] for c in ends if c[-1] not in known})
-        known.update(zip(need, self._ids(need), strict=True))
-        known.update((c, known[c[:-1]] + known[c[-1]]) for c in ends)
-        return [self._ids([t])[0] if o else b"".join(map(known.__getitem__, c)) for t, c, o in zip(texts, chunks, odd, strict=True)]
+        found = [list(map(self.known.get, c)) for c in chunks]
+        new = {c for cs, f in zip(chunks, found, strict=True) if None in f for c, x in zip(cs, f, strict=True) if x is None}
+        if new:
+            self._learn(new | {c for cs in chunks for c in cs} if len(self.known) + len(new) > REMEMBERED else new)
+            found = [list(map(self.known.__getitem__, c)) if None in f else f for c, f in zip(chunks, found, strict=True)]
+        return [self._ids([t])[0] if o else b"".join(f) for t, f, o in zip(texts, found, odd, strict=True)]
 
 
 def pieces(docs: DataFrame, file: str, length: int = LENGTH) -> DataFrame:
@@ -141,7 +169,7 @@ def _packer(capacity: int, r: int, last: bool) -> Callable[[pd.DataFrame], pd.Da
 _SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, open boolean"
 
 
-def pack(pieces_: DataFrame, capacity: int = LENGTH, per_partition: int = PIECES, rounds: int = ROUNDS) -> DataFrame:
+def pack_pieces(pieces_: DataFrame, capacity: int = LENGTH, per_partition: int = PIECES, rounds: int = ROUNDS) -> DataFrame:
     """The pieces with sequence_id and offset. Pieces are dealt by a hash into partitions of about ``per_partition``; each runs best-fit
     decreasing and compares its sequences with its lower bound. A certified partition releases only its emptiest
     sequence, one with a gap all sequences that are not full; what is released is dealt anew among fewer partitions and
@@ -174,4 +202,4 @@ def pack_documents(docs: DataFrame, file: str, length: int = LENGTH) -> DataFram
     Null and empty texts are one piece of the end id. Null doc_id and repeated rows are packed like any other. Ties are broken by
     id and piece. Other columns are not read; an empty table gives no rows.
     """
-    return pack(table(pieces(docs, file, length), "pieces"), length)
+    return pack_pieces(table(pieces(docs, file, length), "pieces"), length)

@@ -22,7 +22,7 @@ THRESHOLD = 0.3
 
 def indicator(text: str | None) -> np.ndarray:
     """Sorted buckets of the n-grams that occur in the whole text."""
-    return np.flatnonzero(counts(text or ""))
+    return np.flatnonzero(counts(text or "") > 0)
 
 
 def log_ratio(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:

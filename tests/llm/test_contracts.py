@@ -197,7 +197,7 @@ def test_packing(spark, docs, rows):
     assert len(full) <= packing.lower_bound(np.array([x[3] for x in want])) + 1
     assert packing.pack_documents(docs.limit(0), file).count() == 0
     encoder = packing.Encoder(file)
-    hard = ["don't <|ENDOFTEXT|> <|endoftext|>x it's,", "a\x1cb \x85 c　D", "Ünï ÉCOLE ét Σας ΣΑΣ İx", "x." * 5 + " ,,. 12a ab1, _a_ "]
+    hard = ["don't <|ENDOFTEXT|> <|endoftext|>x it's,", "a\x1cb \x85 c　D", "Ünï ÉCOLE ét Σας ΣΑΣ İx", "x." * 5 + " ,,. 12a ab1, _a_ ", "e\u0301cole \ufb01n ǅ ß ﬀ 漢字 हिन्दी ſ K Å, don't I'LL"]
     assert encoder.encode(hard) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in hard]
 
 
@@ -210,7 +210,7 @@ def test_packing_bounds_and_exchange(spark):
 
 def packed_within(spark, sizes, most):
     frame = spark.createDataFrame([(i, 0, 0, int(s), 0) for i, s in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
-    got = packing.pack(frame, per_partition=300).collect()
+    got = packing.pack_pieces(frame, per_partition=300).collect()
     assert len(got) == 4000
     used = Counter()
     for r in got:
