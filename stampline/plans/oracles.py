@@ -1 +1,151 @@
-ORACLE_SQL: dict = {}
+"""DuckDB SQL that says the same as the registered queries."""
+
+from __future__ import annotations
+
+WORDS = r"""words as (select file_id, pos, word, e - dur as "start", e as "end" from (
+ select *, (sum(gap + dur) over (partition by file_id order by pos rows unbounded preceding))::bigint as e from (
+  select file_id, pos, word, case when (file_id * 31 + pos * 17) % 13 = 0 then 700 else 80 end as gap,
+   case when (file_id + pos) % 41 = 0 then 6000 else 200 + 50 * (length(word) % 4) end as dur
+  from (select doc_id as file_id, unnest(ws) as word, unnest(range(len(ws)))::bigint as pos
+   from (select doc_id, list_filter(string_split_regex(text, '[ \n\t\r]+'), lambda x: x <> '') as ws from documents)))))"""
+FILES = """files as (select doc_id as file_id, source || '_' || doc_id || case when doc_id % 5 = 0 then '.mp4' else '.wav' end as name,
+ doc_id % 5 = 0 as is_video, duration from documents left join (select file_id as f, max("end") as duration from words group by 1) on f = doc_id)"""
+CLAMPED = r"""clamped as (select file_id, pos, word, "start" as raw, s, case when l then least(g, s + 2000) else g end as e, fin from (
+ select *, case when l then greatest("start", g - 2000) else "start" end as s from (
+  select *, greatest("start", "end") as g, greatest("start", "end") - "start" > 2000 as l, regexp_matches(word, '[.?!。？！]\s*$') as fin from words))),
+hp as (select file_id, bool_or(fin) as hp from clamped group by 1)"""
+
+
+def _raw(words: int, most: int) -> str:
+    return f"""with recursive {WORDS}, {CLAMPED},
+fold as (
+ select c.file_id, c.pos, c.word, c.e, 0 as seg, c.raw as sstart,
+  case when cl then 1 else 0 end as nseg, case when cl then c.e else c.raw end as nstart, case when cl then 0 else 1 end as n
+ from (select *, (hp and fin) or e - raw > {most} or (not hp and 1 >= {words}) as cl from clamped join hp using (file_id) where pos = 0) c
+ union all
+ select file_id, pos, word, e, case when gap then nseg + 1 else nseg end, case when gap then s else nstart end,
+  case when gap or cl then nseg + 1 else nseg end, case when gap then s when cl then e else nstart end, case when gap then 1 when cl then 0 else n + 1 end
+ from (select c.file_id, c.pos, c.word, c.s, c.e, f.nseg, f.nstart, f.n, f.n > 0 and c.s - f.e >= 500 as gap,
+   (hp and fin) or c.e - f.nstart > {most} or (not hp and f.n + 1 >= {words}) as cl
+  from fold f join clamped c on c.file_id = f.file_id and c.pos = f.pos + 1 join hp on hp.file_id = c.file_id)),
+raw as (select file_id, seg as seg_no, min(sstart) as "start", arg_max(e, pos) as "end", count(*) as n_words, string_agg(word, ' ' order by pos) as text from fold group by 1, 2)"""
+
+
+_MERGED = r""",
+orphans as (
+ select file_id, seg_no, "start", "end", n_words, text, 0 as grp, "end" as gend, regexp_matches(text, '[.?!。？！]\s*$') as fin from raw where seg_no = 0
+ union all
+ select file_id, seg_no, "start", "end", n_words, text, case when j then grp else grp + 1 end, case when j then greatest(gend, "end") else "end" end, f2
+ from (select r.*, o.grp, o.gend, r.n_words <= 2 and r."start" - o.gend <= 500 and not o.fin as j, regexp_matches(r.text, '[.?!。？！]\s*$') as f2
+  from orphans o join raw r on r.file_id = o.file_id and r.seg_no = o.seg_no + 1)),
+merged as (select file_id, grp as seg_no, arg_min("start", seg_no) as "start", arg_max(gend, seg_no) as "end", sum(n_words)::bigint as n_words, string_agg(text, ' ' order by seg_no) as text from orphans group by 1, 2),
+final as (select file_id, seg_no, "start", greatest("start", least(greatest("start", "end"), coalesce(nx, greatest("start", "end")))) as "end", n_words, text
+ from (select *, lead("start") over (partition by file_id order by seg_no) as nx from merged) where regexp_matches(text, '\S'))"""
+_SEG = 'select file_id, seg_no::int as seg_no, "start", "end", n_words::int as n_words, text from '
+
+
+def _srt(ms: str) -> str:
+    return f"printf('%02d:%02d:%02d,%03d', (({ms}) // 3600000)::bigint, (({ms}) % 3600000 // 60000)::bigint, (({ms}) % 60000 // 1000)::bigint, (({ms}) % 1000)::bigint)"
+
+
+def _txt(ms: str) -> str:
+    return f"printf('[%02d:%02d:%02d]', (({ms}) // 3600000)::bigint, (({ms}) % 3600000 // 60000)::bigint, (({ms}) % 60000 // 1000)::bigint)"
+
+
+def _xmys(ms: str) -> str:
+    return f"printf('%dm %ds', (({ms}) // 60000)::bigint, (({ms}) % 60000 // 1000)::bigint)"
+
+
+def _sec(ms: str) -> str:
+    return f"printf('%d.%03d', (({ms}) // 1000)::bigint, (({ms}) % 1000)::bigint)"
+
+
+def _quoted(x: str) -> str:
+    return f"""'"' || replace({x}, '"', '""') || '"'"""
+
+
+def _csv(start: str, end: str, text: str) -> str:
+    return f"{_sec(start)} || ',' || {_sec(end)} || ',' || {_sec(f'({end}) - ({start})')} || ',' || {_quoted(text)}"
+
+
+def _block(no: str, start: str, end: str, text: str) -> str:
+    return f"({no}) || chr(10) || {_srt(start)} || ' --> ' || {_srt(end)} || chr(10) || {text} || chr(10)"
+
+
+_COUNT = r"len(list_filter(string_split_regex({0}, '\s+'), lambda x: x <> ''))"
+_CHUNK, _OVER = 30000, 2000
+_MEMBERS = f"""members as (select *, k * {_CHUNK} as cs, greatest(k * {_CHUNK} - {_OVER}, 0) as rd from (
+ select *, unnest(range(lo, greatest(hi, lo) + 1)) as k from (
+  select *, greatest(floor(("start" - {_OVER}) / {_CHUNK}), 0)::bigint as lo, floor(("end" + {_OVER}) / {_CHUNK})::bigint as hi from words))
+ where "end" > k * {_CHUNK} - {_OVER} and "start" < k * {_CHUNK} + {_CHUNK} + {_OVER})"""
+_SHIFTED = """shifted as (select file_id, k as chunk_no, pos, word, cs, s as "start", greatest(s, e - l + cs) as "end" from (
+ select *, greatest(greatest(b, l) - l + cs, 0) as s from (select *, "start" - rd as b, "end" - rd as e, cs - rd as l from members)) where e > l)"""
+_RESULTS = f"""results as (select file_id, name, is_video, duration, error is null as ok, error,
+  case when error is null then said else '[Transcription failed: ' || error || ']' end as text, case when error is null then {_COUNT.format('said')} else 0 end::bigint as n_words
+ from (select files.*, said, case when f is null then 'no result' when said = '' then 'empty text' end as error from files
+  left join (select doc_id as f, case when doc_id % 17 = 0 then '' else text end as said from documents where doc_id % 23 <> 0) on f = file_id))"""
+_TALKS = """talks as (select conv_id as file_id, 'talk_' || conv_id || '.wav' as name, count(*) * 3000 as duration,
+  case when conv_id % 17 = 0 then '[Transcription failed: no result]' else arg_min(text, turn) end as text from conversations group by conv_id),
+stamps as (select conv_id as file_id, turn as pos, turn * 3000 as "start", turn * 3000 + 2500 as "end", text from conversations where conv_id % 5 <> 0)"""
+_GOOD = "not starts_with(text, '[Transcription failed: ')"
+_CATALOG = """status as (select choice, c.filename, min_size_gb, size_gb is not null as "exists", coalesce(size_gb, 0.0)::double as size_gb, coalesce(size_gb, 0.0) >= min_size_gb as valid
+ from (values ('1', 'fast.bin', 2.0::double), ('2', 'large.bin', 4.0), ('3', 'large-v2.bin', 4.5), ('4', 'fast-ctc.bin', 4.5)) c(choice, filename, min_size_gb)
+ left join (values ('fast.bin', 2.4::double), ('large.bin', 3.5), ('other.bin', 9.0)) l(filename, size_gb) on l.filename = c.filename)"""
+_GAPS = """select file_id, count(*) as n_words, count(*) filter (gap >= {0}) as n_gaps, coalesce(max(gap), 0) as longest_gap
+ from (select *, "start" - lag("end") over (partition by file_id order by pos) as gap from words) group by 1"""
+
+ORACLE_SQL: dict[str, str] = {
+    "word_stream": f'with {WORDS} select file_id, pos, word, "start", "end" from words',
+    "word_clamp": f"with {WORDS}, {CLAMPED} select file_id, pos, s, e from clamped",
+    "sentence_flags": f"with {WORDS}, {CLAMPED} select file_id, count(*) as n_words, count(*) filter (fin) as n_final, bool_or(fin) as punctuated from clamped group by 1",
+    "silence_gaps": f"with {WORDS} {_GAPS.format(500)}",
+    "event_gaps": 'with words as (select user_id as file_id, epoch_us(ts) // 1000 as "start", epoch_us(ts) // 1000 as "end", row_number() over (partition by user_id order by ts, event_id) as pos from events) ' + _GAPS.format(6 * 3600 * 1000),
+    "time_formats": f"with {WORDS}, {FILES} select file_id, {_srt('duration')} as srt, {_txt('duration')} as txt, {_xmys('duration')} as xm_ys, "
+    "printf('%02d:%02d:%02d,%03d', floor(s / 3600)::bigint, floor((s % 3600) / 60)::bigint, floor(s % 60)::bigint, floor((s % 1) * 1000)::bigint) as srt_of_seconds from (select *, duration::double / 1000 as s from files) where duration is not null",
+    "segments_raw_srt": _raw(8, 5000) + _SEG + "raw",
+    "segments_raw_txt": _raw(12, 8000) + _SEG + "raw",
+    "segments_merged": _raw(8, 5000) + _MERGED + _SEG + "merged",
+    "segments_final": _raw(8, 5000) + _MERGED + _SEG + "final",
+    "srt_cues_single": _raw(8, 5000) + _MERGED + f"""select file_id, cue_no, {_block('cue_no', '"start"', '"end"', 'text')} as cue from (select *, row_number() over (partition by file_id order by seg_no)::int as cue_no from final)""",
+    "srt_estimated": f"select doc_id as file_id, {_block('1', '0', 'est', 'said')} as cue from (select doc_id, said, (greatest(5.0, {_COUNT.format('said')} / 2.5) * 1000)::bigint as est from (select doc_id, case when doc_id % 17 = 0 then '' else text end as said from documents))",
+    "csv_rows": f"""with {WORDS} select file_id, pos, {_csv('"start"', '"end"', 'word')} as line from words""",
+    "txt_lines": _raw(12, 8000) + _MERGED + f"""select file_id, seg_no::int as seg_no, {_txt('"start"')} || ' ' || text as line from final""",
+    "batch_srt": f"""with {_TALKS}, parts as (select file_id, 0 as cue_no, 0 as "start", 2000 as "end", '[FILE: ' || name || ']' as text from talks where {_GOOD}
+ union all select s.file_id, s.pos + 1, s."start", s."end", s.text from stamps s join talks t on t.file_id = s.file_id where not starts_with(t.text, '[Transcription failed: '))
+ select no, file_id, {_block('no', '"start"', '"end"', 'text')} as cue from (select *, row_number() over (order by file_id, cue_no) as no from parts)""",
+    "batch_csv": f"""with {_TALKS} select file_id, pos, {_quoted('name')} || ',' || {_csv('st', 'en', 'text')} as line from (
+ select t.file_id, t.name, coalesce(s.pos, 0) as pos, case when s.pos is null then 0 else s."start" end as st, case when s.pos is null then t.duration else s."end" end as en,
+  case when s.pos is null then t.text else s.text end as text from talks t left join stamps s on s.file_id = t.file_id where not starts_with(t.text, '[Transcription failed: '))""",
+    "batch_txt": f"""with {_TALKS} select file_id, 0 as part, 0::bigint as pos, chr(10) || 'FILE ' || (file_id + 1) || ': ' || name || chr(10) || 'Duration: ' || {_xmys('duration')} || chr(10) || repeat('=', 60) || chr(10) as line from talks
+ union all select file_id, 1, pos, {_txt('"start"')} || ' ' || text from stamps""",
+    "chunk_plan": f"""with {WORDS}, {FILES} select file_id, k as chunk_no, cs as chunk_start, ce as chunk_end, greatest(cs - {_OVER}, 0) as read_start, least(ce + {_OVER}, duration) as read_end, cs - greatest(cs - {_OVER}, 0) as left_ctx
+ from (select *, k * {_CHUNK} as cs, least(k * {_CHUNK} + {_CHUNK}, duration) as ce from (select *, unnest(range(ceil(duration / {_CHUNK})::bigint)) as k from files where duration > 0))""",
+    "chunk_membership": f"with {WORDS}, {_MEMBERS} select file_id, k as chunk_no, count(*) as n_words, min(pos) as first_pos, max(pos) as last_pos from members group by 1, 2",
+    "overlap_shift_reference": f'with {WORDS}, {_MEMBERS}, {_SHIFTED} select file_id, chunk_no, pos, "start", "end" from shifted',
+    "overlap_shift_dedup": f'with {WORDS}, {_MEMBERS}, {_SHIFTED} select file_id, chunk_no, pos, "start", "end" from shifted where "start" < cs + {_CHUNK}',
+    "chunk_text": f"with {WORDS}, {_MEMBERS}, {_SHIFTED} select file_id, chunk_no, count(*) as n_words, string_agg(word, ' ' order by pos) as text from shifted group by 1, 2",
+    "merged_text": f"with {WORDS}, {_MEMBERS}, {_SHIFTED}, t as (select file_id, chunk_no, string_agg(word, ' ' order by pos) as text from shifted group by 1, 2) select file_id, count(*) as n_chunks, string_agg(text, ' ' order by chunk_no) as text from t group by 1",
+    "long_routing": f"with {WORDS}, {FILES} select file_id, duration, coalesce(duration, 0) > 150000 as is_long, (select coalesce(max(duration > 150000), false) from files) as batch_chunked from files",
+    "level_fallback": "select doc_id, level, case when doc_id % 11 = 0 then 'disabled' when level = 'none' then 'requested, not available' else level || '-level' end as status from (select doc_id, case when doc_id % 11 = 0 or length(text) % 7 = 0 then 'none' when doc_id % 2 <> 0 then 'word' when doc_id % 3 <> 0 then 'segment' when doc_id % 5 <> 0 then 'char' else 'none' end as level from documents)",
+    "chunk_level": "select doc_id as file_id, c as was_chunked, case when c and doc_id % 2 = 0 then 'word' when c then 'segment' when doc_id % 2 = 0 then 'char' else 'none' end as level from (select doc_id, doc_id % 3 = 0 and regexp_matches(text, '[^ \\n\\t\\r]') as c from documents)",
+    "attempt_choice": "select user_id, event_type, min(event_id) as attempt, true as ok from events where value > 50 group by 1, 2",
+    "hypothesis_validation": f"with {WORDS}, {FILES}, {_RESULTS} select file_id, ok, error, text, starts_with(text, '[Transcription failed: ') as failed from results",
+    "batch_stats": f"with {WORDS}, {FILES}, {_RESULTS} select count(*) as n_files, count(*) filter (ok) as n_ok, count(*) filter (not ok) as n_failed, count(*) filter (is_video) as n_videos, coalesce(sum(n_words), 0)::bigint as n_words, coalesce(sum(duration), 0)::bigint as duration from results",
+    "per_file_stats": f"with {WORDS}, {FILES}, {_RESULTS} select file_id, name, duration, n_words, round(case when file_id % 7 > 0 then (duration::double / 1000) / (file_id % 7) else 0 end, 6) as rtf from results",
+    "status_lines": f"with {WORDS}, {FILES}, {_RESULTS} select file_id, '**' || file_id || '. ' || name || '** (' || case when is_video then 'video' else 'audio' end || ')' || case when ok then ': ' || {_xmys('duration')} || ', ' || n_words || ' words' else ': ❌ Failed: ' || error end as line from results",
+    "combined_text": f"with {WORDS}, {FILES}, {_RESULTS} select file_id, chr(10) || '=== ' || name || ' ===' || chr(10) || chr(10) || text || chr(10) as block from results",
+    "duration_validity": "select doc_id, case when d < 0.1 then 'too_short' when d > 86400 then 'too_long' end as error from (select doc_id, (length(text) * doc_id % 1000000)::double / 10 as d from documents)",
+    "energy_validity": "select label, round(most, 6) as most, case when most < 0.001 then 'silent' when most < 0.01 then 'warning' else 'ok' end as state, case when least_ < 0.001 then 'silent' when least_ < 0.01 then 'warning' else 'ok' end as least_state from (select label, max(e) as most, min(e) as least_ from (select label, sqrt(list_sum(list_transform(embedding, lambda x: (x::double / (vec_id % 4 * 200 + 1)) * (x::double / (vec_id % 4 * 200 + 1)))) / len(embedding)) as e from embeddings) group by 1)",
+    "media_type": f"with {WORDS}, {FILES} select file_id, name, lower(regexp_extract(name, '\\.([^.]+)$', 1)) in ('mp4', 'avi', 'mov', 'mkv', 'webm', 'flv', 'm4v') as video from (select file_id, name from files union all select page_id, url from pages)",
+    "media_totals": f"with {WORDS}, {FILES} select sum(duration)::bigint as duration, count(*) filter (is_video) as videos from files",
+    "cache_key": "select page_id, substr(sha256(url), 1, 16) || '_' || list_extract(string_split(url, '/'), -1) as cache_key from pages",
+    "model_choice": "select * from (values (0, 'large-v2'), (1, 'large'), (2, 'fast-ctc'), (3, 'fast'), (4, 'fast'), (5, 'fast')) v(id, model)",
+    "model_status": f'with {_CATALOG} select choice, filename, min_size_gb, "exists", size_gb, valid from status',
+    "load_decision": f"""with {_CATALOG} select choice, case when "exists" then 'local' else 'hub' end as load_from from status""",
+    "model_totals": f'with {_CATALOG} select count(*) filter ("exists") as downloaded, sum(size_gb) as total_gb from status',
+    "itn_word_chunks": r"select doc_id, i::int as no, array_to_string(ws[i * 50 + 1 : i * 50 + 50], ' ') as chunk from (select doc_id, ws, unnest(range((len(ws) + 49) // 50)) as i from (select doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') as ws from documents))",
+    "sentence_split": r"select doc_id, unnest(range(len(ss)))::int as no, unnest(ss) as sentence from (select doc_id, list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') as ss from documents)",
+    "itn_modes": "select mode, checked, mode in ('per_chunk', 'both') as long_chunk, mode in ('final_pass', 'both') as single_final, mode <> 'disabled' and checked as short_batch, false as long_batch_final, checked as header from (values ('per_chunk'), ('final_pass'), ('both'), ('disabled')) m(mode), (values (true), (false)) c(checked)",
+    "retry_schedule": "select tries, 0.5::double as base, attempt, 0.5::double * attempt as wait, sum(0.5::double * attempt) over (partition by tries) as total from (values (6), (4)) p(tries), (values (1), (2), (3), (4), (5)) a(attempt) where attempt < tries",
+    "error_category": "select id, message like '%WinError 32%' or message like '%being used by another process%' as lock, kind, case when kind = 'load_failed' then 'Loading failed' else 'Format not supported' end as title from (select *, case when message like '%Audio file%' or message like '%NoBackendError%' then 'load_failed' when message like '%Format%' or message like '%codec%' then 'unsupported_format' else 'load_failed' end as kind from (values (0, 'WinError 32: busy'), (1, 'it is being used by another process'), (2, 'disk full'), (3, 'Audio file Format wrong'), (4, 'NoBackendError'), (5, 'Format'), (6, 'bad codec')) v(id, message))",
+}

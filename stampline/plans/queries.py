@@ -1 +1,328 @@
-QUERIES: dict = {}
+"""The registered queries, one or more for each operator, over the driver's tables. Times are whole milliseconds."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalar, validate
+from ..operators import batch, chunks, itn, levels, render, segment
+from ..settings import DEFAULT, Settings
+from ..sources import adapters, media
+from ..sources.adapters import read
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: Documents are minutes long, so the queries on chunks use short ones.
+SHORT = Settings(chunk=30.0)
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", "text", "source")
+
+
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    return adapters.words(_docs(spark, d))
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    return adapters.files(_docs(spark, d))
+
+
+def _results(spark: SparkSession, d: str) -> DataFrame:
+    """Every 23rd file has no hypothesis at all."""
+    said = adapters.hypotheses(_docs(spark, d)).filter("file_id % 23 <> 0")
+    return batch.results(_files(spark, d), said)
+
+
+@query
+def word_stream(spark, d):
+    return _words(spark, d)
+
+
+@query
+def word_clamp(spark, d):
+    start, end = scalar.clamp(F.col("start"), F.col("end"), F.lit(int(DEFAULT.max_word * 1000)).cast("long"))
+    return _words(spark, d).select("file_id", "pos", start.alias("s"), end.alias("e"))
+
+
+@query
+def sentence_flags(spark, d):
+    final = scalar.ends_sentence(F.col("word"))
+    return _words(spark, d).groupBy("file_id").agg(F.count(F.lit(1)).alias("n_words"), F.count_if(final).alias("n_final"), F.max(final).alias("punctuated"))
+
+
+@query
+def silence_gaps(spark, d):
+    return segment.silence_gaps(_words(spark, d), int(DEFAULT.silence * 1000))
+
+
+@query
+def event_gaps(spark, d):
+    events = read(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
+    return segment.silence_gaps(adapters.event_words(events), 6 * 3600 * 1000)
+
+
+@query
+def time_formats(spark, d):
+    ms = F.col("duration")
+    return _files(spark, d).filter("duration is not null").select("file_id", scalar.srt_time_ms(ms).alias("srt"), scalar.txt_time_ms(ms).alias("txt"), scalar.minutes_seconds(ms).alias("xm_ys"), scalar.srt_time(ms / 1000).alias("srt_of_seconds"))
+
+
+@query
+def segments_raw_srt(spark, d):
+    return segment.segments(_words(spark, d), merge=False)
+
+
+@query
+def segments_raw_txt(spark, d):
+    return segment.segments(_words(spark, d), txt=True, merge=False)
+
+
+@query
+def segments_merged(spark, d):
+    return segment.segments(_words(spark, d))
+
+
+@query
+def segments_final(spark, d):
+    return segment.cues(_words(spark, d))
+
+
+@query
+def srt_cues_single(spark, d):
+    return render.srt(segment.cues(_words(spark, d)))
+
+
+@query
+def srt_estimated(spark, d):
+    return render.srt_estimated(adapters.hypotheses(_docs(spark, d)))
+
+
+@query
+def csv_rows(spark, d):
+    return _words(spark, d).select("file_id", "pos", render.csv_line(F.col("start"), F.col("end"), F.col("word")).alias("line"))
+
+
+@query
+def txt_lines(spark, d):
+    return render.txt_lines(segment.cues(_words(spark, d), txt=True))
+
+
+def _talks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Conversations as files (every 17th failed, every 5th without stamps) and their turns as stamps."""
+    turns = read(spark, d, "conversations").select(F.col("conv_id").alias("file_id"), F.col("turn").alias("pos"), "text")
+    failed = validate.failure_text(F.lit("no result"))
+    files = turns.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("text", "pos").alias("first"))
+    text = F.when(F.col("file_id") % 17 == 0, failed).otherwise(F.col("first"))
+    files = files.select("file_id", F.concat(F.lit("talk_"), F.col("file_id").cast("string"), F.lit(".wav")).alias("name"), (F.col("n") * 3000).alias("duration"), text.alias("text"), (F.col("file_id") + 1).alias("file_no"))
+    stamps = turns.filter("file_id % 5 <> 0").select("file_id", "pos", (F.col("pos") * 3000).alias("start"), (F.col("pos") * 3000 + 2500).alias("end"), "text")
+    return files, stamps
+
+
+@query
+def batch_srt(spark, d):
+    files, stamps = _talks(spark, d)
+    return render.batch_srt(files, stamps.withColumnRenamed("pos", "cue_no"))
+
+
+@query
+def batch_csv(spark, d):
+    return render.batch_csv(*_talks(spark, d))
+
+
+@query
+def batch_txt(spark, d):
+    files, stamps = _talks(spark, d)
+    lines = stamps.select("file_id", "pos", F.concat(scalar.txt_time_ms(F.col("start")), F.lit(" "), "text").alias("line"))
+    return render.batch_txt(files, lines)
+
+
+@query
+def chunk_plan(spark, d):
+    return chunks.plan(_files(spark, d), SHORT)
+
+
+@query
+def chunk_membership(spark, d):
+    return chunks.members(_words(spark, d), SHORT).groupBy("file_id", "chunk_no").agg(F.count(F.lit(1)).alias("n_words"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+
+
+@query
+def overlap_shift_reference(spark, d):
+    return chunks.shift(chunks.raw_stamps(_words(spark, d), SHORT), SHORT).select("file_id", "chunk_no", "pos", "start", "end")
+
+
+@query
+def overlap_shift_dedup(spark, d):
+    return chunks.shift(chunks.raw_stamps(_words(spark, d), SHORT), SHORT, "dedup").select("file_id", "chunk_no", "pos", "start", "end")
+
+
+@query
+def chunk_text(spark, d):
+    return chunks.chunk_texts(chunks.shift(chunks.raw_stamps(_words(spark, d), SHORT), SHORT))
+
+
+@query
+def merged_text(spark, d):
+    return chunks.merge_texts(chunk_text(spark, d))
+
+
+@query
+def long_routing(spark, d):
+    return chunks.route(_files(spark, d))
+
+
+@query
+def level_fallback(spark, d):
+    counts = {n: F.when(F.col("doc_id") % k == 0, 0).otherwise(F.length("text") % 7) for n, k in (("word", 2), ("segment", 3), ("char", 5))}
+    wanted = F.col("doc_id") % 11 != 0
+    level = levels.level(counts, wanted)
+    return _docs(spark, d).select("doc_id", level.alias("level"), scalar.timestamp_status(wanted, level).alias("status"))
+
+
+@query
+def chunk_level(spark, d):
+    docs = _docs(spark, d)
+    files = docs.select(F.col("doc_id").alias("file_id"), F.when(F.col("doc_id") % 2 == 0, "char").otherwise("none").alias("level"))
+    stamps = adapters.words(docs.filter("doc_id % 3 = 0")).select("file_id", F.when(F.col("file_id") % 2 == 0, F.col("word")).alias("word"))
+    return levels.choose(files, stamps)
+
+
+@query
+def attempt_choice(spark, d):
+    events = read(spark, d, "events")
+    tries = events.select("user_id", "event_type", F.col("event_id").alias("attempt"), (F.col("value") > 50).alias("ok"), F.col("event_type").alias("mode"))
+    return chunks.choose_attempt(tries.select("user_id", "event_type", "attempt", "ok"), ["user_id", "event_type"])
+
+
+@query
+def hypothesis_validation(spark, d):
+    return _results(spark, d).select("file_id", "ok", "error", "text", validate.is_failure(F.col("text")).alias("failed"))
+
+
+@query
+def batch_stats(spark, d):
+    return batch.totals(_results(spark, d))
+
+
+@query
+def per_file_stats(spark, d):
+    seconds = F.col("file_id") % 7
+    return _results(spark, d).select("file_id", "name", "duration", "n_words", F.round(scalar.real_time_factor(F.col("duration") / 1000, seconds), 6).alias("rtf"))
+
+
+@query
+def status_lines(spark, d):
+    return batch.status_lines(_results(spark, d))
+
+
+@query
+def combined_text(spark, d):
+    return batch.combined(_results(spark, d))
+
+
+@query
+def duration_validity(spark, d):
+    tenths = F.length("text") * F.col("doc_id") % 1_000_000
+    return _docs(spark, d).select("doc_id", validate.duration_error(tenths.cast("double") / 10).alias("error"))
+
+
+@query
+def energy_validity(spark, d):
+    scaled = F.transform("embedding", lambda x: x.cast("double") / (F.col("vec_id") % 4 * 200 + 1))
+    frames = read(spark, d, "embeddings").select("label", scalar.rms(scaled).alias("energy"))
+    most = frames.groupBy("label").agg(F.max("energy").alias("most"), F.min("energy").alias("least"))
+    return most.select("label", F.round("most", 6).alias("most"), validate.energy_state(F.col("most")).alias("state"), validate.energy_state(F.col("least")).alias("least_state"))
+
+
+@query
+def media_type(spark, d):
+    return _files(spark, d).select("file_id", "name", scalar.is_video(F.col("name")).alias("video")).unionByName(read(spark, d, "pages").select(F.col("page_id").alias("file_id"), F.col("url").alias("name"), scalar.is_video(F.col("url")).alias("video")))
+
+
+@query
+def media_totals(spark, d):
+    return _files(spark, d).agg(F.sum("duration").alias("duration"), F.count_if("is_video").alias("videos"))
+
+
+@query
+def cache_key(spark, d):
+    name = F.element_at(F.split("url", "/"), -1)
+    return read(spark, d, "pages").select("page_id", scalar.cache_key(F.col("url"), name).alias("cache_key"))
+
+
+# Example catalogs; a user gives their own.
+CHOICES = [("Large 1B v2", "large-v2"), ("Large 1B", "large"), ("Fast CTC", "fast-ctc"), ("Fast", "fast")]
+CATALOG = [("1", "fast.bin", 2.0), ("2", "large.bin", 4.0), ("3", "large-v2.bin", 4.5), ("4", "fast-ctc.bin", 4.5)]
+LISTING = [("fast.bin", 2.4), ("large.bin", 3.5), ("other.bin", 9.0)]
+
+
+@query
+def model_choice(spark, d):
+    given = [(0, "Large 1B v2 (25 languages)"), (1, "Large 1B (4 languages)"), (2, "Fast CTC (PnC)"), (3, "Fast"), (4, "other"), (5, None)]
+    return spark.createDataFrame(given, "id int, label string").select("id", scalar.first_match(F.col("label"), CHOICES, "fast").alias("model"))
+
+
+def _status(spark: SparkSession) -> DataFrame:
+    return media.catalog_status(spark.createDataFrame(CATALOG, "choice string, filename string, min_size_gb double"), spark.createDataFrame(LISTING, "filename string, size_gb double"))
+
+
+@query
+def model_status(spark, d):
+    return _status(spark)
+
+
+@query
+def load_decision(spark, d):
+    return media.load_decision(_status(spark)).select("choice", "load_from")
+
+
+@query
+def model_totals(spark, d):
+    return media.catalog_totals(_status(spark))
+
+
+@query
+def itn_word_chunks(spark, d):
+    return _docs(spark, d).select("doc_id", F.posexplode(itn.word_chunks(F.col("text"))).alias("no", "chunk"))
+
+
+@query
+def sentence_split(spark, d):
+    return _docs(spark, d).select("doc_id", F.posexplode(itn.sentences(F.col("text"))).alias("no", "sentence"))
+
+
+@query
+def itn_modes(spark, d):
+    rows = [(m, c) for m in ("per_chunk", "final_pass", "both", "disabled") for c in (True, False)]
+    frame = spark.createDataFrame(rows, "mode string, checked boolean")
+    return frame.select("mode", "checked", *(c.alias(n) for n, c in itn.modes(F.col("mode"), F.col("checked")).items()))
+
+
+@query
+def itn_apply(spark, d):
+    given = ["twenty twenty two", "one hundred dollars", "five point five percent", "it was three hundred and he left. Then two thousand five came.", "", "nothing here"]
+    return spark.createDataFrame(list(enumerate(given)), "id int, text string").select("id", itn.apply(F.col("text")).alias("text"))
+
+
+@query
+def retry_schedule(spark, d):
+    """Waits after each failed try: base * try, none after the last."""
+    plans = spark.createDataFrame([(6, 0.5), (4, 0.5)], "tries int, base double")
+    waits = plans.select("tries", "base", F.explode(F.sequence(F.lit(1), F.col("tries") - 1)).alias("attempt")).withColumn("wait", F.col("base") * F.col("attempt"))
+    return waits.withColumn("total", F.sum("wait").over(Window.partitionBy("tries")))
+
+
+@query
+def error_category(spark, d):
+    given = [(0, "WinError 32: busy"), (1, "it is being used by another process"), (2, "disk full"), (3, "Audio file Format wrong"), (4, "NoBackendError"), (5, "Format"), (6, "bad codec")]
+    kinds = {"load_failed": "Loading failed", "unsupported_format": "Format not supported"}
+    kind = validate.load_error_kind(F.col("message"))
+    return spark.createDataFrame(given, "id int, message string").select("id", validate.is_file_lock(F.col("message")).alias("lock"), kind.alias("kind"), scalar.lookup(kind, kinds, "Error").alias("title"))
