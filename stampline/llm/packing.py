@@ -4,8 +4,10 @@ above their bound exchange documents and run best-fit decreasing again."""
 from __future__ import annotations
 
 import os
+import sys
 from collections.abc import Callable, Iterator
 from struct import pack
+from types import ModuleType
 from unicodedata import normalize
 from zlib import crc32
 
@@ -80,17 +82,26 @@ class Encoder:
         return [self._ids([t])[0] if o else b"".join(f) for t, f, o in zip(texts, found, odd, strict=True)]
 
 
+def encoder(file: str) -> Encoder:
+    """The encoder of this process, so that what one task of a worker has learned serves the next ones. It is held by a module of the
+    interpreter, as functions that travel by value bring new globals with each task."""
+    held = sys.modules.setdefault("_stampline_encoders", ModuleType("_stampline_encoders")).__dict__
+    if file not in held:
+        held[file] = Encoder(file)
+    return held[file]
+
+
 def pieces(docs: DataFrame, file: str, length: int = LENGTH) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and an end id 0, cut into pieces of ``length`` only if longer.
     Null text counts as empty and is one piece, the end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(file)
+        known = encoder(file)
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 b = whole.slice(i, 256)
                 out: list[list] = [[], [], [], [], []]
-                for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
+                for doc_id, ids in zip(b.column(0).to_pylist(), known.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
                     ids += b"\0\0\0\0"
                     for k, at in enumerate(range(0, len(ids), 4 * length)):
                         part = ids[at : at + 4 * length]
