@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from .common import fits, held_out
 from .ngrams import BUCKETS, counts
 
-#: Most rows of a language that the model is fitted on, those with the least hash of their id; one in CALIBRATED sets the temperature.
-TRAINED, CALIBRATED = 1_500, 5
+#: Most rows of a language that the model is fitted on, those with the least hash of their id (up to 1000 Spark ranks before it
+#: shuffles, so a hot language stays small); one in CALIBRATED sets the temperature.
+TRAINED, CALIBRATED = 1_000, 5
 #: FTRL: learning rate, its offset, L1 and L2 penalties, passes.
 RATE, OFFSET, L1, L2, PASSES = 0.5, 1.0, 0.02, 0.05, 3
 UNKNOWN = "und"
