@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, html, language, licenses, packing, quality, secrets, simhash, substring
+from . import decontaminate, embeddings, html, language, licenses, oracles, packing, quality, secrets, simhash, substring
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,4 +77,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_substring, op4_secrets, op5_packing, op6_embeddings, op7_html, op8_quality, op9_language, op10_licenses, pipeline)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL

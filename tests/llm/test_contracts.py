@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import glob
+import os
 import re
 from collections import Counter
 from hashlib import sha256
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -336,3 +339,14 @@ def test_licenses(spark, docs, rows):
 def test_queries_return_their_columns(spark, data):
     for name in ("op1_decontamination", "op4_secrets", "op10_licenses"):
         assert queries.QUERIES[name](spark, data).count() == spark.read.parquet(f"{data}/documents.parquet").count()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_against_sql(spark, data, name):
+    con = duckdb.connect()
+    for f in glob.glob(f"{data}/*.parquet"):
+        con.sql(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+    want, got = con.sql(queries.ORACLE_SQL[name]), queries.QUERIES[name](spark, data)
+    names = sorted(got.columns)
+    assert names == sorted(want.columns)
+    same([tuple(r[c] for c in names) for r in got.collect()], want.select(*(f'"{c}"' for c in names)).fetchall())
