@@ -122,7 +122,9 @@ def blocks(html: str | None) -> list[Block]:
             flush()
             link = 0
             if tag in CONTAINER and not m[4].rstrip().endswith("/"):
-                marks = {w for _, v in _ATTR.findall(m[4]) for w in re.split(r"[^a-z]+", v.lower())} & MARKS if m[4] else set()
+                # the body's classes ("has-sidebar") tell of what is in it
+                named = m[4] if tag != "body" else ""
+                marks = {w for _, v in _ATTR.findall(named) for w in re.split(r"[^a-z]+", v.lower())} & MARKS if named else set()
                 top = stack[-1]
                 main = tag in ("article", "main") and not marks
                 boiler = not main and (top.boiler or tag in BOILER or bool(marks) or (tag == "header" and not top.article))
