@@ -57,6 +57,8 @@ class _State:
     blocks: list[Block] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
+    #: Whether the article has begun; later ones inside boilerplate are comments or teasers.
+    main: bool = False
 
 
 def blocks(html: str | None) -> list[Block]:
@@ -126,7 +128,8 @@ def blocks(html: str | None) -> list[Block]:
                 named = m[4] if tag != "body" else ""
                 marks = {w for _, v in _ATTR.findall(named) for w in re.split(r"[^a-z]+", v.lower())} & MARKS if named else set()
                 top = stack[-1]
-                main = tag in ("article", "main") and not marks
+                main = tag in ("article", "main") and not marks and not (top.boiler and out.main)
+                out.main |= main
                 boiler = not main and (top.boiler or tag in BOILER or bool(marks) or (tag == "header" and not top.article))
                 stack.append(_Open(tag, boiler, main or (top.article and not boiler)))
     flush()
@@ -142,6 +145,12 @@ LABELLED = (
     (1, 0, 8, 0.0, 1, 1.0, 12, 0.0, 0), (1, 0, 6, 0.0, 1, 1.0, 8, 0.0, 0), (1, 0, 12, 0.0, 2, 1.0, 10, 0.0, 0), (1, 0, 25, 0.1, 1, 1.0, 14, 0.0, 0),
     (1, 0, 14, 0.0, 60, 0.0, 0, 0.0, 0), (1, 0, 9, 0.0, 110, 0.0, 0, 0.0, 0), (1, 0, 11, 0.0, 30, 0.0, 0, 0.0, 0), (1, 0, 40, 0.0, 80, 0.0, 0, 0.0, 0),
     (1, 0, 30, 0.0, 45, 0.0, 22, 0.0, 0), (1, 0, 55, 0.0, 20, 0.0, 30, 0.0, 0), (1, 0, 3, 0.0, 40, 0.0, 25, 0.0, 0), (1, 0, 90, 0.02, 70, 0.0, 4, 0.5, 0),
+    (1, 0, 80, 0.0, 60, 0.0, 90, 0.0, 0), (1, 0, 120, 0.0, 80, 0.0, 70, 0.0, 0), (1, 0, 150, 0.05, 90, 0.0, 3, 1.0, 0), (1, 0, 65, 0.0, 120, 0.0, 0, 0.0, 0),
+    (1, 0, 200, 0.0, 2, 0.0, 60, 0.0, 0), (1, 0, 45, 0.0, 100, 0.0, 110, 0.0, 0), (1, 0, 70, 0.0, 1, 1.0, 50, 0.0, 0), (1, 0, 110, 0.0, 8, 0.0, 35, 0.0, 0),
+    (1, 0, 9, 0.0, 40, 0.0, 75, 0.0, 0), (1, 0, 28, 0.0, 33, 0.0, 60, 0.0, 0), (1, 0, 300, 0.0, 45, 0.0, 2, 0.0, 0), (1, 0, 60, 0.1, 70, 0.0, 65, 0.1, 0),
+    (0, 1, 2, 1.0, 3, 1.0, 4, 1.0, 1), (0, 1, 1, 1.0, 1, 1.0, 1, 1.0, 1), (0, 1, 6, 0.5, 5, 1.0, 3, 1.0, 1), (0, 1, 3, 0.0, 2, 1.0, 2, 1.0, 1),
+    (0, 1, 4, 1.0, 0, 0.0, 2, 1.0, 1), (0, 1, 8, 0.9, 4, 1.0, 5, 0.8, 1), (0, 1, 2, 0.0, 1, 1.0, 0, 0.0, 1), (0, 1, 5, 0.0, 3, 0.0, 2, 0.5, 1),
+    (0, 1, 1, 0.0, 6, 1.0, 7, 1.0, 1), (0, 1, 3, 0.66, 9, 0.0, 1, 1.0, 1), (0, 1, 7, 0.0, 2, 1.0, 6, 0.4, 1), (0, 1, 2, 1.0, 12, 0.0, 0, 0.0, 1),
     (0, 1, 12, 0.0, 7, 0.0, 30, 0.0, 1), (0, 1, 10, 0.0, 12, 0.0, 55, 0.0, 1), (0, 1, 1, 0.0, 40, 0.0, 60, 0.0, 1), (0, 1, 1, 0.0, 1, 0.0, 1, 0.0, 1),
     (0, 1, 35, 0.0, 12, 0.0, 20, 0.0, 1), (0, 1, 80, 0.0, 35, 0.0, 6, 0.0, 1), (0, 1, 150, 0.0, 80, 0.0, 14, 0.0, 1), (0, 1, 6, 0.0, 150, 0.0, 12, 0.0, 1),
     (0, 1, 45, 0.3, 20, 0.0, 30, 0.0, 1), (0, 1, 20, 0.6, 45, 0.1, 30, 0.0, 1), (0, 1, 3, 1.0, 60, 0.0, 50, 0.0, 1), (0, 1, 2, 0.0, 9, 0.0, 0, 0.0, 1),
@@ -150,6 +159,7 @@ LABELLED = (
     (0, 0, 5, 0.4, 2, 1.0, 1, 1.0, 0), (0, 0, 6, 0.5, 70, 0.0, 3, 1.0, 0), (0, 0, 30, 0.7, 5, 1.0, 8, 1.0, 0), (0, 0, 18, 0.9, 4, 1.0, 2, 1.0, 0),
     (0, 0, 3, 0.0, 1, 1.0, 1, 1.0, 0), (0, 0, 2, 0.0, 0, 0.0, 2, 1.0, 0), (0, 0, 7, 0.0, 1, 1.0, 6, 0.0, 0), (0, 0, 6, 0.0, 5, 0.0, 0, 0.0, 0),
     (0, 0, 4, 0.0, 3, 0.0, 2, 0.5, 0), (0, 0, 8, 0.0, 2, 1.0, 3, 0.0, 0), (0, 0, 5, 0.2, 6, 0.1, 4, 0.3, 0), (0, 0, 9, 0.0, 8, 0.0, 5, 1.0, 0),
+    (0, 0, 30, 0.0, 0, 0.0, 0, 0.0, 1), (0, 0, 26, 0.0, 3, 0.0, 0, 0.0, 1), (0, 0, 20, 0.0, 30, 0.0, 2, 1.0, 1), (0, 0, 35, 0.0, 4, 0.0, 9, 0.0, 1),
     (0, 0, 40, 0.0, 8, 0.0, 50, 0.0, 1), (0, 0, 60, 0.0, 40, 0.0, 35, 0.0, 1), (0, 0, 120, 0.1, 60, 0.0, 3, 1.0, 1), (0, 0, 28, 0.0, 90, 0.0, 40, 0.0, 1),
     (0, 0, 200, 0.05, 5, 1.0, 7, 0.0, 1), (0, 0, 22, 0.1, 35, 0.0, 28, 0.0, 1), (0, 0, 33, 0.2, 2, 1.0, 70, 0.0, 1), (0, 0, 75, 0.0, 0, 0.0, 0, 0.0, 1),
     (0, 0, 10, 0.0, 50, 0.0, 45, 0.0, 1), (0, 0, 8, 0.0, 1, 1.0, 60, 0.0, 1), (0, 0, 5, 0.0, 80, 0.0, 70, 0.0, 1), (0, 0, 12, 0.0, 6, 0.0, 90, 0.0, 1),

@@ -274,7 +274,12 @@ def test_html(spark, data):
     <div class="share">Share this</div><p>5 < 6 and <a href=y title="a>b">linked</a></p></article><section id="comments"><p>I like this very long comment that goes on and on and on and on.</p></section>
     <aside>Side</aside><form>Name <input> </form><div class=cookie-notice>We use cookies</div><footer>&copy; 2020</footer></body></html>"""
     assert html.main_text(page, model) == "Head\n\nFirst bold text & more.\n\nSecond line here\n\nOk.\n\n5 < 6 and linked"
-    assert html.main_text(f'<body class="has-sidebar"><div>{"one two three " * 10}</div></body>', model) == ("one two three " * 10).strip()
+    long = " ".join(["one two three"] * 30)
+    assert html.main_text(f'<body class="has-sidebar"><div>{long}</div></body>', model) == long
+    talk = f"<article><p>{long} a</p></article><section id=comments><p>{long}</p><p>{long}</p><article><p>{long}</p></article></section><aside><p>{long}</p></aside>"
+    assert html.main_text(talk, model) == f"{long} a"
+    flat = f"<div class=menu><a href=a>A</a><a href=b>B</a></div><div><h1>What it is about</h1><p>{long} a</p><p>{long} b</p></div><div class=comments><p>{long} c</p><p>{long} d</p></div><div id=footer>{long}</div>"
+    assert html.main_text(flat, model) == f"What it is about\n\n{long} a\n\n{long} b"
     pages = spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url", "html")
     pages = pages.unionByName(spark.createDataFrame([(None, None, None), (1, "", ""), (2, None, "plain words only")], pages.schema)).withColumn("text", F.lit("x"))
     got = html.extract(pages).collect()
