@@ -7,6 +7,7 @@ file and sorted by position: its state is one segment, a file may be longer than
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -16,27 +17,54 @@ from ..functions import scalar
 from ..settings import DEFAULT, Settings
 
 
+class Rules(NamedTuple):
+    words: int
+    longest: float
+    silence: float
+    #: Whether the file has the end of a sentence anywhere; if not, words are counted.
+    punctuated: bool = True
+
+
+class Open:
+    """The open segment of a file: where it begins, its words, the end of the last word and whether that ended a sentence."""
+
+    __slots__ = ("begin", "last", "text", "ended")
+
+    def __init__(self, begin: float, last: float, text: list[str], ended: bool = False) -> None:
+        self.begin, self.last, self.text, self.ended = begin, last, text, ended
+
+    def now(self) -> tuple:
+        return self.begin, self.last, self.text, self.ended
+
+    def add(self, word: str, start: float, end: float, final: bool, rules: Rules) -> tuple | None:
+        """Take the next word; the segment that this closes, if any."""
+        closed = None
+        if self.text and rules.silence > 0 and start - self.last >= rules.silence:
+            closed = self.now()
+            self.begin, self.text = start, [word]  # a word that opens a segment after silence is not tested for closing
+        else:
+            self.text.append(word)
+            if (rules.punctuated and final) or end - self.begin > rules.longest or (not rules.punctuated and len(self.text) >= rules.words):
+                closed = self.begin, end, self.text, final
+                self.begin, self.text = end, []
+        self.last, self.ended = end, final
+        return closed
+
+
 def _fold(rows: Iterator[tuple], words: int, longest: float, silence: float, merge: bool) -> Iterator[tuple]:
     """(file, word, raw start, start, end, final, any final in the file) -> (file, seg_no, start, end, n_words, text)."""
 
     def segments() -> Iterator[tuple]:
-        now = None
+        now, open_ = None, None
         for file, word, raw, start, end, final, punctuated in rows:
-            if file != now:
-                if now is not None and text:
-                    yield now, begin, last, text, ended
-                now, begin, last, text, ended = file, raw, raw, [], False
-            if text and silence > 0 and start - last >= silence:
-                yield now, begin, last, text, ended
-                begin, text = start, [word]  # a word that opens a segment after silence is not tested for closing
-            else:
-                text.append(word)
-                if (punctuated and final) or end - begin > longest or (not punctuated and len(text) >= words):
-                    yield now, begin, end, text, final
-                    begin, text = end, []
-            last, ended = end, final
-        if now is not None and text:
-            yield now, begin, last, text, ended
+            if open_ is None or file != now:
+                if open_ and open_.text:
+                    yield now, *open_.now()
+                now, open_, rules = file, Open(raw, raw, []), Rules(words, longest, silence, punctuated)
+            if closed := open_.add(word, start, end, final, rules):
+                yield now, *closed
+        if open_ and open_.text:
+            yield now, *open_.now()
 
     def merged() -> Iterator[tuple]:
         held = None
