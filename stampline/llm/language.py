@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from .common import fits, held_out
 from .ngrams import BUCKETS, counts
 
-#: Most rows of a language that the model is fitted on, those with the least hash of their id (up to 1000 Spark ranks before it
-#: shuffles, so a hot language stays small); one in CALIBRATED sets the temperature.
+#: Most rows of a language that the model is fitted on, those with the least hash of their id; one in CALIBRATED sets the temperature.
 TRAINED, CALIBRATED = 1_000, 5
 #: FTRL: learning rate, its offset, L1 and L2 penalties, passes.
 RATE, OFFSET, L1, L2, PASSES = 0.5, 1.0, 0.02, 0.05, 3
@@ -45,6 +44,21 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     return df[:-1], int(df[-1])
 
 
+def least_hashed(rows: DataFrame, most: int) -> DataFrame:
+    """doc_id, lang: of each language the ``most`` rows with the least hash of their id. A histogram of the hashes with logarithmic bins, of some
+    4000 bins a language at most, tells up to which bin they lie; only rows up to there, a few hundredths more than ``most`` however
+    large and hot a language is, are ranked."""
+    h = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    hashed = rows.select("doc_id", "lang", h.alias("h"), F.floor(F.log2(h + 1.0) * 64).cast("int").alias("bin"))
+    bins = hashed.groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    cut = bins.withColumn("before", before).filter(F.col("before") < most).groupBy(F.col("lang").alias("of")).agg(F.max("bin").alias("cut"))
+    cut = F.broadcast(cut) if fits(cut) else cut
+    near = hashed.join(cut, F.col("lang") == F.col("of")).filter(F.col("bin") <= F.col("cut"))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    return near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).select("doc_id", "lang")
+
+
 class Model:
     """names: the languages; idf; w (buckets, languages), mostly zeros; bias; temperature."""
 
@@ -121,8 +135,7 @@ def fit(docs: DataFrame, trained: int = TRAINED) -> Model:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     df, n = document_frequency(rows)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= trained).select(F.col("doc_id").alias("id")).distinct()
+    chosen = least_hashed(rows, trained).select(F.col("doc_id").alias("id")).distinct()
     side = F.broadcast(chosen) if fits(chosen) else chosen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -314,6 +314,9 @@ def test_language(spark, data, docs):
     assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.97 * len(got) and (model.w == 0).mean() > 0.3
     odd = {r["doc_id"]: r for r in language.predict(docs, model).collect()}
     assert [odd[i]["lang_pred"] for i in (90001, 90002, 90003, 90009)] == ["und"] * 4 and odd[90004]["lang_pred"] != "und"
+    each = Counter(r["lang"] for r in table.collect())
+    for most in (1, 50, 10_000):
+        assert Counter(r["lang"] for r in language.least_hashed(table, most).collect()) == {x: min(n, most) for x, n in each.items()}
     none = language.fit(table.limit(0))
     assert {r["lang_pred"] for r in language.predict(docs, none).collect()} == {"und"}
     kept = language.keep_known(docs, model)
