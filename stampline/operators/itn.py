@@ -19,9 +19,10 @@ SCALES = {"thousand": 10**3, "million": 10**6, "billion": 10**9}
 
 def word_chunks(text: Column, size: int = 50) -> Column:
     """Groups of ``size`` words; a text without words is one chunk, itself."""
-    w = scalar.word_list(text)
-    groups = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(size)), lambda i: F.array_join(F.slice(w, i, size), " "))
-    return F.when(F.size(w) > 0, groups).otherwise(F.array(text))
+    # the words are bound to a name, as each group would split the text again
+    groups = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(size)), lambda i: F.array_join(F.slice(w, i, size), " "))
+    chunks = F.transform(F.array(scalar.word_list(text)), lambda w: F.when(F.size(w) > 0, groups(w)).otherwise(F.array(text)))
+    return F.element_at(chunks, 1)
 
 
 def sentences(text: Column) -> Column:
