@@ -1,9 +1,11 @@
-"""Quality classifier: naive Bayes support vectors. N-gram indicators are scaled by the classes' log-count ratios, then a linear
-hinge-loss model is fitted by dual coordinate descent; a logistic curve on set-aside rows turns margins into scores."""
+"""Quality classifier: naive Bayes support vectors. Indicators of n-grams, of characters and of repeated words, are scaled by the
+classes' log-count ratios, then a linear hinge-loss model is fitted by dual coordinate descent; a logistic curve on set-aside rows
+turns margins into scores."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -20,23 +22,43 @@ ALPHA, COST, PASSES = 1.0, 1.0, 12
 THRESHOLD = 0.3
 
 
+#: Longest n-gram over the repeats of a text: of consecutive words, which equal the word before them.
+REPEATS = 4
+FEATURES = BUCKETS + (2 << REPEATS)
+
+
+def repeats(text: str) -> np.ndarray:
+    """Numbers of the n-grams that occur in the text's stream of repeats (a word equals the one before it or not, in either case), a leading 1
+    bit before the bits of each. Character n-grams can't say that a word is said again."""
+    words = text.lower().split()
+    again = np.fromiter(map(eq, words, words[1:]), np.int64, max(len(words) - 1, 0))
+    found = []
+    for k in range(1, min(REPEATS, len(again)) + 1):
+        code = np.ones(len(again) - k + 1, np.int64)
+        for p in range(k):
+            code = 2 * code + again[p : p + len(code)]
+        found.append(np.flatnonzero(np.bincount(code)))
+    return np.concatenate(found or [np.zeros(0, np.int64)])
+
+
 def indicator(text: str | None) -> np.ndarray:
-    """Sorted buckets of the n-grams that occur in the whole text."""
-    return np.flatnonzero(counts(text or "") > 0)
+    """Sorted numbers of the features that occur in the whole text: buckets of character n-grams, then n-grams over its repeats."""
+    text = text or ""
+    return np.r_[np.flatnonzero(counts(text) > 0), BUCKETS + repeats(text)]
 
 
 def log_ratio(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """log of (class 1's share of each n-gram / class 0's)."""
     of = []
     for c in (1, 0):
-        n = np.bincount(np.concatenate([rows[i] for i in np.flatnonzero(y == c)] or [np.zeros(0, int)]), minlength=BUCKETS) + ALPHA
+        n = np.bincount(np.concatenate([rows[i] for i in np.flatnonzero(y == c)] or [np.zeros(0, int)]), minlength=FEATURES) + ALPHA
         of.append(np.log(n / n.sum()))
     return of[0] - of[1]
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], sign: np.ndarray, cost: np.ndarray, passes: int = PASSES) -> tuple[np.ndarray, float]:
     """Weights and bias of the L2-regularised squared-hinge model. rows and values: the sparse rows; sign: +1 or -1."""
-    w, bias, a = np.zeros(BUCKETS), 0.0, np.zeros(len(rows))
+    w, bias, a = np.zeros(FEATURES), 0.0, np.zeros(len(rows))
     diag = 0.5 / cost
     norm = np.array([float((v * v).sum()) + 1.0 for v in values]) + diag
     rng = np.random.default_rng(7)
@@ -53,7 +75,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], si
 
 
 class Model:
-    """ratio and w over the buckets, bias, and the curve's slope and offset."""
+    """ratio and w over the features, bias, and the curve's slope and offset."""
 
     def __init__(self, rows: list[np.ndarray], y: np.ndarray) -> None:
         y = np.asarray(y)
@@ -61,8 +83,8 @@ class Model:
         if len(y) < 50 or len(np.unique(y[~aside])) < 2 or len(np.unique(y[aside])) < 2:
             aside = np.zeros(len(y), bool)
         fit = np.flatnonzero(~aside)
-        self.ratio, self.bias, self.slope, self.offset = np.zeros(BUCKETS), 0.0, 0.0, 0.0
-        self.w = np.zeros(BUCKETS)
+        self.ratio, self.bias, self.slope, self.offset = np.zeros(FEATURES), 0.0, 0.0, 0.0
+        self.w = np.zeros(FEATURES)
         ones = float(y.mean()) if len(y) else 0.5
         if not len(y) or ones in (0.0, 1.0):  # one class only: its share is the score
             self.offset = float(np.log((ones + 1e-3) / (1 - ones + 1e-3)))
@@ -126,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, trained: int = TRAINED) -> Model:
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``; score is the probability of label 1.
 
-    Null and empty texts have no n-grams and get the score of the bias. Null doc_id is passed on, not held out. Repeated rows get equal
+    Null and empty texts have no features and get the score of the bias. Null doc_id is passed on, not held out. Repeated rows get equal
     scores. Other columns are not read; an empty table gives no rows.
     """
 

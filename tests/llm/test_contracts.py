@@ -301,6 +301,7 @@ def test_quality(spark, data, docs):
     held = [(r["quality"], got[r["doc_id"]]) for r in labels.collect() if got[r["doc_id"]]["held_out"]]
     assert sum(y == r["predicted"] for y, r in held) >= 0.9 * len(held)
     assert all(0 <= r["score"] <= 1 for r in got.values()) and got[90001]["score"] == got[90002]["score"]
+    assert [quality.repeats(t).tolist() for t in ("", "a", "A a", "a b a", "a a b b")] == [[], [], [3], [2, 4], [2, 3, 5, 6, 13]]
     none = quality.fit(table, labels.limit(0))
     assert {r["score"] for r in quality.score(docs, none).collect()} == {0.5}
     odd = spark.createDataFrame([(1, None, 0), (None, 1, 0), (2, 5, 1), (3, 1, None)], labels.drop("id").schema)
