@@ -174,8 +174,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is known with a score of ``least`` or more; all columns are kept, whatever their names."""
+def keep_known(docs: DataFrame, model: Model, least: float | None = None) -> DataFrame:
+    """The rows of ``docs`` whose language is known with a score of ``least`` or more; all columns are kept, whatever their names. Where it
+    isn't given, it is 1.5 times what chance gives, a half at most: a short text says little of any language, which is no reason to reject it."""
+    least = min(0.5, 1.5 / max(len(model.names), 1)) if least is None else least
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
