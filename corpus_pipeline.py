@@ -14,7 +14,7 @@ from stampline.llm.common import table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is unknown or uncertain go; the model learns from the stage's own input."""
+    """Documents whose language is unknown, or hardly likelier than by chance, go; the model learns from the stage's own input."""
     return language.keep_known(docs, language.fit(docs))
 
 
