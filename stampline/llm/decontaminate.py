@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fits, table
 from .scan import covered, find, grams
 
 #: Words of a window.
@@ -34,6 +35,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_hit: int = 1) -> DataFrame:
-    """The documents with fewer than ``min_hit`` hit words, all columns of ``docs`` kept. Same cases as contamination()."""
+    """The documents with fewer than ``min_hit`` hit words, all columns of ``docs`` kept. Same cases as contamination(). The keys of those that
+    go are written and measured: few are broadcast, so that no text is shuffled; many are joined by a shuffle."""
     bad = contamination(docs, benchmark, window).filter(F.col("n_hit") >= min_hit).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
+    bad = table(bad, "contaminated")
+    bad = F.broadcast(bad) if fits(bad, F.coalesce(F.octet_length(F.col("_d").cast("string")), F.lit(0)) + 16) else bad
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_d"]) & (F.xxhash64(docs["text"]) == bad["_h"]), "left_anti")
