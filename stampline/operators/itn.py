@@ -123,3 +123,21 @@ def apply(text: Column, grammar: Callable[[str], str] = normalise) -> Column:
         return s.map(one)
 
     return F.pandas_udf(run, "string")(text)
+
+
+def apply_segment(text: Column, size: int = 50, grammar: Callable[[str], str] = normalise) -> Column:
+    """A segment normalised in an Arrow-batched function: up to ``size`` words as they are, without white space at the ends; more in chunks of
+    so many words, each by itself. What can't be normalised stays; so does blank text, and null."""
+
+    def run(s: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            words = (t or "").split()
+            if not words:
+                return t
+            if len(words) <= size:
+                return with_fallback(grammar, [t.strip()])[0]
+            return " ".join(with_fallback(grammar, [" ".join(words[k : k + size]) for k in range(0, len(words), size)]))
+
+        return s.map(one)
+
+    return F.pandas_udf(run, "string")(text)

@@ -25,6 +25,17 @@ def srt_estimated(texts: DataFrame) -> DataFrame:
     return texts.select("file_id", srt_block(F.lit(1), F.lit(0), end.cast("long"), F.col("text")).alias("cue"))
 
 
+def csv_estimated(texts: DataFrame) -> DataFrame:
+    """file_id, line: one row for a text without stamps, from 0 to as long as its words take."""
+    end = (scalar.estimated_seconds(scalar.word_count(F.col("text"))) * 1000).cast("long")
+    return texts.select("file_id", csv_line(F.lit(0).cast("long"), end, F.col("text")).alias("line"))
+
+
+def txt_plain(texts: DataFrame) -> DataFrame:
+    """file_id, line: a text without stamps, at the time 0."""
+    return texts.select("file_id", F.concat(scalar.txt_time_ms(F.lit(0).cast("long")), F.lit(" "), F.col("text")).alias("line"))
+
+
 def csv_line(start: Column, end: Column, text: Column, file: Column | None = None) -> Column:
     """Times in seconds with three digits, from whole milliseconds, so that nothing is rounded."""
     sec = lambda ms: F.format_string("%d.%03d", F.floor(ms / 1000).cast("long"), (ms % 1000).cast("long"))
@@ -85,6 +96,22 @@ def txt_header(name: str, model: str, ms: int, seconds: float, itn: bool, n_file
     return "\n".join(first + rest + (["TRANSCRIPTION", "=" * 60, ""] if n_files is None else []))
 
 
+def txt_headers(files: DataFrame, model: str, itn: bool) -> DataFrame:
+    """file_id, header: the text header of each file (name, duration and took in ms), as txt_header() makes it for one; hundredths of a second
+    are rounded half up. A file without duration counts as 0."""
+    took = F.floor((F.col("took") + 5) / 10).cast("long")
+    lines = [
+        F.concat(F.lit("Audio File: "), "name"), F.lit(f"Model: {model}"), F.concat(F.lit("Duration: "), scalar.minutes_seconds(F.coalesce("duration", F.lit(0).cast("long")))),
+        F.format_string("Processing Time: %d.%02ds", F.floor(took / 100).cast("long"), took % 100), F.lit(f"ITN Applied: {'Yes' if itn else 'No'}"), F.lit(""), F.lit("=" * 60), F.lit("TRANSCRIPTION"), F.lit("=" * 60), F.lit(""),
+    ]
+    return files.select("file_id", F.concat_ws("\n", *lines).alias("header"))
+
+
+def output_stem(name: Column) -> Column:
+    """The name of a single file's outputs: its own without what follows the last dot."""
+    return F.concat(F.regexp_replace(name, r"\.[^.]*$", ""), F.lit("_transcription"))
+
+
 def output_name(name: str | None, n_files: int) -> str:
     return f"{name.rsplit('.', 1)[0]}_transcription" if n_files == 1 and name else f"batch_transcription_{n_files}_files"
 

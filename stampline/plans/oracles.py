@@ -108,6 +108,13 @@ ORACLE_SQL: dict[str, str] = {
     "segments_final": _raw(8, 5000) + _MERGED + _SEG + "final",
     "srt_cues_single": _raw(8, 5000) + _MERGED + f"""select file_id, cue_no, {_block('cue_no', '"start"', '"end"', 'text')} as cue from (select *, row_number() over (partition by file_id order by seg_no)::int as cue_no from final)""",
     "srt_estimated": f"select doc_id as file_id, {_block('1', '0', 'est', 'said')} as cue from (select doc_id, said, (greatest(5.0, {_COUNT.format('said')} / 2.5) * 1000)::bigint as est from (select doc_id, case when doc_id % 17 = 0 then '' else text end as said from documents))",
+    "csv_estimated": f"select doc_id as file_id, {_csv('0', 'est', 'said')} as line from (select doc_id, said, (greatest(5.0, {_COUNT.format('said')} / 2.5) * 1000)::bigint as est from (select doc_id, case when doc_id % 17 = 0 then '' else text end as said from documents))",
+    "txt_plain": "select doc_id as file_id, '[00:00:00] ' || case when doc_id % 17 = 0 then '' else text end as line from documents",
+    "output_headers": f"""with {WORDS}, {FILES} select file_id, 'Audio File: ' || name || chr(10) || 'Model: fast' || chr(10) || 'Duration: ' || {_xmys('coalesce(duration, 0)')} || chr(10) || printf('Processing Time: %d.%02ds', (h // 100)::bigint, (h % 100)::bigint)
+ || chr(10) || 'ITN Applied: Yes' || chr(10) || chr(10) || repeat('=', 60) || chr(10) || 'TRANSCRIPTION' || chr(10) || repeat('=', 60) || chr(10) as header, regexp_replace(name, '\\.[^.]*$', '') || '_transcription' as stem from (select *, (file_id % 7000 + 5) // 10 as h from files)""",
+    "audio_validation": f"""with {WORDS}, {FILES} select file_id, case when duration::double / 1000 < 0.1 then 'too_short' when duration::double / 1000 > 86400 then 'too_long' when energy < 0.001 then 'silent' end as error from files left join
+ (select vec_id, sqrt(list_sum(list_transform(embedding, lambda x: (x::double / (vec_id % 4 * 200 + 1)) * (x::double / (vec_id % 4 * 200 + 1)))) / len(embedding)) as energy from embeddings) on vec_id = file_id""",
+    "health_check": "select count(*) as failures from pages p where not exists (select 1 from pages q where q.page_id % 5 <> 0 and q.url = p.url)",
     "csv_rows": f"""with {WORDS} select file_id, pos, {_csv('"start"', '"end"', 'word')} as line from words""",
     "txt_lines": _raw(12, 8000) + _MERGED + f"""select file_id, seg_no::int as seg_no, {_txt('"start"')} || ' ' || text as line from final""",
     "batch_srt": f"""with {_TALKS}, parts as (select file_id, 0 as cue_no, 0 as "start", 2000 as "end", '[FILE: ' || name || ']' as text from talks where {_GOOD}

@@ -105,6 +105,22 @@ def srt_estimated(spark, d):
     return render.srt_estimated(adapters.hypotheses(_docs(spark, d)))
 
 
+@query
+def csv_estimated(spark, d):
+    return render.csv_estimated(adapters.hypotheses(_docs(spark, d)))
+
+
+@query
+def txt_plain(spark, d):
+    return render.txt_plain(adapters.hypotheses(_docs(spark, d)))
+
+
+@query
+def output_headers(spark, d):
+    files = _files(spark, d).withColumn("took", F.col("file_id") % 7000)
+    return render.txt_headers(files, "fast", True).join(files.select("file_id", render.output_stem(F.col("name")).alias("stem")), "file_id")
+
+
 @query
 def csv_rows(spark, d):
     return _words(spark, d).select("file_id", "pos", render.csv_line(F.col("start"), F.col("end"), F.col("word")).alias("line"))
@@ -242,6 +258,21 @@ def energy_validity(spark, d):
     return most.select("label", F.round("most", 6).alias("most"), validate.energy_state(F.col("most")).alias("state"), validate.energy_state(F.col("least")).alias("least_state"))
 
 
+@query
+def audio_validation(spark, d):
+    """Files by their duration, and the energy of the frame with their number."""
+    frames = read(spark, d, "embeddings").select(F.col("vec_id").alias("file_id"), scalar.rms(F.transform("embedding", lambda x: x.cast("double") / (F.col("vec_id") % 4 * 200 + 1))).alias("energy"))
+    files = _files(spark, d).join(frames, "file_id", "left")
+    return files.select("file_id", validate.audio_errors(F.col("duration") / 1000, F.col("energy")).alias("error"))
+
+
+@query
+def health_check(spark, d):
+    """Pages are expected; every fifth is not there."""
+    pages = read(spark, d, "pages").select(F.col("url").alias("path"), "page_id")
+    return media.health(pages.select("path"), pages.filter("page_id % 5 <> 0").select("path"))
+
+
 @query
 def media_type(spark, d):
     return _files(spark, d).select("file_id", "name", scalar.is_video(F.col("name")).alias("video")).unionByName(read(spark, d, "pages").select(F.col("page_id").alias("file_id"), F.col("url").alias("name"), scalar.is_video(F.col("url")).alias("video")))
@@ -312,6 +343,13 @@ def itn_apply(spark, d):
     return spark.createDataFrame(list(enumerate(given)), "id int, text string").select("id", itn.apply(F.col("text")).alias("text"))
 
 
+@query
+def itn_segments(spark, d):
+    """The texts of the segments, normalised one by one."""
+    cues = segment.cues(_words(spark, d))
+    return cues.select("file_id", "seg_no", itn.apply_segment(F.col("text")).alias("text"))
+
+
 @query
 def retry_schedule(spark, d):
     """Waits after each failed try: base * try, none after the last."""

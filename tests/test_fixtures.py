@@ -78,6 +78,8 @@ def test_energy_and_itn(spark, tmp_path):
     sizes = [len(c.split()) for c in one(spark, itn.word_chunks(F.lit("w " * 120)))]
     assert sizes == [50, 50, 20] and one(spark, itn.word_chunks(F.lit(""))) == [""]
     assert one(spark, itn.sentences(F.lit("A b. C? d"))) == ["A b.", "C?", "d"]
+    long = " ".join(["w"] * 49 + ["twenty", "two"])
+    assert [one(spark, itn.apply_segment(F.lit(t))) for t in (" twenty two ", "", long)] == ["22", "", "w " * 49 + "20 2"]
     import wave
 
     with wave.open(str(tmp_path / "a.WAV"), "wb") as w:
