@@ -158,7 +158,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     keyed = _key(docs)
     occ = table(occurrences(keyed), "runs")
     shared = occ.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("run").alias("lo"), F.max("run").alias("hi")).filter("c > 1")
-    met = table(occ.join(shared.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchor"), "met")
+    # written, as AQE splits a hot anchor only where both sides of the join come straight from a shuffle
+    shared = table(shared.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "shared")
+    met = table(occ.join(shared, "anchor"), "met")
     mixed = met.filter("mixed").groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "start", "n")).alias("one"))
     mixed = table(mixed, "mixed")
     again = met.filter("mixed").join(mixed.filter("c > 1").select("anchor", "run"), ["anchor", "run"])
