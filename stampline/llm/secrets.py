@@ -24,6 +24,8 @@ class Rule:
     group: int = 0
     least: int = 1
     any_case: bool = False
+    #: What a match of ``regex`` reaches to: a Java regex that begins with ``regex``. Such rules are redacted first.
+    whole: str = ""
 
 
 # The base kinds, in their order.
@@ -32,9 +34,17 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
+# A key reaches from BEGIN to the next END if no other marker lies between. Without that END it reaches over header lines and the base64 after them:
+# long runs, however they are broken, and whole lines. All loops are possessive, so a long key takes no stack.
+_PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+_BREAK = r"(?:\r?\n|\r|\\r\\n|\\n)"
+_CLOSED = r"[^-]*+(?:-(?!----(?:BEGIN|END)\x20)[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----"
+_HEADERS = rf"(?:[ \t]*{_BREAK}[ \t]*[A-Z][A-Za-z0-9-]*:\x20[^\r\n\\]*+)*+"
+_RUNS = r"(?:(?:\s|\\[rn])*+[A-Za-z0-9+/=]{16,}+)*+"
+_LINES = rf"(?:[ \t]*{_BREAK}[ \t]*[A-Za-z0-9+/=]++(?=[ \t]*(?:{_BREAK}|\z)))*+"
 # Public formats of further credentials.
 EXTRA = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", _PEM, whole=rf"{_PEM}(?:{_CLOSED}|{_HEADERS}{_RUNS}{_LINES})"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
@@ -106,7 +116,7 @@ def candidate(text: Column, lowered: Column, rule: Rule) -> Column:
 
 
 def _java(rule: Rule) -> str:
-    return ("(?i)" if rule.any_case else "") + rule.regex
+    return ("(?i)" if rule.any_case else "") + (rule.whole or rule.regex)
 
 
 def _narrow(rule: Rule) -> Column:
@@ -130,8 +140,8 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, text_hash, found (array of (start, kind number, end), sorted): one row per row of ``docs``.
 
     Offsets are code points, end exclusive; leftmost non-overlapping matches of each kind by itself, then those that are too
-    short are dropped. Offsets are running sums over the matches of a text, so a text with very many matches takes time
-    in proportion. Null and empty texts have none. Null doc_id is a key like any other; repeated rows give repeated
+    short are dropped. A private key is one span from its BEGIN to its END, or to the end of its base64 where END is missing.
+    Offsets are running sums over the matches of a text, so a text with very many matches takes time in proportion. Null and empty texts have none. Null doc_id is a key like any other; repeated rows give repeated
     results. Other columns are not read; an empty table gives no rows.
     """
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -155,9 +165,9 @@ def describe(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with each secret replaced by ``mark``, kind after kind in the order of the rules; all columns are kept, null texts stay null.
-    Nothing is shuffled. A mark that a later kind would match is not used: it has brackets, which no kind matches."""
-    for rule in rules:
+    """``docs`` with each secret replaced by ``mark``, kind after kind in the order of the rules, but first those that reach on from their regex, as another
+    kind could cut them; all columns are kept, null texts stay null. Nothing is shuffled. A mark that a later kind would match is not used: it has brackets, which no kind matches."""
+    for rule in sorted(rules, key=lambda r: not r.whole):
         hit = candidate(F.col("text"), F.lower("text"), rule) & _narrow(rule)
         docs = docs.withColumn("text", F.when(hit, _marked(rule, mark)).otherwise(F.col("text")))
     return docs
