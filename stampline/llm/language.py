@@ -176,7 +176,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_known(docs: DataFrame, model: Model, least: float | None = None) -> DataFrame:
     """The rows of ``docs`` whose language is known with a score of ``least`` or more; all columns are kept, whatever their names. Where it
-    isn't given, it is 1.5 times what chance gives, a half at most: a short text says little of any language, which is no reason to reject it."""
+    isn't given, it is 1.5 times what chance gives, a half at most: a short text says little of any language, which is no reason to reject it.
+    Where no language could be learned, none can be told from another, and every text with a letter is kept."""
     least = min(0.5, 1.5 / max(len(model.names), 1)) if least is None else least
     at = docs.columns.index("text")
 
@@ -184,7 +185,11 @@ def keep_known(docs: DataFrame, model: Model, least: float | None = None) -> Dat
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 c = b.slice(i, 256)
-                got = [model.predict(t.as_py()) for t in c.column(at)]
-                yield c.filter(pa.array([g[0] != UNKNOWN and g[1] >= least for g in got], pa.bool_()))
+                texts = [t.as_py() for t in c.column(at)]
+                if model.names:
+                    keep = [g[0] != UNKNOWN and g[1] >= least for g in map(model.predict, texts)]
+                else:
+                    keep = [t is not None and _LETTER.search(t) is not None for t in texts]
+                yield c.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

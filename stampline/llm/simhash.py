@@ -37,15 +37,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row."""
+    """doc_id, fp (the 64 bits as a signed long) and text_hash of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), b.column(2)], ["doc_id", "fp", "text_hash"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, fp long")
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def variants(distinct: DataFrame) -> DataFrame:
@@ -126,6 +126,17 @@ def links(distinct: DataFrame, name: str = "simhash") -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def rooted(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fp, text_hash, root, component_id: one row per row of ``docs``; root is the same fingerprint for all of a component."""
+    fps = table(fingerprints(docs, shingle), "fingerprints")
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(links(distinct), "simhash")
+    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "root").select(F.col("fp").alias("_fp"), "root", "component_id")
+    return fps.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "text_hash", "root", "component_id")
+
+
 def classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id: one row per row of ``docs``.
 
@@ -134,17 +145,15 @@ def classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     fingerprint 0 and link like any other. component_id is the smallest doc_id reachable, null only if all of them are
     null. Repeated rows stay. Other columns are not read; an empty table gives no rows.
     """
-    fps = table(fingerprints(docs, shingle), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(distinct), "simhash")
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return fps.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    return rooted(docs, shingle).select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each component stays: the one with the smallest doc_id, and of repeated rows of that id one.
-    Rows without doc_id stay as they are. All columns of ``docs`` are kept."""
-    keep = classes(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.dropDuplicates(["doc_id"]).join(keep, F.col("doc_id") == F.col("_keep"), "left_semi").unionByName(docs.filter("doc_id is null"))
+    """One row of each component stays: that of the smallest doc_id, of several texts of that id the one of the least hash, and of
+    equal rows of id and text any one. A null doc_id comes after all others, so a component without ids keeps one row too. All columns
+    of ``docs`` are kept."""
+    best = rooted(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text_hash").alias("_hash"))).alias("_best"))
+    key = ["_none", "_id", "_hash"]
+    id_ = F.col("doc_id").cast("long")
+    keyed = docs.withColumns({"_none": id_.isNull(), "_id": F.coalesce(id_, F.lit(0)), "_hash": F.xxhash64(F.col("text").cast("string"))})
+    return keyed.join(best.select("_best.*"), key, "left_semi").dropDuplicates(key).drop(*key)

@@ -109,6 +109,24 @@ def test_simhash(docs, rows):
     assert simhash.classes(docs.limit(0)).count() == 0
 
 
+def test_deduplicate_of_repeated_and_null_ids(spark):
+    said = [" ".join(f"{x}{i}" for i in range(40)) for x in "abcde"]
+    rows = [(1, said[0]), (1, said[1]), (1, said[1]), (2, said[0]), (3, said[1]), (None, said[0]), (None, said[2]), (None, said[2]), (5, said[3]), (4, said[3]), (4, said[3]), (0, said[4]), (None, None), (None, "")]
+    frame = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, root string").repartition(3)
+    got = simhash.deduplicate(frame)
+    assert got.columns == frame.columns
+    kept = Counter((r["doc_id"], r["text"]) for r in got.collect())
+    wordless = [(None, t) for t in (None, "") if kept[None, t]]
+    assert len(wordless) == 1 and kept == Counter([(1, said[0]), (1, said[1]), (None, said[2]), (4, said[3]), (0, said[4]), *wordless])
+
+
+def test_language_unlearned(spark):
+    rows = [(1, "some words", None), (None, "é", None), (3, "12 !", None), (4, None, None), (5, "", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = language.keep_known(frame, language.fit(frame))
+    assert Counter(r["text"] for r in kept.collect()) == Counter(["some words", "é"])
+
+
 def test_simhash_dense_buckets():
     rng = np.random.default_rng(1)
     free = list(range(33))
