@@ -1,8 +1,8 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies them.
 DataFrame functions only.
 
-A window can match a template only if it holds one of the template's shingles, and so that shingle's anchor word; windows without
-any anchor share no shingle with any template and are not hashed. Templates are dealt to window sizes: a template of L
+A window can match a template only if it holds one of the template's shingles; windows without any, as the scan for whole shingles finds
+them, share none with any template and are not hashed. Templates are dealt to window sizes: a template of L
 words is looked for in windows of the least size W (a power of two, 16 at least) with L <= W / 2, which start every W / 2
 words, so each occurrence lies whole in a window.
 """
@@ -19,6 +19,9 @@ SHINGLE, CONTAINMENT = 5, 0.8
 #: Bands of one row. A window that holds all of a template of one shingle and W - 4 = 12 shingles has a similarity of 1 / 12
 #: or more and misses all bands with a probability of (11 / 12) ** 96 = 0.0002; larger templates fill more of their window.
 BANDS = 96
+#: A template of fewer words than a shingle is one shingle of all of them, among 16 of its length at most in its window; with so many bands it
+#: misses all with a probability of (15 / 16) ** 192 = 0.000004 at most.
+SHORT_BANDS = 192
 LEAST_WINDOW = 16
 
 # License names and the lines that state them.
@@ -42,16 +45,19 @@ def templates(spark: SparkSession, given: tuple = TEMPLATES) -> DataFrame:
     return spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(given)], "template int, license string, text string")
 
 
-def shingles(words: Column) -> Column:
-    """Distinct shingles of an array of lower-case words; fewer words than a shingle are one."""
-    last = F.greatest(F.size(words) - (SHINGLE - 1), F.lit(1))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, SHINGLE), " ")))
+def shingles(words: Column, size: Column | int = SHINGLE) -> Column:
+    """Distinct shingles of ``size`` words of an array of lower-case words; fewer words than a shingle are one."""
+    size = F.lit(size) if isinstance(size, int) else size
+    last = F.greatest(F.size(words) - (size - 1), F.lit(1))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, size), " ")))
 
 
-def minhash(shingles_: Column) -> Column:
-    """The least hash of the shingles under each of BANDS hash functions."""
+def minhash(shingles_: Column, size: Column | int = SHINGLE) -> Column:
+    """The least hash of the shingles, of ``size`` words, under each of BANDS (SHORT_BANDS for short ones) hash functions."""
+    size = F.lit(size) if isinstance(size, int) else size
     hashes = F.transform(shingles_, lambda s: F.xxhash64(s))
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, b))))
+    last = F.when(size < SHINGLE, SHORT_BANDS - 1).otherwise(BANDS - 1)
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, b))))
 
 
 def _lower_words(text: Column) -> Column:
@@ -63,7 +69,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, containment: float = C
 
     n_windows counts the windows in which a template was verified. Containment is the share of a template's distinct shingles of five
     words that are in the window. Null, empty and wordless texts have none. Templates of fewer than five words are one
-    shingle; templates without words match nothing; null names are not listed. Null doc_id is a key like any other,
+    shingle, which is looked for among the window's shingles of as many words; templates without words match nothing; null names are not listed. Null doc_id is a key like any other,
     repeated rows give repeated results. Other columns of either table are not read; empty tables give no rows or no
     licenses. The templates' table is broadcast in full only while it has at most BROADCAST_ROWS shingles and bands;
     a larger one is joined by shuffling the candidate windows.
@@ -71,7 +77,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, containment: float = C
     known = templates(docs.sparkSession) if known is None else known
     known = known.select(F.monotonically_increasing_id().alias("t"), F.col("license").cast("string").alias("license"), _lower_words(F.col("text")).alias("tw")).filter(F.size("tw") > 0)
     window = F.greatest(F.lit(LEAST_WINDOW), F.pow(F.lit(2), F.ceil(F.log2(F.size("tw") * 2.0))).cast("int"))
-    known = known.select("t", "license", window.alias("w"), shingles(F.col("tw")).alias("ts"), F.size("tw").alias("length"), F.array_join("tw", " ").alias("text"))
+    known = known.select("t", "license", window.alias("w"), shingles(F.col("tw")).alias("ts"), F.least(F.size("tw"), F.lit(SHINGLE)).alias("s"), F.array_join("tw", " ").alias("text"))
     wanted = grams(known.select(F.col("w").alias("id"), "text"), "id", "text", SHINGLE) if known.limit(1).count() else None
     keys = [F.col("doc_id"), F.xxhash64("text").alias("text_hash")]
     if wanted is None:
@@ -81,7 +87,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, containment: float = C
 
 
 def _judge(near: DataFrame, known: DataFrame, containment: float) -> DataFrame:
-    """near: doc_id, text_hash, start, n, ws, ids (window sizes); one row per shingle of a template that occurs, and one per text."""
+    """near: doc_id, text_hash, start, n (words of the shingle), ws, ids (window sizes); one row per shingle of a template that occurs, and one per text."""
     half = F.expr("cast(w as int) div 2")
     spots = near.select("doc_id", "text_hash", "start", "n", "ws", F.explode_outer("ids").alias("w"))
     # the windows that hold the shingle whole: those that start at the multiples of half a window up to the shingle's start
@@ -89,14 +95,14 @@ def _judge(near: DataFrame, known: DataFrame, containment: float) -> DataFrame:
     at = F.when(F.col("n") > 0, F.sequence(first.cast("int"), F.floor(F.col("start") / half).cast("int")))
     spots = spots.select("doc_id", "text_hash", "start", "n", "ws", "w", F.explode_outer(at).alias("at"))
     win = F.when(F.col("n") > 0, F.transform(F.slice("ws", F.greatest(F.col("at") * half + 1, F.lit(1)), F.col("w").cast("int")), lambda x: ascii_lower(x)))
-    spots = spots.select("doc_id", "text_hash", F.when(F.col("n") == 0, F.col("start")).alias("n_words"), "w", "at", win.alias("win"))
-    counted = spots.groupBy("doc_id", "text_hash", "w", "at").agg(F.max("n_words").alias("n_words"), F.count(F.lit(1)).alias("copies"), F.first("win").alias("win"))
-    hashed = counted.filter("win is not null").select("doc_id", "text_hash", F.col("w").cast("int").alias("w"), "at", shingles(F.col("win")).alias("ws"))
-    banded = hashed.select("*", F.posexplode(minhash(F.col("ws"))).alias("band", "least"))
-    index = known.select("t", "license", "w", "ts", F.posexplode(minhash(F.col("ts"))).alias("band", "least"))
+    spots = spots.select("doc_id", "text_hash", F.when(F.col("n") == 0, F.col("start")).alias("n_words"), "w", F.col("n").alias("s"), "at", win.alias("win"))
+    counted = spots.groupBy("doc_id", "text_hash", "w", "s", "at").agg(F.max("n_words").alias("n_words"), F.count(F.lit(1)).alias("copies"), F.first("win").alias("win"))
+    hashed = counted.filter("win is not null").select("doc_id", "text_hash", F.col("w").cast("int").alias("w"), "s", "at", shingles(F.col("win"), F.col("s")).alias("ws"))
+    banded = hashed.select("*", F.posexplode(minhash(F.col("ws"), F.col("s"))).alias("band", "least"))
+    index = known.select("t", "license", "w", "s", "ts", F.posexplode(minhash(F.col("ts"), F.col("s"))).alias("band", "least"))
     if index.count() <= BROADCAST_ROWS:
         index = F.broadcast(index)
-    met = banded.join(index, ["w", "band", "least"]).dropDuplicates(["doc_id", "text_hash", "w", "at", "t"])
+    met = banded.join(index, ["w", "s", "band", "least"]).dropDuplicates(["doc_id", "text_hash", "w", "at", "t"])
     good = met.filter(F.size(F.array_intersect("ts", "ws")) >= F.lit(containment) * F.size("ts"))
     found = good.groupBy("doc_id", "text_hash").agg(F.count_distinct(F.struct("w", "at")).alias("n_windows"), F.array_sort(F.collect_set("license")).alias("licenses"))
     found = found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "n_windows", "licenses")

@@ -388,6 +388,17 @@ def test_licenses(spark, docs, rows):
     assert licenses.scan(docs, spark.createDataFrame([], "license string, text string")).filter(F.size("licenses") > 0).count() == 0
 
 
+def test_short_templates(spark):
+    known = spark.createDataFrame([("three", "Acme-Free licence!"), ("two", "Zlib licence"), ("one", "WTFPL"), ("four", "as free as air"), ("five", "one may use this freely"), ("none", "...")], "license string, text string")
+    fill = " ".join(f"filler{i}" for i in range(500))
+    said = ["acme free LICENCE", "wtfpl", "as free as air", "one may use this freely", "acme licence free", "as free as", "the zlib licence", fill]
+    rows = [(k * 10 + i, f"{' '.join(fill.split()[:at])} {x}. {fill}" if at is not None else x) for i, x in enumerate(said) for k, at in enumerate((None, 0, 3, 6, 7, 8, 301))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {0: ["three"], 1: ["one"], 2: ["four"], 3: ["five"], 6: ["two"]}
+    for r in licenses.scan(frame, known).collect():
+        assert r["licenses"] == want.get(r["doc_id"] % 10, []) and (r["n_windows"] > 0) == bool(r["licenses"]), r
+
+
 def test_queries_return_their_columns(spark, data):
     for name in ("op1_decontamination", "op4_secrets", "op10_licenses"):
         assert queries.QUERIES[name](spark, data).count() == spark.read.parquet(f"{data}/documents.parquet").count()
