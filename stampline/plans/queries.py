@@ -339,8 +339,8 @@ def itn_modes(spark, d):
 
 @query
 def itn_apply(spark, d):
-    given = ["twenty twenty two", "one hundred dollars", "five point five percent", "it was three hundred and he left. Then two thousand five came.", "", "nothing here"]
-    return spark.createDataFrame(list(enumerate(given)), "id int, text string").select("id", itn.apply(F.col("text")).alias("text"))
+    """The whole text of every document, normalised."""
+    return _docs(spark, d).select("doc_id", itn.apply(F.col("text")).alias("text"))
 
 
 @query
