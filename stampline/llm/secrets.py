@@ -1,8 +1,7 @@
-"""Secret scans: a trigram index narrows the texts for each rule, regexes verify the candidates; DataFrame functions only.
+"""Secret scans: a trigram prefilter narrows the texts for each rule, regexes verify the candidates; DataFrame functions only.
 
-The dictionary holds the trigrams of the Boolean queries derived from the rules' regexes. Their posting lists are kept
-column-wise, one bit per text, so that intersecting and uniting postings are Boolean operations on each row and nothing is
-shuffled for the index. A rule whose regex has no mandatory trigrams scans every text.
+No inverted index is built. The Boolean trigram queries derived from the rules' regexes are evaluated on each text by itself, so
+there are no posting lists and nothing is shuffled for them. A rule whose regex has no mandatory trigrams scans every text.
 """
 
 from __future__ import annotations
@@ -106,7 +105,7 @@ def trigram_query(regex: str, any_case: bool = False) -> list[list[list[str]]]:
 
 
 def candidate(text: Column, lowered: Column, rule: Rule) -> Column:
-    """Whether the postings leave a text as a candidate of the rule; true for every text if the rule has no trigrams."""
+    """Whether the rule's trigram query leaves a text as a candidate of the rule; true for every text if the rule has no trigrams."""
     on = lowered if rule.any_case else text
     has = lambda t: F.contains(on, F.lit(t))
     every = lambda xs: reduce(lambda a, b: a & b, xs)
