@@ -1,4 +1,5 @@
-"""License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies them.
+"""License scans: an exact lookup of template shingles retrieves text windows, MinHash bands match them with templates, exact shingle containment
+verifies these. The bands can drop a window, never add one.
 DataFrame functions only.
 
 A window can match a template only if it holds one of the template's shingles; windows without any, as the scan for whole shingles finds
