@@ -3,7 +3,9 @@ above their bound exchange documents and run best-fit decreasing again."""
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import sys
 from collections.abc import Callable, Iterator
 from struct import pack
@@ -25,9 +27,27 @@ LENGTH, PIECES, ROUNDS = 2048, 20_000, 4
 REMEMBERED = 700_000
 
 
+# The form of a tokenizer whose chunks between white space can be encoded one by one.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPLIT = {"type": "Split", "pattern": {"Regex": _PIECES}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_FORM = (_NORMALIZER, {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}, None)
+
+
+def letters(word: str) -> str | None:
+    """The normalised word if it is one pre-token of letters, else None. It is judged by what is left of it: a capital may become a letter and a
+    mark. Only letters below U+0530 count, on which all versions of Unicode that are in use agree."""
+    if word.isascii():
+        return word.lower() if word.isalpha() else None
+    word = "".join(c.lower() for c in normalize("NFC", word))
+    return word if word.isalpha() and max(word) < "\u0530" else None
+
+
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes. The pre-tokenizer never joins characters across white space, so the
-    white-space-separated chunks of a text are encoded one by one and remembered; the ids equal those of the whole text."""
+    """Ids of whole texts as little-endian unsigned 32-bit bytes. A tokenizer of the form above never joins characters across white space, so the
+    white-space-separated chunks of a text are encoded one by one and remembered; the ids equal those of the whole text. With a
+    tokenizer of another form, whole texts are encoded."""
 
     def __init__(self, file: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -35,6 +55,9 @@ class Encoder:
 
         self.tokenizer, self.known = Tokenizer.from_file(file), {}
         self.model = self.tokenizer.model
+        form = json.loads(self.tokenizer.to_str())
+        special = all(not t["lstrip"] and not t["rstrip"] and not t["single_word"] and t["content"].startswith("<|") and not re.search(r"\s", t["content"]) for t in form["added_tokens"])
+        self.by_chunk = special and (form["normalizer"], form["pre_tokenizer"], form["truncation"]) == _FORM
         # the byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for the characters from 256 on
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         self.alphabet = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
@@ -43,17 +66,9 @@ class Encoder:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [np.asarray(e.ids, "<u4").tobytes() for e in encode(texts, add_special_tokens=False)]
 
-    def _word(self, word: str) -> bytes | None:
-        """Ids of a word of letters, which is one pre-token: normalised, in bytes' characters, straight through the merges. None if
-        it has other characters once it is normalised."""
-        if word.isascii():
-            word = word.lower()
-        else:
-            word = "".join(c.lower() for c in normalize("NFC", word))
-            if not word.isalpha():
-                return None
-            word = word.encode().decode("latin-1").translate(self.alphabet)
-        ids = [t.id for t in self.model.tokenize(word)]
+    def _word(self, word: str) -> bytes:
+        """Ids of one pre-token, normalised, straight through the merges."""
+        ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet))]
         return pack(f"<{len(ids)}I", *ids)
 
     def _learn(self, new: set[str]) -> None:
@@ -62,14 +77,16 @@ class Encoder:
         if len(known) + len(new) > REMEMBERED:
             known.clear()
         # a word of letters with one mark after it is two pre-tokens
-        ends = {c for c in new if len(c) > 1 and c[-1] in ".,;:!?)|" and c[:-1].isalpha()}
+        ends = {c for c in new if len(c) > 1 and c[-1] in ".,;:!?)|" and letters(c[:-1])}
         need = (new - ends) | {p for c in ends for p in (c[:-1], c[-1]) if p not in known}
-        known.update((c, ids) for c in need if c.isalpha() and (ids := self._word(c)) is not None)
+        known.update((c, self._word(w)) for c in need if (w := letters(c)))
         rest = [c for c in need if c not in known]
         known.update(zip(rest, self._ids(rest), strict=True))
         known.update((c, known[c[:-1]] + known[c[-1]]) for c in ends)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_chunk:
+            return self._ids(texts)
         # x1C to x1F are white space for str.split() and not for the tokenizer
         odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
         # the special tokens' own strings are found before lower-casing
@@ -210,7 +227,7 @@ def pack_pieces(pieces_: DataFrame, capacity: int = LENGTH, per_partition: int =
 def pack_documents(docs: DataFrame, file: str, length: int = LENGTH) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece of every row of ``docs``.
 
-    Null and empty texts are one piece of the end id. Null doc_id and repeated rows are packed like any other. Ties are broken by
+    file: a tokenizer's JSON file, of any kind. Null and empty texts are one piece of the end id. Null doc_id and repeated rows are packed like any other. Ties are broken by
     id and piece. Other columns are not read; an empty table gives no rows.
     """
     return pack_pieces(table(pieces(docs, file, length), "pieces"), length)
