@@ -8,6 +8,7 @@ import os
 import re
 import sys
 from collections.abc import Callable, Iterator
+from string import punctuation
 from struct import pack
 from types import ModuleType
 from unicodedata import normalize
@@ -40,11 +41,13 @@ def letters(word: str) -> str | None:
     mark. Only letters below U+0530 count, on which all versions of Unicode that are in use agree."""
     if word.isascii():
         return word.lower() if word.isalpha() else None
-    word = "".join(c.lower() for c in normalize("NFC", word))
+    word = normalize("NFC", word)
+    # lower() looks around a final sigma, the tokenizer doesn't
+    word = word.lower() if "Σ" not in word else "".join(c.lower() for c in word)
     return word if word.isalpha() and max(word) < "\u0530" else None
 
 
-class Encoder:
+class Encoder(dict):
     """Ids of whole texts as little-endian unsigned 32-bit bytes. A tokenizer of the form above never joins characters across white space, so the
     white-space-separated chunks of a text are encoded one by one and remembered; the ids equal those of the whole text. With a
     tokenizer of another form, whole texts are encoded."""
@@ -53,7 +56,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(file), {}
+        self.tokenizer = Tokenizer.from_file(file)
         self.model = self.tokenizer.model
         form = json.loads(self.tokenizer.to_str())
         special = all(not t["lstrip"] and not t["rstrip"] and not t["single_word"] and t["content"].startswith("<|") and not re.search(r"\s", t["content"]) for t in form["added_tokens"])
@@ -67,36 +70,34 @@ class Encoder:
         return [np.asarray(e.ids, "<u4").tobytes() for e in encode(texts, add_special_tokens=False)]
 
     def _word(self, word: str) -> bytes:
-        """Ids of one pre-token, normalised, straight through the merges."""
+        """Ids of one pre-token of letters, normalised, straight through the merges."""
+        if word in self:
+            return self[word]
         ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet))]
-        return pack(f"<{len(ids)}I", *ids)
-
-    def _learn(self, new: set[str]) -> None:
-        """Encode chunks that are not known; words of letters take the short way."""
-        known = self.known
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-        # a word of letters with one mark after it is two pre-tokens
-        ends = {c for c in new if len(c) > 1 and c[-1] in ".,;:!?)|" and letters(c[:-1])}
-        need = (new - ends) | {p for c in ends for p in (c[:-1], c[-1]) if p not in known}
-        known.update((c, self._word(w)) for c in need if (w := letters(c)))
-        rest = [c for c in need if c not in known]
-        known.update(zip(rest, self._ids(rest), strict=True))
-        known.update((c, known[c[:-1]] + known[c[-1]]) for c in ends)
+        self[word] = ids = pack(f"<{len(ids)}I", *ids)
+        return ids
+
+    def __missing__(self, chunk: str) -> bytes:
+        """Ids of a chunk that is not known. Words of letters take the short way; with ASCII punctuation after them they are two pre-tokens."""
+        if (word := letters(chunk)) is not None:
+            ids = self._word(word)
+        else:
+            stem = chunk.rstrip(punctuation)
+            word = letters(stem) if stem and stem != chunk else None
+            ids = self._word(word) + self[chunk[len(stem) :]] if word else self._ids([chunk])[0]
+        self[chunk] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
             return self._ids(texts)
+        if len(self) > REMEMBERED:
+            self.clear()
         # x1C to x1F are white space for str.split() and not for the tokenizer
         odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
         # the special tokens' own strings are found before lower-casing
         chunks = [[] if o else t.lower().split() if t.isascii() and "<|" not in t else t.split() for t, o in zip(texts, odd, strict=True)]
-        found = [list(map(self.known.get, c)) for c in chunks]
-        new = {c for cs, f in zip(chunks, found, strict=True) if None in f for c, x in zip(cs, f, strict=True) if x is None}
-        if new:
-            self._learn(new | {c for cs in chunks for c in cs} if len(self.known) + len(new) > REMEMBERED else new)
-            found = [list(map(self.known.__getitem__, c)) if None in f else f for c, f in zip(chunks, found, strict=True)]
-        return [self._ids([t])[0] if o else b"".join(f) for t, f, o in zip(texts, found, odd, strict=True)]
+        return [self._ids([t])[0] if o else b"".join(map(self.__getitem__, c)) for t, c, o in zip(texts, chunks, odd, strict=True)]
 
 
 def encoder(file: str) -> Encoder:
