@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
 
-_made: list[tuple[SparkSession, str]] = []
+#: The frames that table() gave and their paths, by identity.
+_made: dict[int, tuple[DataFrame, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one of our own only where none is set (tests)."""
+    """The folder that the driver and all executors share, from spark.checkpoint.dir. Where that is unset, a temporary folder of our own serves
+    a local master, as in tests; on a cluster it would be another folder on each machine, so a RuntimeError is raised."""
     path = spark.conf.get("spark.checkpoint.dir", None) or getattr(shared_dir, "own", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="stampline-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
@@ -28,21 +32,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: the lineage is cut, lost executors cost nothing but their
-    running tasks. The files go when the driver's process ends."""
+    running tasks. The files go when the driver's process ends, or with drop()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _made:
         atexit.register(_clean)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _made[id(out)] = (out, path)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by table(), once all that was made of them has been written."""
+    for t in tables:
+        _delete(t.sparkSession, _made.pop(id(t))[1])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def _clean() -> None:
-    for spark, path in _made:
+    for made, path in _made.values():
         try:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _delete(made.sparkSession, path)
         except Exception:  # noqa: BLE001  the gateway may be gone when the interpreter ends
             return
 

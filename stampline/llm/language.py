@@ -11,15 +11,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fits, held_out
+from .common import drop, fits, held_out, table
 from .ngrams import BUCKETS, counts
 
-#: Most rows of a language that the model is fitted on, those with the least hash of their id; one in CALIBRATED sets the temperature.
+#: Most rows of a language that the model is fitted on, those with the least hash of id and text; one in CALIBRATED sets the temperature.
 TRAINED, CALIBRATED = 1_000, 5
 #: FTRL: learning rate, its offset, L1 and L2 penalties, passes.
 RATE, OFFSET, L1, L2, PASSES = 0.5, 1.0, 0.02, 0.05, 3
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and signs such as fractions, which has_letter() tells from them.
+_WORDLIKE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether the text has a character of a Unicode category of letters."""
+    return text is not None and any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
 
 
 def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -45,18 +51,36 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def least_hashed(rows: DataFrame, most: int) -> DataFrame:
-    """doc_id, lang: of each language the ``most`` rows with the least hash of their id. A histogram of the hashes with logarithmic bins, of some
-    4000 bins a language at most, tells up to which bin they lie; only rows up to there, a few hundredths more than ``most`` however
-    large and hot a language is, are ranked."""
-    h = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
-    hashed = rows.select("doc_id", "lang", h.alias("h"), F.floor(F.log2(h + 1.0) * 64).cast("int").alias("bin"))
-    bins = hashed.groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("n"))
+    """doc_id, lang, text_hash: of each language the ``most`` distinct ones of these with the least hash of id and text.
+
+    A histogram of the hashes with logarithmic bins, of some 4000 bins a language at most, tells up to which bin they lie; only
+    rows up to there are made distinct and ranked, however large and hot a language is, and copies fall together before
+    they are shuffled. Where copies leave fewer than ``most``, the bound is raised fourfold, until there are enough or no rows are
+    left out; one number a language comes to the driver each time.
+    """
+    keyed = rows.select("doc_id", "lang", F.xxhash64("text").alias("text_hash"))
+    h = F.shiftrightunsigned(F.xxhash64("doc_id", "text_hash"), 1)
+    hashed = keyed.withColumn("h", h).withColumn("bin", F.floor(F.log2(F.col("h") + 1.0) * 64).cast("int"))
+    bins = table(hashed.groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("n")), "bins")
     before = F.sum("n").over(Window.partitionBy("lang").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    cut = bins.withColumn("before", before).filter(F.col("before") < most).groupBy(F.col("lang").alias("of")).agg(F.max("bin").alias("cut"))
-    cut = F.broadcast(cut) if fits(cut) else cut
-    near = hashed.join(cut, F.col("lang") == F.col("of")).filter(F.col("bin") <= F.col("cut"))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    return near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).select("doc_id", "lang")
+    last = F.max("bin").over(Window.partitionBy("lang"))
+    upto = most
+    while True:
+        cut = bins.withColumns({"before": before, "last": last}).filter(F.col("before") < upto).groupBy(F.col("lang").alias("of"), "last").agg(F.max("bin").alias("cut"))
+        cut = table(cut, "cuts")
+        near = hashed.join(F.broadcast(cut) if fits(cut) else cut, F.col("lang") == F.col("of")).filter(F.col("bin") <= F.col("cut"))
+        near = table(near.select("doc_id", "lang", "text_hash", "h").distinct(), "least")
+        have = near.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+        few = cut.filter("cut < last").join(have, F.col("lang") == F.col("of"), "left").filter(F.coalesce("n", F.lit(0)) < most)
+        enough = not few.count()
+        drop(cut)
+        if enough:
+            break
+        drop(near)
+        upto *= 4
+    drop(bins)
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "text_hash")
+    return near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).select("doc_id", "lang", "text_hash")
 
 
 class Model:
@@ -117,7 +141,7 @@ class Model:
         self.temperature = float(np.exp((lo + hi) / 2))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.names or not _LETTER.search(text):
+        if not self.names or not has_letter(text):
             return UNKNOWN, 0.0
         n = counts(text.lower())
         at = np.flatnonzero(n > 0)
@@ -131,12 +155,13 @@ class Model:
 
 def fit(docs: DataFrame, trained: int = TRAINED) -> Model:
     """From the rows that have a language and are not held out: document frequencies of all of them, weights of at most ``trained`` of each
-    language. Rows of null id, text or language teach nothing."""
+    language, those of the least hash of id and text; equal rows of id, language and text count as one of them. Rows of null id, text or
+    language teach nothing. The model has a column a language, so their number must be one that a driver can hold."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     df, n = document_frequency(rows)
-    chosen = least_hashed(rows, trained).select(F.col("doc_id").alias("id")).distinct()
-    side = F.broadcast(chosen) if fits(chosen) else chosen
+    chosen = least_hashed(rows, trained).select(F.col("doc_id").alias("id"), F.col("lang").alias("of"), "text_hash")
+    side = F.broadcast(chosen) if fits(chosen, F.octet_length("of") + 32) else chosen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -149,7 +174,9 @@ def fit(docs: DataFrame, trained: int = TRAINED) -> Model:
                     rows.append(np.c_[at, m[at]].astype("<u4").tobytes())
                 yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(rows, pa.binary())], ["id", "lang", "row"])
 
-    sample = rows.join(side, F.col("doc_id") == F.col("id")).select("id", "lang", "text").mapInArrow(run, "id long, lang string, row binary")
+    same = (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("of")) & (F.xxhash64("text") == F.col("text_hash"))
+    sample = rows.join(side, same).select("id", "lang", "text_hash", "text").dropDuplicates(["id", "lang", "text_hash"])
+    sample = sample.select("id", "lang", "text").mapInArrow(run, "id long, lang string, row binary")
     got = sorted((r["id"], r["lang"], bytes(r["row"])) for r in sample.toLocalIterator())
     got = [got[i] for i in np.random.default_rng(5).permutation(len(got))]
     features = [(m[:, 0].astype(np.int64), m[:, 1].astype(float)) for m in (np.frombuffer(r[2], "<u4").reshape(-1, 2) for r in got)]
@@ -189,7 +216,7 @@ def keep_known(docs: DataFrame, model: Model, least: float | None = None) -> Dat
                 if model.names:
                     keep = [g[0] != UNKNOWN and g[1] >= least for g in map(model.predict, texts)]
                 else:
-                    keep = [t is not None and _LETTER.search(t) is not None for t in texts]
+                    keep = [has_letter(t) for t in texts]
                 yield c.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

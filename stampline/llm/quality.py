@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits, held_out
+from .common import drop, fits, held_out, table
 from .ngrams import BUCKETS, counts
 
-#: Most labelled rows that the model is fitted on, those with the least hash of their id; of them one in CALIBRATED sets the curve.
+#: Most labelled rows that the model is fitted on; of them one in CALIBRATED sets the curve.
 TRAINED, CALIBRATED = 8_000, 5
 #: Smoothing of counts, cost of the hinge loss, passes of coordinate descent.
 ALPHA, COST, PASSES = 1.0, 1.0, 12
@@ -57,15 +57,15 @@ def log_ratio(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], sign: np.ndarray, cost: np.ndarray, passes: int = PASSES) -> tuple[np.ndarray, float]:
-    """Weights and bias of the L2-regularised squared-hinge model. rows and values: the sparse rows; sign: +1 or -1."""
+    """Weights and bias of the L2-regularised linear hinge-loss model. rows and values: the sparse rows; sign: +1 or -1; cost: of each row,
+    the upper bound of its dual variable, 0 the lower."""
     w, bias, a = np.zeros(FEATURES), 0.0, np.zeros(len(rows))
-    diag = 0.5 / cost
-    norm = np.array([float((v * v).sum()) + 1.0 for v in values]) + diag
+    norm = np.array([float((v * v).sum()) + 1.0 for v in values])
     rng = np.random.default_rng(7)
     for _ in range(passes):
         for i in rng.permutation(len(rows)):
-            g = sign[i] * (w[rows[i]] @ values[i] + bias) - 1 + diag[i] * a[i]
-            new = max(a[i] - g / norm[i], 0.0)
+            g = sign[i] * (w[rows[i]] @ values[i] + bias) - 1
+            new = min(max(a[i] - g / norm[i], 0.0), cost[i])
             if new != a[i]:
                 step = (new - a[i]) * sign[i]
                 w[rows[i]] += step * values[i]
@@ -124,12 +124,16 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, trained: int = TRAINED) -> Model:
-    """From the ``trained`` labelled rows with the least hash of their id that are not held out. Rows of null id or label teach nothing; of
-    several labels of an id the least counts, of several texts every one."""
+    """From at most ``trained`` labelled rows that are not held out: of the ``trained`` ids with the least hash, the rows with the least hash of
+    id and text. Rows of null id or label teach nothing; of several labels of an id the least counts, and equal rows of id and text are one."""
     named = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     named = named.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").cast("int").alias("y"))
-    chosen = named.orderBy(F.xxhash64("id"), "id").limit(trained)
-    side = F.broadcast(chosen) if fits(chosen) else chosen
+    ids = table(named.orderBy(F.xxhash64("id"), "id").limit(trained), "labelled")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    side = F.broadcast(ids) if fits(ids) else ids
+    pairs = texts.select("doc_id", "hash").join(side, F.col("doc_id") == F.col("id")).select("id", "y", F.col("hash").alias("of")).distinct()
+    pairs = table(pairs.orderBy(F.xxhash64("id", "of"), "id", "of").limit(trained), "chosen")
+    chosen = F.broadcast(pairs) if fits(pairs) else pairs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -138,9 +142,10 @@ def fit(docs: DataFrame, labels: DataFrame, trained: int = TRAINED) -> Model:
                 rows = [indicator(t.as_py()).astype("<u2").tobytes() for t in c.column(2)]
                 yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(rows, pa.binary())], ["id", "y", "row"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(side, F.col("doc_id") == F.col("id")).select("id", "y", "text").mapInArrow(run, "id long, y int, row binary")
+    rows = texts.join(chosen, (F.col("doc_id") == F.col("id")) & (F.col("hash") == F.col("of"))).dropDuplicates(["id", "of"])
+    rows = rows.select("id", "y", "text").mapInArrow(run, "id long, y int, row binary")
     got = sorted((r["id"], r["y"], bytes(r["row"])) for r in rows.toLocalIterator())
+    drop(ids, pairs)
     rng = np.random.default_rng(3).permutation(len(got))
     return Model([np.frombuffer(got[i][2], "<u2").astype(np.int64) for i in rng], np.array([got[i][1] for i in rng], int))
 
