@@ -6,16 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, table
 
 COSINE = 0.98
-#: Tables, hashes of a table's bucket, and buckets of a table that a vector is put in (its own and the likeliest others).
-TABLES, HASHES, PROBES = 8, 2, 2
+#: Tables; buckets of a table for each vector of the largest label, from which the number of hashes follows; its bounds.
+TABLES, ROOM, FEWEST, MOST = 8, 32, 2, 5
 #: Vectors of a bucket that are compared in one piece; larger buckets are cut into blocks, and each pair of blocks is a unit of its own.
-BLOCK = 1024
+BLOCK = 512
 SEED = 20240229
 
 
@@ -30,18 +31,27 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def buckets(unit: np.ndarray) -> np.ndarray:
-    """(n, TABLES, PROBES) bucket numbers: in each table the closest signed axes after pseudo-random rotations; the other probes exchange the
-    least certain axis for the next one."""
+def hashes(size: int, d: int) -> int:
+    """How many hashes a bucket is named by, for ``size`` vectors of length ``d`` in the largest label: as few as give ROOM buckets a vector, so that
+    vectors that are not alike rarely meet however many there are. A bucket is tried in as many places (its own and the likeliest
+    others), which keeps the chance to meet up while buckets get smaller."""
+    axes = 2 << max(1, (d - 1).bit_length())
+    return min(max(FEWEST, int(np.ceil(np.log(max(ROOM * size, 2)) / np.log(axes)))), MOST)
+
+
+def buckets(unit: np.ndarray, size: int) -> np.ndarray:
+    """(n, TABLES, k) bucket numbers, k = hashes(size, d): in each table the closest signed axes after pseudo-random rotations; the other probes
+    exchange one of the least certain axes for the next one."""
     n, d = unit.shape
     p = 1 << max(1, (d - 1).bit_length())
     x = np.zeros((n, p))
     x[:, :d] = unit
     rng = np.random.default_rng(SEED)
-    out = np.zeros((n, TABLES, PROBES), np.int64)
+    count = hashes(size, d)
+    out = np.zeros((n, TABLES, count), np.int64)
     for t in range(TABLES):
         first, second, margin = [], [], []
-        for _ in range(HASHES):
+        for _ in range(count):
             y = x
             for _ in range(3):
                 y = hadamard(y * rng.choice([-1.0, 1.0], p)) / np.sqrt(p)
@@ -56,18 +66,20 @@ def buckets(unit: np.ndarray) -> np.ndarray:
             margin.append(np.abs(size[:, 0] - size[:, 1]))
         first, second = np.array(first), np.array(second)
         order = np.argsort(np.array(margin), axis=0, kind="stable")
-        base = (2 * p) ** np.arange(HASHES)
+        base = (2 * p) ** np.arange(count)
         home = (first * base[:, None]).sum(0)
         out[:, t, 0] = home
-        for q in range(1, PROBES):
+        for q in range(1, count):
             i = order[q - 1]
             out[:, t, q] = home + (second[i, np.arange(n)] - first[i, np.arange(n)]) * base[i]
-        out[:, t] += t * (2 * p) ** HASHES
+        out[:, t] += t * (2 * p) ** count
     return out
 
 
 def signatures(vectors: DataFrame) -> DataFrame:
-    """vec_id, label, class, vector, keys: class is the hash of label and components; keys is null for a vector that links with nothing."""
+    """vec_id, label, vector, keys, class, check: the last two are hashes of label and components, of 128 bits in all; keys is null for a vector
+    that links with nothing."""
+    size = vectors.filter("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -80,22 +92,24 @@ def signatures(vectors: DataFrame) -> DataFrame:
                     at = [k for k, o in enumerate(ok) if o and len(rows[k]) == d]
                     x = np.array([rows[k] for k in at], np.float64)
                     x /= np.abs(x).max(1, keepdims=True)  # else the squares of very small or large components are lost
-                    for k, row in zip(at, buckets(x / np.linalg.norm(x, axis=1, keepdims=True)).reshape(len(at), -1).tolist(), strict=True):
+                    for k, row in zip(at, buckets(x / np.linalg.norm(x, axis=1, keepdims=True), size).reshape(len(at), -1).tolist(), strict=True):
                         keys[k] = row
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(keys, pa.list_(pa.int64()))], ["vec_id", "label", "vector", "keys"])
 
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("vector"))
     signed = rows.mapInArrow(run, "vec_id long, label long, vector array<double>, keys array<bigint>")
-    return signed.withColumn("class", F.xxhash64("label", "vector"))
+    return signed.withColumns({"class": F.xxhash64("label", "vector"), "check": F.xxhash64(F.lit("check"), "vector", "label")})
 
 
-def _first_shared(keys: np.ndarray, a: np.ndarray, b: np.ndarray, here: int) -> np.ndarray:
+def _first_shared(keys: np.ndarray, a: np.ndarray, b: np.ndarray, here: np.ndarray | int) -> np.ndarray:
     """Whether ``here`` is the first bucket that the members a and b share, so that a pair in several buckets counts once."""
-    least = np.full(len(a), np.iinfo(np.int64).max)
-    for p in range(PROBES):
-        for q in range(PROBES):
-            same = keys[a, p::PROBES] == keys[b, q::PROBES]
-            least = np.minimum(least, np.where(same, keys[a, p::PROBES], np.iinfo(np.int64).max).min(1))
+    x, y, none = keys[a], keys[b], np.iinfo(np.int64).max
+    least = np.full(len(a), none)
+    each = keys.shape[1] // TABLES
+    for p in range(each):
+        for q in range(each):
+            mine = x[:, p::each]
+            least = np.minimum(least, np.where(mine == y[:, q::each], mine, none).min(1))
     return least == here
 
 
@@ -144,29 +158,43 @@ def _units(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Reco
         t = pa.Table.from_batches([b])
         t = t if kept is None else pa.concat_tables([kept, t])
         unit = np.column_stack([t.column(c).to_numpy() for c in ("label", "key", "bi", "bj")])
-        cut = np.flatnonzero((unit[1:] != unit[:-1]).any(1)) + 1
-        first, end = np.r_[0, cut], np.r_[cut, len(unit)]
-        whole = len(first) if last else len(first) - 1
-        kept = t.slice(int(first[-1])) if not last else None
-        sums: list = []
-        pairs: list = []
-        for i in range(whole):
-            if end[i] - first[i] > 1:
-                g = t.slice(int(first[i]), int(end[i] - first[i])).combine_chunks()
-                rows = g.column("vector").to_pylist()
-                keys = np.array(g.column("keys").to_pylist())
-                cls, n, side = (g.column(c).to_numpy() for c in ("class", "n", "side"))
-                for d in {len(r) for r in rows}:
-                    at = np.flatnonzero([len(r) == d for r in rows])
-                    x = np.array([rows[k] for k in at])
-                    x /= np.abs(x).max(1, keepdims=True)
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    some, edges = _unit_links(cls[at], n[at], x, keys[at], int(unit[first[i], 1]), side[at], cosine)
-                    sums += some
-                    pairs += edges
-        a = [s[0] for s in sums] + [e[0] for e in pairs]
-        to = [None] * len(sums) + [e[1] for e in pairs]
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(to, pa.int64()), pa.array([s[1] for s in sums] + [None] * len(pairs), pa.int64())], ["a", "b", "n"])
+        done = len(unit) if last else int(np.r_[0, np.flatnonzero((unit[1:] != unit[:-1]).any(1)) + 1][-1])
+        kept = t.slice(done)
+        t, unit = t.slice(0, done).combine_chunks(), unit[:done]
+        sums, edges = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
+        length = pc.list_value_length(t.column("vector")).to_numpy()
+        for d in np.unique(length):
+            at = np.flatnonzero(length == d)
+            some = t.take(pa.array(at)) if len(at) < len(unit) else t
+            x, keys = (pc.list_flatten(some.column(c)).to_numpy().reshape(len(at), -1) for c in ("vector", "keys"))
+            found = _compare(unit[at], x, keys, *(some.column(c).to_numpy() for c in ("class", "n", "side")), cosine)
+            sums.append(found[0])
+            edges.append(found[1])
+        s, e = np.concatenate(sums), np.concatenate(edges)
+        none = lambda rows: pa.nulls(len(rows), pa.int64())
+        to, count = pa.concat_arrays([none(s), pa.array(e[:, 1])]), pa.concat_arrays([pa.array(s[:, 1]), none(e)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[s[:, 0], e[:, 0]]), to, count], ["a", "b", "n"])
+
+
+def _compare(unit: np.ndarray, x: np.ndarray, keys: np.ndarray, cls: np.ndarray, n: np.ndarray, side: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """(class, count) and (class, class) of all units of vectors of one length. Units of two, which most are, are compared all at once."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cut = np.flatnonzero((unit[1:] != unit[:-1]).any(1)) + 1
+    first, end = np.r_[0, cut], np.r_[cut, len(unit)]
+    a = first[end - first == 2]
+    a = a[((side[a] == 2) | (side[a] != side[a + 1])) & (cls[a] != cls[a + 1])]
+    a = a[np.einsum("ij,ij->i", x[a], x[a + 1]) >= cosine]
+    a = a[_first_shared(keys, a, a + 1, unit[a, 1])] if len(a) else a
+    sums = [np.column_stack((np.r_[cls[a], cls[a + 1]], np.r_[n[a + 1], n[a]]))]
+    edges = [np.column_stack((cls[a], cls[a + 1]))]
+    for i in np.flatnonzero(end - first > 2):
+        u = slice(first[i], end[i])
+        some, pairs = _unit_links(cls[u], n[u], x[u], keys[u], int(unit[first[i], 1]), side[u], cosine)
+        if some:
+            sums.append(np.array(some, np.int64))
+            edges.append(np.array(pairs, np.int64).reshape(-1, 2))
+    return np.concatenate(sums).astype(np.int64), np.concatenate(edges).astype(np.int64)
 
 
 def _ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch]]:
@@ -184,18 +212,18 @@ def _ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordB
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of ``vectors`` (vec_id, embedding, label).
 
-    Equal vectors of a label are one class before anything is compared. Classes meet in the buckets of TABLES tables; a bucket that
-    is larger than BLOCK is cut into blocks whose pairs are dealt out as units, so that no task gets a whole hot bucket. A
-    unit computes cosines in double precision and yields link counts and a spanning forest, never its pairs; a pair
-    that meets in several buckets counts in the first one only.
+    Equal vectors of a label, by 128 bits of hashes, are one class before anything is compared. Classes meet in the buckets of TABLES
+    tables, whose number grows with the largest label; a bucket that is larger than BLOCK is cut into blocks whose pairs are dealt
+    out as units, so that no task gets a whole hot bucket. A unit computes cosines in double precision and yields link counts and a
+    spanning forest, never its pairs; a pair that meets in several buckets counts in the first one only.
 
     Vectors that are null, zero, of null label, or hold null or non-finite components have no links and are their own component.
     Vectors of different length don't link. Null vec_id: links as any other, component_id is the least id that is not
     null. Repeated rows are equal vectors. Other columns are not read; an empty table gives no rows.
     """
     signed = table(signatures(vectors), "signatures")
-    members = signed.filter("keys is not null").groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"), *(F.first(c).alias(c) for c in ("label", "vector", "keys")))
-    members = table(members, "classes")
+    members = signed.filter("keys is not null").groupBy("class", "check").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"), *(F.first(c).alias(c) for c in ("label", "vector", "keys")))
+    members = table(members.select(F.col("class").alias("_class"), F.col("check").alias("_check"), F.monotonically_increasing_id().alias("class"), "n", "least", "label", "vector", "keys"), "classes")
     placed = members.select("label", "class", F.explode(F.array_distinct("keys")).alias("key"))
     large = placed.groupBy("label", "key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
     large = large.select("label", "key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
@@ -212,10 +240,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     counts = found.filter("n is not null").groupBy("a").agg(F.sum("n").alias("more"))
     roots = components(found.filter("b is not null").select("a", "b"), "embeddings")
     named = members.join(counts, F.col("class") == F.col("a"), "left").join(roots, F.col("class") == F.col("node"), "left")
-    named = named.select("class", F.col("least"), (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("root", "class").alias("root"))
+    named = named.select("_class", "_check", "least", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("root", "class").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select(F.col("class").alias("_class"), "n_links", "component_id")
-    rows = signed.select("vec_id", F.when(F.col("keys").isNotNull(), F.col("class")).alias("class"))
-    rows = rows.join(named, F.col("class") == F.col("_class"), "left")
+    named = named.join(least, "root").select("_class", "_check", "n_links", "component_id")
+    rows = signed.select("vec_id", F.when(F.col("keys").isNotNull(), F.col("class")).alias("class"), "check")
+    rows = rows.join(named, (F.col("class") == F.col("_class")) & (F.col("check") == F.col("_check")), "left")
     component = F.coalesce("component_id", "vec_id")
     return rows.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
