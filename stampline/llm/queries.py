@@ -27,7 +27,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.remove_repeats(_read(spark, sf_dir, "documents"), with_text=False).drop("kept")
+    return substring.remove_repeats(_read(spark, sf_dir, "documents"), with_text=False).drop("kept", "repeats")
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
