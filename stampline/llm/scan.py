@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, ascii_lower
+from .common import BROADCAST_BYTES, BROADCAST_ROWS, ascii_lower
 
 #: What is not part of a word, before A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -39,16 +39,21 @@ def grams(items: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     )
 
 
-def find(docs: DataFrame, keys: list[Column], text_col: str, wanted: DataFrame, carry: list[Column] | None = None, rows: int = BROADCAST_ROWS) -> DataFrame:
+def find(docs: DataFrame, keys: list[Column], text_col: str, wanted: DataFrame, carry: list[Column] | None = None, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """Every occurrence of the ``wanted`` grams: the keys, start (word index), n, ids; and for each document one row with n = 0
-    and start = its number of words. The wanted set is broadcast in blocks of at most ``rows`` grams: a larger set takes
-    more passes over the texts, so what is broadcast stays bounded. ``carry``: more columns of the row, made from ``ws``."""
-    count = wanted.count()
-    blocks = max(1, -(-count // rows))
+    and start = its number of words. The wanted set is broadcast in blocks of about ``rows`` grams and ``size`` bytes, ids included: a
+    larger set takes more passes over the texts, so what is broadcast stays bounded. An id list that is longer than a block by itself is
+    broadcast in pieces. ``carry``: more columns of the row, made from ``ws``, ``pos`` and ``back``."""
+    weight = 48 + 2 * F.octet_length("anchor") + F.octet_length("gram")
+    # pieces of about a sixteenth of a block at most
+    most = max(1, size // 16 // 24)
+    wanted = wanted.withColumn("ids", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("ids") - 1, F.lit(0)), F.lit(most)), lambda i: F.slice("ids", i + 1, most))))
+    count, total = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(weight + 24 * F.size("ids") + F.octet_length(F.array_join("ids", ""))), F.lit(0))).first()
+    blocks = max(1, -(-count // rows), -(-total // size))
     longest = wanted.agg(F.coalesce(F.min(F.octet_length("anchor")), F.lit(1))).first()[0]
     spark, parts = docs.sparkSession, []
     for b in range(blocks):
-        part = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == b)
+        part = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("gram", "ids"), F.lit(blocks)) == b)
         ends = spark.range(1 if b == 0 else 0)
         anchors = part.select("anchor", "n", "back").distinct().union(ends.select(F.lit(END), F.lit(0), F.lit(0)))
         # found by its own anchor only, else a window with several anchor words would be found several times
