@@ -1,9 +1,10 @@
-"""HTML extraction: flat text blocks with their own and their neighbours' word count and link density, classified by a decision tree
-that is trained here on a small labelled table."""
+"""HTML extraction: flat text blocks with their own and their neighbours' word count and link density, and the kinds of the elements they are in,
+classified by a decision tree that is trained here on a small labelled table."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -21,12 +22,29 @@ BLOCK = frozenset(
 )
 CONTAINER = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol search section table td ul".split())
 BOILER = frozenset("nav footer aside form menu dialog button search".split())
+SECTION = frozenset("article aside body details dialog div footer form header main nav search section td".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6 legend summary".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of a class or id that mark what is around the article.
+#: Words of a class or id that mark what is around the article, and words that say nothing beside them. A name marks an element if all its parts are of
+#: these and one of the first: "social-share-list" does, "social-history" doesn't.
 MARKS = frozenset(
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies copyright disqus footer header masthead menu modal nav "
-    "navbar navigation newsletter notice popup promo promoted promotion related share sharing sidebar social sponsor sponsored subscribe tags toolbar widget".split()
+    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies copyright discussion disqus footer header masthead menu modal nav "
+    "navbar navigation newsletter notice popup promo promoted promotion related replies reply responses share sharing sidebar social sponsor sponsored subscribe tags toolbar widget".split()
 )
+BESIDE = frozenset(
+    "area bar block body bottom box button buttons consent container content form fixed global group icons inner item items left links list main media outer page panel post posts "
+    "primary reader readers right row secondary section site sticky stories story thread top user users wrap wrapper".split()
+)
+
+
+def marked(names: str) -> bool:
+    """Whether one of the names of a class, id or role marks an element."""
+    for name in names.lower().split():
+        parts = [x for x in re.split(r"[^a-z]+", name) if x]
+        if not MARKS.isdisjoint(parts) and all(x in MARKS or x in BESIDE for x in parts):
+            return True
+    return False
+
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|([^<]+|<(?![A-Za-z/!?]))", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -39,6 +57,9 @@ class Block:
     linked: int
     boiler: bool
     article: bool
+    heading: bool
+    #: Number of the section that the block is in.
+    section: int
 
     @property
     def density(self) -> float:
@@ -50,6 +71,7 @@ class _Open:
     tag: str
     boiler: bool
     article: bool
+    section: int
 
 
 @dataclass
@@ -59,6 +81,8 @@ class _State:
     linked: list[str] = field(default_factory=list)
     #: Whether the article has begun; later ones inside boilerplate are comments or teasers.
     main: bool = False
+    heading: bool = False
+    sections: int = 0
 
 
 def blocks(html: str | None) -> list[Block]:
@@ -66,7 +90,7 @@ def blocks(html: str | None) -> list[Block]:
     is not closed ends with the one around it."""
     html = html or ""
     out = _State()
-    stack = [_Open("", False, False)]
+    stack = [_Open("", False, False, 0)]
     link = 0
     pos, size = 0, len(html)
 
@@ -75,7 +99,7 @@ def blocks(html: str | None) -> list[Block]:
             text = " ".join("".join(out.parts).split())
             if text:
                 linked = len("".join(out.linked).split()) if out.linked else 0
-                out.blocks.append(Block(text, len(text.split()), linked, stack[-1].boiler, stack[-1].article))
+                out.blocks.append(Block(text, len(text.split()), linked, stack[-1].boiler, stack[-1].article, out.heading, stack[-1].section))
             out.parts.clear()
             out.linked.clear()
 
@@ -102,7 +126,7 @@ def blocks(html: str | None) -> list[Block]:
                     out.linked.append(" ")
             elif tag in BLOCK:
                 flush()
-                link = 0
+                link, out.heading = 0, False
                 if tag in CONTAINER:
                     for i in range(len(stack) - 1, 0, -1):
                         if stack[i].tag == tag:
@@ -122,51 +146,68 @@ def blocks(html: str | None) -> list[Block]:
             link += 1
         elif tag in BLOCK:
             flush()
-            link = 0
+            link, out.heading = 0, tag in HEADING
             if tag in CONTAINER and not m[4].rstrip().endswith("/"):
                 # the body's classes ("has-sidebar") tell of what is in it
                 named = m[4] if tag != "body" else ""
-                marks = {w for _, v in _ATTR.findall(named) for w in re.split(r"[^a-z]+", v.lower())} & MARKS if named else set()
+                marks = bool(named) and any(marked(v.strip("\"'")) for _, v in _ATTR.findall(named))
                 top = stack[-1]
                 main = tag in ("article", "main") and not marks and not (top.boiler and out.main)
                 out.main |= main
-                boiler = not main and (top.boiler or tag in BOILER or bool(marks) or (tag == "header" and not top.article))
-                stack.append(_Open(tag, boiler, main or (top.article and not boiler)))
+                boiler = not main and (top.boiler or tag in BOILER or marks or (tag == "header" and not top.article))
+                out.sections += tag in SECTION
+                stack.append(_Open(tag, boiler, main or (top.article and not boiler), out.sections if tag in SECTION else top.section))
     flush()
     return out.blocks
 
 
-#: Of a block: inside boilerplate, inside an article, words, link density, and both of the blocks before and after it.
-FEATURES = ("boiler", "article", "words", "density", "words_before", "density_before", "words_after", "density_after")
+#: Of a block: words, link density, both of the blocks before and after it, both of its section, and the kinds of its elements: a heading, inside an
+#: article, inside boilerplate.
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "section_words", "section_density", "heading", "article", "boiler")
 
-# Blocks labelled by hand (1: main text). Columns as in FEATURES, then the label.
+# Pages whose blocks are labelled by hand. {n+} stands for a block's n words, [n+] for n words in a link; + is main text, - is not.
 LABELLED = (
-    (1, 0, 1, 1.0, 0, 0.0, 1, 1.0, 0), (1, 0, 1, 1.0, 1, 1.0, 1, 1.0, 0), (1, 0, 1, 1.0, 1, 1.0, 9, 0.0, 0), (1, 0, 2, 1.0, 1, 1.0, 3, 1.0, 0),
-    (1, 0, 8, 0.0, 1, 1.0, 12, 0.0, 0), (1, 0, 6, 0.0, 1, 1.0, 8, 0.0, 0), (1, 0, 12, 0.0, 2, 1.0, 10, 0.0, 0), (1, 0, 25, 0.1, 1, 1.0, 14, 0.0, 0),
-    (1, 0, 14, 0.0, 60, 0.0, 0, 0.0, 0), (1, 0, 9, 0.0, 110, 0.0, 0, 0.0, 0), (1, 0, 11, 0.0, 30, 0.0, 0, 0.0, 0), (1, 0, 40, 0.0, 80, 0.0, 0, 0.0, 0),
-    (1, 0, 30, 0.0, 45, 0.0, 22, 0.0, 0), (1, 0, 55, 0.0, 20, 0.0, 30, 0.0, 0), (1, 0, 3, 0.0, 40, 0.0, 25, 0.0, 0), (1, 0, 90, 0.02, 70, 0.0, 4, 0.5, 0),
-    (1, 0, 80, 0.0, 60, 0.0, 90, 0.0, 0), (1, 0, 120, 0.0, 80, 0.0, 70, 0.0, 0), (1, 0, 150, 0.05, 90, 0.0, 3, 1.0, 0), (1, 0, 65, 0.0, 120, 0.0, 0, 0.0, 0),
-    (1, 0, 200, 0.0, 2, 0.0, 60, 0.0, 0), (1, 0, 45, 0.0, 100, 0.0, 110, 0.0, 0), (1, 0, 70, 0.0, 1, 1.0, 50, 0.0, 0), (1, 0, 110, 0.0, 8, 0.0, 35, 0.0, 0),
-    (1, 0, 9, 0.0, 40, 0.0, 75, 0.0, 0), (1, 0, 28, 0.0, 33, 0.0, 60, 0.0, 0), (1, 0, 300, 0.0, 45, 0.0, 2, 0.0, 0), (1, 0, 60, 0.1, 70, 0.0, 65, 0.1, 0),
-    (0, 1, 2, 1.0, 3, 1.0, 4, 1.0, 1), (0, 1, 1, 1.0, 1, 1.0, 1, 1.0, 1), (0, 1, 6, 0.5, 5, 1.0, 3, 1.0, 1), (0, 1, 3, 0.0, 2, 1.0, 2, 1.0, 1),
-    (0, 1, 4, 1.0, 0, 0.0, 2, 1.0, 1), (0, 1, 8, 0.9, 4, 1.0, 5, 0.8, 1), (0, 1, 2, 0.0, 1, 1.0, 0, 0.0, 1), (0, 1, 5, 0.0, 3, 0.0, 2, 0.5, 1),
-    (0, 1, 1, 0.0, 6, 1.0, 7, 1.0, 1), (0, 1, 3, 0.66, 9, 0.0, 1, 1.0, 1), (0, 1, 7, 0.0, 2, 1.0, 6, 0.4, 1), (0, 1, 2, 1.0, 12, 0.0, 0, 0.0, 1),
-    (0, 1, 12, 0.0, 7, 0.0, 30, 0.0, 1), (0, 1, 10, 0.0, 12, 0.0, 55, 0.0, 1), (0, 1, 1, 0.0, 40, 0.0, 60, 0.0, 1), (0, 1, 1, 0.0, 1, 0.0, 1, 0.0, 1),
-    (0, 1, 35, 0.0, 12, 0.0, 20, 0.0, 1), (0, 1, 80, 0.0, 35, 0.0, 6, 0.0, 1), (0, 1, 150, 0.0, 80, 0.0, 14, 0.0, 1), (0, 1, 6, 0.0, 150, 0.0, 12, 0.0, 1),
-    (0, 1, 45, 0.3, 20, 0.0, 30, 0.0, 1), (0, 1, 20, 0.6, 45, 0.1, 30, 0.0, 1), (0, 1, 3, 1.0, 60, 0.0, 50, 0.0, 1), (0, 1, 2, 0.0, 9, 0.0, 0, 0.0, 1),
-    (0, 1, 5, 0.0, 2, 0.0, 10, 0.0, 1), (0, 1, 60, 0.0, 0, 0.0, 0, 0.0, 1), (0, 1, 4, 0.5, 30, 0.0, 4, 0.5, 1), (0, 1, 25, 0.0, 1, 1.0, 1, 1.0, 1),
-    (0, 0, 1, 1.0, 1, 1.0, 1, 1.0, 0), (0, 0, 2, 1.0, 0, 0.0, 2, 1.0, 0), (0, 0, 4, 1.0, 3, 1.0, 40, 0.0, 0), (0, 0, 3, 0.66, 2, 1.0, 2, 1.0, 0),
-    (0, 0, 5, 0.4, 2, 1.0, 1, 1.0, 0), (0, 0, 6, 0.5, 70, 0.0, 3, 1.0, 0), (0, 0, 30, 0.7, 5, 1.0, 8, 1.0, 0), (0, 0, 18, 0.9, 4, 1.0, 2, 1.0, 0),
-    (0, 0, 3, 0.0, 1, 1.0, 1, 1.0, 0), (0, 0, 2, 0.0, 0, 0.0, 2, 1.0, 0), (0, 0, 7, 0.0, 1, 1.0, 6, 0.0, 0), (0, 0, 6, 0.0, 5, 0.0, 0, 0.0, 0),
-    (0, 0, 4, 0.0, 3, 0.0, 2, 0.5, 0), (0, 0, 8, 0.0, 2, 1.0, 3, 0.0, 0), (0, 0, 5, 0.2, 6, 0.1, 4, 0.3, 0), (0, 0, 9, 0.0, 8, 0.0, 5, 1.0, 0),
-    (0, 0, 30, 0.0, 0, 0.0, 0, 0.0, 1), (0, 0, 26, 0.0, 3, 0.0, 0, 0.0, 1), (0, 0, 20, 0.0, 30, 0.0, 2, 1.0, 1), (0, 0, 35, 0.0, 4, 0.0, 9, 0.0, 1),
-    (0, 0, 40, 0.0, 8, 0.0, 50, 0.0, 1), (0, 0, 60, 0.0, 40, 0.0, 35, 0.0, 1), (0, 0, 120, 0.1, 60, 0.0, 3, 1.0, 1), (0, 0, 28, 0.0, 90, 0.0, 40, 0.0, 1),
-    (0, 0, 200, 0.05, 5, 1.0, 7, 0.0, 1), (0, 0, 22, 0.1, 35, 0.0, 28, 0.0, 1), (0, 0, 33, 0.2, 2, 1.0, 70, 0.0, 1), (0, 0, 75, 0.0, 0, 0.0, 0, 0.0, 1),
-    (0, 0, 10, 0.0, 50, 0.0, 45, 0.0, 1), (0, 0, 8, 0.0, 1, 1.0, 60, 0.0, 1), (0, 0, 5, 0.0, 80, 0.0, 70, 0.0, 1), (0, 0, 12, 0.0, 6, 0.0, 90, 0.0, 1),
+    "<nav><ul><li>[1-]<li>[1-]<li>[2-]</ul></nav><div class=ad>{6-}</div><article><h1>{7+}</h1><p>{40+}<p>{3+}<p>{25+}</article><footer>{14-}</footer>",
+    "<header>{3-}[1-]</header><main><h1>{4+}</h1><p>{1+}<p>{80+}<ul><li>[3+]<li>{5+}<li>[2+]</ul><p>{9+}</main><aside><h2>{2-}</h2><p>{30-}</aside>",
+    "<nav>[1-]<p>[1-]<p>[1-]</nav><article><p>{2+}<p>{6+}<p>{1+}</article><form>{8-}</form><div class=comments><p>{60-}<p>{45-}<p>{3-}</div>",
+    "<div><a>[1-]</a></div><div>[2-]</div><div>[1-]</div><div><h1>{6+}</h1><p>{50+}<p>{4+}<p>{35+}<p>{8+}</div><div>[3-]</div><div>[2-]</div>",
+    "<div><ul><li>[1-]<li>[2-]<li>[1-]<li>[1-]</ul></div><div><h1>{5+}</h1><p>{2+}<p>{28+}<p>{9+}<p>{44+}<p>{1+}</div><div><p>{3-}</div>",
+    "<div>{2-}[1-]</div><section><h2>{3+}</h2><p>{33+}<p>{7+}</section><section><h2>{2+}</h2><p>{60+}<ul><li>{4+}<li>{6+}<li>{3+}</ul></section><div>[1-]<p>[2-]<p>[1-]</div>",
+    "<table><tr><td>[1-]<p>[1-]<p>[2-]</td><td><h1>{8+}</h1><p>{70+}<p>{5+}<p>{90+}</td><td>[4-]<p>[5-]<p>[3-]</td></tr></table><div>{4-}</div>",
+    "<div><p>{1-}</div><div><p>{3-}</div><div><h1>{9+}</h1></div><div><p>{24+}<p>{31+}<p>{2+}</div><div><p>{2-}</div><footer><p>{40-}<p>{25-}</footer>",
+    "<div><h3>{2-}</h3><ul><li>[6-]<li>[7-]<li>[5-]<li>[8-]</ul></div><div><h1>{5+}</h1><p>{120+}</div><div><h3>{2-}</h3><ul><li>[9-]<li>[6-]<li>[7-]</ul></div>",
+    "<p>{30+}<p>{20+}<p>{2+}<p>{55+}",
+    "<div><p>{5-}</div><div><p>[1-]</div><div><p>{22+}</div><div><p>{40+}</div><div><p>{18+}</div><div><p>{75+}</div><div><p>[2-]</div><div><p>{3-}</div>",
+    "<div class=menu>[1-]<p>[1-]</div><div><h1>{4+}</h1><p>{65+}<h2>{3+}</h2><p>{1+}<p>{48+}</div><div class=comments><p>{70-}<p>{55-}</div><div id=footer>{60-}</div>",
+    "<article><h1>{3+}</h1><p>{12+}<p>[1+]<p>[4+]<div class=share>{2-}[1-]</div><p>{110+}<div class=related><h2>{2-}</h2><p>{35-}<p>[6-]</div></article>",
+    "<div><h2>{2-}</h2><p>[1-]<p>[1-]<p>[1-]<p>{4-}</div><div><h1>{6+}</h1><p>{9+}<p>{14+}<p>{11+}<p>{8+}<p>{13+}</div><div><p>{6-}<p>[2-]</div>",
+    "<div><p>{4-}<p>{2-}</div><div><p>{3-}</div>",
+    "<div class=cookie-notice>{45-}<p>{12-}</div><div><p>{30+}<p>{200+}<p>{6+}</div><div class=sidebar><p>{80-}<p>{33-}<p>{2-}</div>",
+    "<header><h1>{3-}</h1><p>{9-}</header><article><header><h1>{8+}</h1><p>{6+}</header><p>{2+}<p>{30+}</article><section id=comments><h2>{1-}</h2><article><p>{90-}</article></section>",
+    "<div class=ad>{12-}</div><article><p>{50+}<p>{4+}</article><footer>{22-}</footer><div class=cookie-notice>{28-}</div>",
+    "<aside>{19-}</aside><div><p>{45+}<p>{12+}</div><div class=newsletter>{17-}<p>{10-}</div><footer>{9-}</footer>",
+    "<nav>{20-}</nav><div><p>{18+}</div><div class=promo>{24-}</div><div><p>{29+}</div><div class=related>{26-}</div>",
+    "<form>{11-}</form><main><p>{60+}<p>{10+}</main><div class=comments><p>{14-}<p>{9-}</div><div class=comments><p>{21-}</div><footer>{30-}</footer>",
+    "<p>{22+}", "<div><p>{25+}</div><div>[2-]</div>", "<div>[1-]</div><div><p>{20+}<p>{6+}</div><footer>{21-}</footer>", "<div>{19+}</div><div class=ad>{23-}</div>",
+    "<article><p>{15+}<p>{20+}</article><div class=ad>{16-}</div><article><p>{25+}<p>{2+}</article><footer>{18-}</footer>",
+    "<div><p>{26+}[4+]<p>{17+}[2+]<p>{60+}<p>{3+}</div><div>[5-]<p>[4-]<p>[6-]</div>",
 )
 
 
-def train_tree(rows: np.ndarray, labels: np.ndarray, depth: int = 5, least: int = 2) -> tuple:
+def labelled(pages: tuple[str, ...] = LABELLED) -> tuple[np.ndarray, np.ndarray]:
+    """FEATURES and label of each block of labelled pages."""
+    rows, labels = [], []
+    for page in pages:
+        # a block is labelled by its last word
+        filled = re.sub(r"\{(\d+)([+-])\}", lambda m: "x " * (int(m[1]) - 1) + m[2] + " ", page)
+        filled = re.sub(r"\[(\d+)([+-])\]", lambda m: f"<a href=y>{'x ' * (int(m[1]) - 1)}{m[2]}</a> ", filled)
+        found = blocks(filled)
+        rows += features(found)
+        labels += [b.text[-1] == "+" for b in found]
+    return np.array(rows, float), np.array(labels, float)
+
+
+def train_tree(rows: np.ndarray, labels: np.ndarray, depth: int = 8, least: int = 1) -> tuple:
     """A binary tree of (feature, threshold, low, high) and class numbers, grown by the fall of Gini impurity; ties go to the
     earlier feature and the smaller threshold."""
     ones = labels.mean()
@@ -191,15 +232,21 @@ def train_tree(rows: np.ndarray, labels: np.ndarray, depth: int = 5, least: int
     return best[1], float(best[2]), train_tree(rows[low], labels[low], depth - 1, least), train_tree(rows[~low], labels[~low], depth - 1, least)
 
 
-def tree(labelled: tuple = LABELLED) -> tuple:
-    table = np.array(labelled, float)
-    return train_tree(table[:, :-1], table[:, -1])
+def tree(pages: tuple[str, ...] = LABELLED) -> tuple:
+    return train_tree(*labelled(pages))
 
 
 def features(found: list[Block]) -> list[tuple]:
-    none = Block("", 0, 0, False, False)
+    none = Block("", 0, 0, False, False, False, -1)
     around = [none, *found, none]
-    return [(b.boiler, b.article, b.words, b.density, a.words, a.density, c.words, c.density) for a, b, c in zip(around, found, around[2:], strict=False)]
+    words, linked = Counter(), Counter()
+    for b in found:
+        words[b.section] += b.words
+        linked[b.section] += b.linked
+    return [
+        (b.words, b.density, a.words, a.density, c.words, c.density, words[b.section], linked[b.section] / max(words[b.section], 1), b.heading, b.article, b.boiler)
+        for a, b, c in zip(around, found, around[2:], strict=False)
+    ]
 
 
 def classify(model: tuple, row: tuple) -> bool:
@@ -213,14 +260,14 @@ def main_text(html: str | None, model: tuple) -> str:
     return "\n\n".join(b.text for b, row in zip(found, features(found), strict=True) if classify(model, row))
 
 
-def extract(pages: DataFrame, labelled: tuple = LABELLED) -> DataFrame:
+def extract(pages: DataFrame, labelled_pages: tuple[str, ...] = LABELLED) -> DataFrame:
     """page_id, url, text, n_chars: the main text of every row of ``pages`` (page_id, url, html).
 
     Null or empty html and pages without main text: text empty, n_chars 0. Null page_id and url are passed on; repeated rows give
     repeated results. Broken markup: an unclosed element ends with the one around it. Other columns are not read; an
     empty table gives no rows. Pages are handled one at a time, so memory is bounded by the longest page.
     """
-    model = tree(labelled)
+    model = tree(labelled_pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
