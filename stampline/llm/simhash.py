@@ -122,7 +122,8 @@ def links(distinct: DataFrame, name: str = "simhash") -> DataFrame:
             yield found(keep_k, keep_f)
 
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = variants(distinct).select("key", "fp").repartition(parts, "key").sortWithinPartitions("key")
+    # few bytes of fingerprints become many of variants, so they are dealt out before
+    dealt = variants(distinct.select("fp").repartition(parts, "fp")).select("key", "fp").repartition(parts, "key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
