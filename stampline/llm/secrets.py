@@ -114,9 +114,9 @@ def dictionary(rules: tuple[Rule, ...]) -> list[tuple[str, bool]]:
     return sorted({(t, r.any_case) for r in rules for one in trigram_query(r.regex, r.any_case) for alt in one for t in alt})
 
 
-def occurring(text: Column, rules: tuple[Rule, ...]) -> Column:
-    """Numbers of the trigrams of the dictionary that occur in a text."""
-    on = {False: text, True: F.lower(text)}
+def occurring(text: Column, lowered: Column, rules: tuple[Rule, ...]) -> Column:
+    """Numbers of the trigrams of the dictionary that occur in a text. The text in lower case is given by name, as it is asked many times."""
+    on = {False: text, True: lowered}
     return F.array_compact(F.array(*(F.when(F.contains(on[low], F.lit(t)), F.lit(i)) for i, (t, low) in enumerate(dictionary(rules)))).cast("array<int>"))
 
 
@@ -133,7 +133,8 @@ def answers(rule: Rule, posted: Column, rules: tuple[Rule, ...]) -> Column:
 def postings(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """trigram, doc_id, text_hash: the inverted index, one row for each trigram of the dictionary and text (doc_id, text, text_hash) that has it."""
     # explode() would put a filter of the whole expression under what makes the text
-    posted = texts.select("doc_id", "text_hash", F.explode_outer(occurring(F.col("text"), rules)).alias("trigram"))
+    texts = texts.select("doc_id", "text_hash", "text", F.lower("text").alias("lowered"))
+    posted = texts.select("doc_id", "text_hash", F.explode_outer(occurring(F.col("text"), F.col("lowered"), rules)).alias("trigram"))
     return posted.select("trigram", "doc_id", "text_hash").filter("trigram is not null")
 
 
@@ -236,7 +237,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RU
             text = _bound(text, one(rule, answers(rule, posted, rules)))
         return text
 
-    return docs.withColumn("text", _bound(occurring(F.col("text"), rules), replaced))
+    return docs.withColumn("text", _bound(F.lower("text"), lambda low: _bound(occurring(F.col("text"), low, rules), replaced)))
 
 
 def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
