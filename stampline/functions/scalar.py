@@ -80,6 +80,11 @@ def estimated_seconds(words: Column) -> Column:
     return F.greatest(F.lit(5.0), words / F.lit(2.5))
 
 
+def estimated_ms(words: Column) -> Column:
+    """estimated_seconds() in whole milliseconds, without binary fractions."""
+    return F.greatest(F.lit(5000).cast("long"), words.cast("long") * 400)
+
+
 def real_time_factor(duration: Column, seconds: Column) -> Column:
     return F.when(seconds > 0, duration / seconds).otherwise(F.lit(0.0))
 
@@ -108,5 +113,36 @@ def rms(samples: Column) -> Column:
     return F.when(F.size(samples) > 0, F.sqrt(square / F.size(samples)))
 
 
+def itn_status(wanted: Column, available: Column | bool = True) -> Column:
+    """The label of inverse text normalisation."""
+    available = F.lit(available) if isinstance(available, bool) else available
+    state = F.when(wanted & available, F.lit("applied")).when(wanted, F.lit("not installed")).otherwise(F.lit("disabled"))
+    return F.concat(F.lit("ITN: "), state)
+
+
+# Titles of error responses by their kind; others are generic.
+ERRORS = {
+    "permission": "Permission Error", "permission_file_lock": "Model Loading Failed: File Lock", "network": "Network Error", "file_not_found": "File Not Found",
+    "filesystem": "File System Error", "runtime": "Runtime Error", "validation": "Output Validation Failed", "transcription_file_lock": "Transcription Failed: File Lock",
+    "transcription": "Transcription Error", "generic": "Unexpected Error",
+}
+#: Kinds whose message is a technical detail, shown as a block of its own.
+DETAILED = ("transcription", "transcription_file_lock")
+
+
+def error_response(kind: Column, message: Column) -> Column:
+    """The text that a failed request is answered with: the title of its kind, an unknown or null kind being generic, and the message."""
+    title = F.concat(F.lit("### ❌ "), lookup(kind, ERRORS, ERRORS["generic"]))
+    said = F.coalesce(message, F.lit(""))
+    detail = F.when(F.coalesce(kind.isin(*DETAILED), F.lit(False)), F.concat(F.lit("```\n"), said, F.lit("\n```"))).otherwise(said)
+    return F.concat_ws("\n\n", title, detail)
+
+
+def load_error(title: Column, path: Column, name: Column, problem: Column, solution: Column, original: Column) -> Column:
+    """The text of a model that could not be loaded; the line of the original error only where there is one. Other null parts are left out too."""
+    labelled = lambda label, c: F.when(c.isNotNull(), F.concat(F.lit(f"{label}: "), c))
+    return F.concat_ws("\n", F.concat(F.lit("❌ "), title), labelled("File path", path), labelled("Model", name), labelled("Original error", original), problem, solution)
+
+
 def timestamp_status(wanted: Column, level: Column) -> Column:
     return F.when(~wanted, F.lit("disabled")).when(level == "none", F.lit("requested, not available")).otherwise(F.concat(level, F.lit("-level")))

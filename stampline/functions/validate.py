@@ -35,6 +35,28 @@ def hypothesis_error(present: Column, text: Column) -> Column:
     return F.when(~present, F.lit("no result")).when(text.isNull() | (text == ""), F.lit("empty text"))
 
 
+def structure_error(kind: Column, size: Column, index: Column) -> Column:
+    """What is wrong with a result as a whole, null if nothing: ``kind`` is its type (null: there is none), ``size`` the length of a list, and ``index`` the
+    item that is asked for. The tests come in this order."""
+    listed = F.when(kind != "list", F.concat(F.lit("Result is "), kind, F.lit(", expected list")))
+    empty = F.when(size == 0, F.lit("Result is an empty list"))
+    beyond = F.when(index >= size, F.concat(F.lit("Index "), index.cast("string"), F.lit(" out of range (result has "), size.cast("string"), F.lit(" items)")))
+    return F.coalesce(F.when(kind.isNull(), F.lit("Result is None")), listed, empty, beyond)
+
+
+def text_error(kind: Column, attribute: Column, text: Column) -> Column:
+    """What is wrong with a hypothesis, null if its text can be used. It is a string itself (``kind`` str) or has a text attribute, of the type
+    ``attribute`` (null: it has none)."""
+    missing = F.when((kind != "str") & attribute.isNull(), F.concat(F.lit("Hypothesis has no .text attribute (type: "), kind, F.lit(")")))
+    wrong = F.when((kind != "str") & (attribute != "str"), F.concat(F.lit(".text is "), attribute, F.lit(", expected string")))
+    return F.coalesce(missing, wrong, F.when(F.coalesce(text, F.lit("")) == "", F.lit("Transcription is empty")))
+
+
+def lenient_text(attribute: Column, plain: Column, shown: Column) -> Column:
+    """The text of a hypothesis without any test: its text attribute, else the string itself, else how it is shown."""
+    return F.coalesce(attribute, plain, shown)
+
+
 def failure_text(error: Column) -> Column:
     return F.concat(F.lit(FAILED), error, F.lit("]"))
 

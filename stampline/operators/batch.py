@@ -28,6 +28,33 @@ def totals(results_: DataFrame) -> DataFrame:
     )
 
 
+def finished(results_: DataFrame, normalised: DataFrame, stamps: DataFrame, wanted: bool = True) -> DataFrame:
+    """file_id, name, ok, error, text, n_words, n_stamps, level: results with what comes after the recognition. A good file takes its normalised text
+    (file_id, text) where there is one, and its stamps (file_id, word) are counted, their level word if any has a word; a failed file has its
+    failure text, no stamps and the level none."""
+    said = normalised.select(F.col("file_id").alias("_n"), F.col("text").alias("_text"))
+    seen = stamps.groupBy(F.col("file_id").alias("_s")).agg(F.count(F.lit(1)).alias("_stamps"), F.max(F.col("word").isNotNull()).alias("_word"))
+    both = results_.join(said, F.col("file_id") == F.col("_n"), "left").join(seen, F.col("file_id") == F.col("_s"), "left")
+    use = F.col("ok") & F.lit(wanted) & F.col("_stamps").isNotNull()
+    text = F.when(F.col("ok"), F.coalesce("_text", "text")).otherwise(F.col("text"))
+    words = F.when(F.col("ok"), scalar.word_count(text)).otherwise(F.lit(0).cast("long"))
+    level = F.when(~use, "none").when(F.col("_word"), "word").otherwise("segment")
+    return both.select("file_id", "name", "ok", "error", text.alias("text"), words.alias("n_words"), F.when(use, F.col("_stamps")).otherwise(F.lit(0).cast("long")).alias("n_stamps"), level.alias("level"))
+
+
+def single_status(files: DataFrame, model: str, itn: bool, level: Column, wanted: Column) -> DataFrame:
+    """file_id, line: the status of each file as if it were the only one; files: file_id, is_video, duration (ms), took (ms), text."""
+    seconds = scalar.real_time_factor(F.coalesce("duration", F.lit(0).cast("long")) * 10, F.col("took"))  # tenths, so that nothing is rounded in binary
+    tenths = F.floor(seconds + 0.5).cast("long")
+    lines = [
+        F.when(F.col("is_video"), F.lit("video, its audio was taken")), F.lit(f"Model: {model}"), F.concat(F.lit("Audio Duration: "), scalar.minutes_seconds(F.coalesce("duration", F.lit(0).cast("long")))),
+        F.format_string("Real-Time Factor: %d.%dx", F.floor(tenths / 10).cast("long"), tenths % 10),
+        F.format_string("Transcription Length: %d characters (%d words)", F.char_length(F.coalesce("text", F.lit(""))), scalar.word_count(F.col("text"))),
+        scalar.itn_status(F.lit(itn)), F.concat(F.lit("Timestamps: "), scalar.timestamp_status(wanted, level)),
+    ]
+    return files.select("file_id", F.concat_ws("\n", *lines).alias("line"))
+
+
 def status_lines(results_: DataFrame) -> DataFrame:
     """file_id, line: the statistics of each file as text."""
     kind = F.when(F.col("is_video"), "video").otherwise("audio")

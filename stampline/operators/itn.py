@@ -107,13 +107,34 @@ def with_fallback(one: Callable[[str], str], chunks: list[str]) -> list[str]:
     return out
 
 
-def apply(text: Column, grammar: Callable[[str], str] = normalise) -> Column:
-    """The text normalised in an Arrow-batched function: by sentences if there are several, else by 50-word chunks; blank text stays."""
+_made: list = []
+
+
+def grammar_of(language: str, make: Callable[[str], Callable[[str], str]]) -> Callable[[str], str] | None:
+    """The grammar of this process: made for the language that is asked for first, which every later one gets too; None, and made anew the next
+    time, if that fails."""
+    if not _made:
+        try:
+            _made.append(make(language))
+        except Exception:  # noqa: BLE001  without a grammar, texts stay as they are
+            return None
+    return _made[0]
+
+
+def apply(text: Column, grammar: Callable[[str], str] = normalise, split: Callable[[str], list[str]] | None = None) -> Column:
+    """The text normalised in an Arrow-batched function: by the sentences that ``split`` gives, if it is given, works and finds any; else by sentences
+    if there are several, else by 50-word chunks; blank text stays."""
 
     def run(s: pd.Series) -> pd.Series:
         def one(t: str | None) -> str | None:
             if t is None or not t.strip():
                 return t
+            try:
+                own = split(t) if split else []
+            except Exception:  # noqa: BLE001  the next way is taken
+                own = []
+            if own:
+                return " ".join(with_fallback(grammar, own))
             parts = [p.strip() for p in re.split(r"(?<=[.!?])\s+", t.strip()) if p.strip()]
             if len(parts) < 2:
                 w = t.split()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..functions.validate import is_failure
+from ..sources.storage import checkpointed
 
 
 def srt_block(no: Column, start: Column, end: Column, text: Column) -> Column:
@@ -21,13 +22,13 @@ def srt(cues: DataFrame, order: str = "seg_no") -> DataFrame:
 
 def srt_estimated(texts: DataFrame) -> DataFrame:
     """file_id, cue: one cue for a text without stamps, as long as its words take."""
-    end = scalar.estimated_seconds(scalar.word_count(F.col("text"))) * 1000
-    return texts.select("file_id", srt_block(F.lit(1), F.lit(0), end.cast("long"), F.col("text")).alias("cue"))
+    end = scalar.estimated_ms(scalar.word_count(F.col("text")))
+    return texts.select("file_id", srt_block(F.lit(1), F.lit(0), end, F.col("text")).alias("cue"))
 
 
 def csv_estimated(texts: DataFrame) -> DataFrame:
     """file_id, line: one row for a text without stamps, from 0 to as long as its words take."""
-    end = (scalar.estimated_seconds(scalar.word_count(F.col("text"))) * 1000).cast("long")
+    end = scalar.estimated_ms(scalar.word_count(F.col("text")))
     return texts.select("file_id", csv_line(F.lit(0).cast("long"), end, F.col("text")).alias("line"))
 
 
@@ -42,15 +43,32 @@ def csv_line(start: Column, end: Column, text: Column, file: Column | None = Non
     return F.concat_ws(",", *([scalar.csv_text(file)] if file is not None else []), sec(start), sec(end), sec(end - start), scalar.csv_text(text))
 
 
+CSV_HEADER = "start_time,end_time,duration,text"
+
+
+def csv_file(stamps: DataFrame, header: str = CSV_HEADER) -> DataFrame:
+    """file_id, part, pos, line: of each file with stamps (file_id, pos, start, end, text) the header row (part 0), then a row per stamp (part 1)."""
+    head = stamps.select("file_id").distinct().select("file_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("pos"), F.lit(header).alias("line"))
+    body = stamps.select("file_id", F.lit(1).alias("part"), F.col("pos").cast("long").alias("pos"), csv_line(F.col("start"), F.col("end"), F.col("text")).alias("line"))
+    return head.unionByName(body)
+
+
+def stamp_cues(stamps: DataFrame) -> DataFrame:
+    """file_id, cue_no, cue: stamps of a segment or a character are cues as they are, one each, in their order."""
+    return srt(stamps, "pos")
+
+
 def txt_lines(cues: DataFrame) -> DataFrame:
     return cues.select("file_id", "seg_no", F.concat(scalar.txt_time_ms(F.col("start")), F.lit(" "), F.col("text")).alias("line"))
 
 
 def global_numbers(rows: DataFrame, group: str, inside: list[str]) -> Column | DataFrame:
     """rows with ``no``, counting from 1 in the order of ``group`` and then ``inside``. The groups' offsets are running sums of their sizes, dealt
-    by ranges of the group; no window runs over all rows in one task except over one row per range."""
+    by ranges of the group; no window runs over all rows in one task except over one row per range. The dealt sizes are checkpointed, as the
+    sampled ranges of a second run could differ."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(parts, group).withColumn("_p", F.spark_partition_id())
+    sizes = checkpointed(sizes)
     inner = F.sum("_n").over(Window.partitionBy("_p").orderBy(group).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
     sizes = sizes.withColumn("_inner", inner)
     totals = sizes.groupBy("_p").agg(F.sum("_n").alias("_t"))
@@ -116,6 +134,39 @@ def output_name(name: str | None, n_files: int) -> str:
     return f"{name.rsplit('.', 1)[0]}_transcription" if n_files == 1 and name else f"batch_transcription_{n_files}_files"
 
 
+def batch_header(files: DataFrame, model: str, itn: bool, took: float) -> DataFrame:
+    """One row: the header of a batch, as txt_header() makes it, from the number and the durations (ms) of ``files``; ``took`` in seconds."""
+    sums = files.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("duration"), F.lit(0)).alias("ms"))
+    lines = [
+        F.format_string("Batch Transcription - %d files", "n"), F.lit(f"Model: {model}"), F.concat(F.lit("Total Duration: "), scalar.minutes_seconds(F.col("ms"))),
+        F.lit(f"Processing Time: {took:.2f}s"), F.lit(f"ITN Applied: {'Yes' if itn else 'No'}"), F.lit(""), F.lit("=" * 60),
+    ]
+    return sums.select(F.concat_ws("\n", *lines).alias("header"))
+
+
+def outputs(files: DataFrame, stamps: DataFrame, model: str = "fast", itn: bool = False, took: float = 0.0) -> dict[str, tuple[DataFrame, list[str], str]]:
+    """The three outputs of a batch: name of the kind -> rows, their order and the column that is written. files: file_id, name, text, duration,
+    file_no; stamps: file_id, pos, start, end, text."""
+    cues = batch_srt(files, stamps.withColumnRenamed("pos", "cue_no"))
+    head = stamps.sparkSession.createDataFrame([("file," + CSV_HEADER,)], "line string").select(F.lit(0).alias("part"), F.lit(None).cast(dict(files.dtypes)["file_id"]).alias("file_id"), F.lit(0).cast("long").alias("pos"), "line")
+    table = head.unionByName(batch_csv(files, stamps).withColumn("part", F.lit(1)))
+    lines = stamps.select("file_id", "pos", F.concat(scalar.txt_time_ms(F.col("start")), F.lit(" "), "text").alias("line"))
+    top = batch_header(files, model, itn, took).select(F.lit(0).alias("top"), F.lit(None).cast(dict(files.dtypes)["file_id"]).alias("file_id"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("pos"), F.col("header").alias("line"))
+    text = top.unionByName(batch_txt(files, lines).withColumn("top", F.lit(1)))
+    return {"txt": (text, ["top", "file_id", "part", "pos"], "line"), "srt": (cues, ["no"], "cue"), "csv": (table, ["part", "file_id", "pos"], "line")}
+
+
+def write_outputs(files: DataFrame, stamps: DataFrame, folder: str, model: str = "fast", itn: bool = False, took: float = 0.0) -> dict[str, str]:
+    """Write all three outputs of a batch, or of a single file, under ``folder``, and give their paths. The name is output_name()'s."""
+    some = [r["name"] for r in files.select("name").limit(2).collect()]
+    stem = output_name(some[0] if some else None, 1 if len(some) == 1 else files.count())
+    paths = {}
+    for kind, (rows, order, value) in outputs(files, stamps, model, itn, took).items():
+        paths[kind] = f"{folder.rstrip('/')}/{stem}.{kind}"
+        write_lines(rows, order, value, paths[kind])
+    return paths
+
+
 def write_lines(rows: DataFrame, order: list[str], value: str, path: str) -> None:
     """Sorted text files under ``path``; their names keep the order of their ranges, so nothing is gathered into one task."""
     rows.orderBy(*order).select(F.col(value).alias("value")).write.mode("overwrite").text(path)

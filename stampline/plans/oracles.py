@@ -83,10 +83,10 @@ _SHIFTED = """shifted as (select file_id, k as chunk_no, pos, word, cs, s as "st
 _RESULTS = f"""results as (select file_id, name, is_video, duration, error is null as ok, error,
   case when error is null then said else '[Transcription failed: ' || error || ']' end as text, case when error is null then {_COUNT.format('said')} else 0 end::bigint as n_words
  from (select files.*, said, case when f is null then 'no result' when said = '' then 'empty text' end as error from files
-  left join (select doc_id as f, case when doc_id % 17 = 0 then '' else text end as said from documents where doc_id % 23 <> 0) on f = file_id))"""
+  left join (select d.doc_id as f, case when quality = 1 then text else '' end as said from documents d join labels l on l.doc_id = d.doc_id) on f = file_id))"""
 _TALKS = """talks as (select conv_id as file_id, 'talk_' || conv_id || '.wav' as name, count(*) * 3000 as duration,
   case when conv_id % 17 = 0 then '[Transcription failed: no result]' else arg_min(text, turn) end as text from conversations group by conv_id),
-stamps as (select conv_id as file_id, turn as pos, turn * 3000 as "start", turn * 3000 + 2500 as "end", text from conversations where conv_id % 5 <> 0)"""
+stamps as (select conv_id as file_id, turn as pos, turn * 3000 as "start", turn * 3000 + 2500 as "end", text from conversations where role = 'assistant')"""
 _GOOD = "not starts_with(text, '[Transcription failed: ')"
 _CATALOG = """status as (select choice, c.filename, min_size_gb, size_gb is not null as "exists", coalesce(size_gb, 0.0)::double as size_gb, coalesce(size_gb, 0.0) >= min_size_gb as valid
  from (values ('1', 'fast.bin', 2.0::double), ('2', 'large.bin', 4.0), ('3', 'large-v2.bin', 4.5), ('4', 'fast-ctc.bin', 4.5)) c(choice, filename, min_size_gb)
@@ -114,16 +114,15 @@ ORACLE_SQL: dict[str, str] = {
  || chr(10) || 'ITN Applied: Yes' || chr(10) || chr(10) || repeat('=', 60) || chr(10) || 'TRANSCRIPTION' || chr(10) || repeat('=', 60) || chr(10) as header, regexp_replace(name, '\\.[^.]*$', '') || '_transcription' as stem from (select *, (file_id % 7000 + 5) // 10 as h from files)""",
     "audio_validation": f"""with {WORDS}, {FILES} select file_id, case when duration::double / 1000 < 0.1 then 'too_short' when duration::double / 1000 > 86400 then 'too_long' when energy < 0.001 then 'silent' end as error from files left join
  (select vec_id, sqrt(list_sum(list_transform(embedding, lambda x: (x::double / (vec_id % 4 * 200 + 1)) * (x::double / (vec_id % 4 * 200 + 1)))) / len(embedding)) as energy from embeddings) on vec_id = file_id""",
-    "health_check": "select count(*) as failures from pages p where not exists (select 1 from pages q where q.page_id % 5 <> 0 and q.url = p.url)",
     "csv_rows": f"""with {WORDS} select file_id, pos, {_csv('"start"', '"end"', 'word')} as line from words""",
     "txt_lines": _raw(12, 8000) + _MERGED + f"""select file_id, seg_no::int as seg_no, {_txt('"start"')} || ' ' || text as line from final""",
-    "batch_srt": f"""with {_TALKS}, parts as (select file_id, 0 as cue_no, 0 as "start", 2000 as "end", '[FILE: ' || name || ']' as text from talks where {_GOOD}
+    "talk_srt": f"""with {_TALKS}, parts as (select file_id, 0 as cue_no, 0 as "start", 2000 as "end", '[FILE: ' || name || ']' as text from talks where {_GOOD}
  union all select s.file_id, s.pos + 1, s."start", s."end", s.text from stamps s join talks t on t.file_id = s.file_id where not starts_with(t.text, '[Transcription failed: '))
  select no, file_id, {_block('no', '"start"', '"end"', 'text')} as cue from (select *, row_number() over (order by file_id, cue_no) as no from parts)""",
-    "batch_csv": f"""with {_TALKS} select file_id, pos, {_quoted('name')} || ',' || {_csv('st', 'en', 'text')} as line from (
+    "talk_csv": f"""with {_TALKS} select file_id, pos, {_quoted('name')} || ',' || {_csv('st', 'en', 'text')} as line from (
  select t.file_id, t.name, coalesce(s.pos, 0) as pos, case when s.pos is null then 0 else s."start" end as st, case when s.pos is null then t.duration else s."end" end as en,
   case when s.pos is null then t.text else s.text end as text from talks t left join stamps s on s.file_id = t.file_id where not starts_with(t.text, '[Transcription failed: '))""",
-    "batch_txt": f"""with {_TALKS} select file_id, 0 as part, 0::bigint as pos, chr(10) || 'FILE ' || (file_id + 1) || ': ' || name || chr(10) || 'Duration: ' || {_xmys('duration')} || chr(10) || repeat('=', 60) || chr(10) as line from talks
+    "talk_txt": f"""with {_TALKS} select file_id, 0 as part, 0::bigint as pos, chr(10) || 'FILE ' || (file_id + 1) || ': ' || name || chr(10) || 'Duration: ' || {_xmys('duration')} || chr(10) || repeat('=', 60) || chr(10) as line from talks
  union all select file_id, 1, pos, {_txt('"start"')} || ' ' || text from stamps""",
     "chunk_plan": f"""with {WORDS}, {FILES} select file_id, k as chunk_no, cs as chunk_start, ce as chunk_end, greatest(cs - {_OVER}, 0) as read_start, least(ce + {_OVER}, duration) as read_end, cs - greatest(cs - {_OVER}, 0) as left_ctx
  from (select *, k * {_CHUNK} as cs, least(k * {_CHUNK} + {_CHUNK}, duration) as ce from (select *, unnest(range(ceil(duration / {_CHUNK})::bigint)) as k from files where duration > 0))""",
@@ -134,13 +133,12 @@ ORACLE_SQL: dict[str, str] = {
     "merged_text": f"with {WORDS}, {_MEMBERS}, {_SHIFTED}, t as (select file_id, chunk_no, string_agg(word, ' ' order by pos) as text from shifted group by 1, 2) select file_id, count(*) as n_chunks, string_agg(text, ' ' order by chunk_no) as text from t group by 1",
     "long_routing": f"with {WORDS}, {FILES} select file_id, duration, coalesce(duration, 0) > 150000 as is_long, (select coalesce(max(duration > 150000), false) from files) as batch_chunked from files",
     "level_fallback": "select doc_id, level, case when doc_id % 11 = 0 then 'disabled' when level = 'none' then 'requested, not available' else level || '-level' end as status from (select doc_id, case when doc_id % 11 = 0 or length(text) % 7 = 0 then 'none' when doc_id % 2 <> 0 then 'word' when doc_id % 3 <> 0 then 'segment' when doc_id % 5 <> 0 then 'char' else 'none' end as level from documents)",
-    "chunk_level": "select doc_id as file_id, c as was_chunked, case when c and doc_id % 2 = 0 then 'word' when c then 'segment' when doc_id % 2 = 0 then 'char' else 'none' end as level from (select doc_id, doc_id % 3 = 0 and regexp_matches(text, '[^ \\n\\t\\r]') as c from documents)",
     "attempt_choice": "select user_id, event_type, min(event_id) as attempt, true as ok from events where value > 50 group by 1, 2",
-    "hypothesis_validation": f"with {WORDS}, {FILES}, {_RESULTS} select file_id, ok, error, text, starts_with(text, '[Transcription failed: ') as failed from results",
-    "batch_stats": f"with {WORDS}, {FILES}, {_RESULTS} select count(*) as n_files, count(*) filter (ok) as n_ok, count(*) filter (not ok) as n_failed, count(*) filter (is_video) as n_videos, coalesce(sum(n_words), 0)::bigint as n_words, coalesce(sum(duration), 0)::bigint as duration from results",
-    "per_file_stats": f"with {WORDS}, {FILES}, {_RESULTS} select file_id, name, duration, n_words, round(case when file_id % 7 > 0 then (duration::double / 1000) / (file_id % 7) else 0 end, 6) as rtf from results",
-    "status_lines": f"with {WORDS}, {FILES}, {_RESULTS} select file_id, '**' || file_id || '. ' || name || '** (' || case when is_video then 'video' else 'audio' end || ')' || case when ok then ': ' || {_xmys('duration')} || ', ' || n_words || ' words' else ': ❌ Failed: ' || error end as line from results",
-    "combined_text": f"with {WORDS}, {FILES}, {_RESULTS} select file_id, chr(10) || '=== ' || name || ' ===' || chr(10) || chr(10) || text || chr(10) as block from results",
+    "file_checks": f"with {WORDS}, {FILES}, {_RESULTS} select file_id, ok, error, text, starts_with(text, '[Transcription failed: ') as failed from results",
+    "batch_totals": f"with {WORDS}, {FILES}, {_RESULTS} select count(*) as n_files, count(*) filter (ok) as n_ok, count(*) filter (not ok) as n_failed, count(*) filter (is_video) as n_videos, coalesce(sum(n_words), 0)::bigint as n_words, coalesce(sum(duration), 0)::bigint as duration from results",
+    "file_stats": f"with {WORDS}, {FILES}, {_RESULTS} select file_id, name, duration, n_words, round(case when file_id % 7 > 0 then (duration::double / 1000) / (file_id % 7) else 0 end, 6) as rtf from results",
+    "file_status_lines": f"with {WORDS}, {FILES}, {_RESULTS} select file_id, '**' || file_id || '. ' || name || '** (' || case when is_video then 'video' else 'audio' end || ')' || case when ok then ': ' || {_xmys('duration')} || ', ' || n_words || ' words' else ': ❌ Failed: ' || error end as line from results",
+    "combined_blocks": f"with {WORDS}, {FILES}, {_RESULTS} select file_id, chr(10) || '=== ' || name || ' ===' || chr(10) || chr(10) || text || chr(10) as block from results",
     "duration_validity": "select doc_id, case when d < 0.1 then 'too_short' when d > 86400 then 'too_long' end as error from (select doc_id, (length(text) * doc_id % 1000000)::double / 10 as d from documents)",
     "energy_validity": "select label, round(most, 6) as most, case when most < 0.001 then 'silent' when most < 0.01 then 'warning' else 'ok' end as state, case when least_ < 0.001 then 'silent' when least_ < 0.01 then 'warning' else 'ok' end as least_state from (select label, max(e) as most, min(e) as least_ from (select label, sqrt(list_sum(list_transform(embedding, lambda x: (x::double / (vec_id % 4 * 200 + 1)) * (x::double / (vec_id % 4 * 200 + 1)))) / len(embedding)) as e from embeddings) group by 1)",
     "media_type": f"with {WORDS}, {FILES} select file_id, name, lower(regexp_extract(name, '\\.([^.]+)$', 1)) in ('mp4', 'avi', 'mov', 'mkv', 'webm', 'flv', 'm4v') as video from (select file_id, name from files union all select page_id, url from pages)",
@@ -156,3 +154,32 @@ ORACLE_SQL: dict[str, str] = {
     "retry_schedule": "select tries, 0.5::double as base, attempt, 0.5::double * attempt as wait, sum(0.5::double * attempt) over (partition by tries) as total from (values (6), (4)) p(tries), (values (1), (2), (3), (4), (5)) a(attempt) where attempt < tries",
     "error_category": "select id, message like '%WinError 32%' or message like '%being used by another process%' as lock, kind, case when kind = 'load_failed' then 'Loading failed' else 'Format not supported' end as title from (select *, case when message like '%Audio file%' or message like '%NoBackendError%' then 'load_failed' when message like '%Format%' or message like '%codec%' then 'unsupported_format' else 'load_failed' end as kind from (values (0, 'WinError 32: busy'), (1, 'it is being used by another process'), (2, 'disk full'), (3, 'Audio file Format wrong'), (4, 'NoBackendError'), (5, 'Format'), (6, 'bad codec')) v(id, message))",
 }
+
+_TALK_SRT, _TALK_CSV, _TALK_TXT = (ORACLE_SQL[x].split(_TALKS, 1)[1] for x in ("talk_srt", "talk_csv", "talk_txt"))
+_RULE = "repeat('=', 60)"
+_TITLE = "case when event_type = 'click' then 'Network Error' when event_type = 'view' then 'Transcription Error' when event_type = 'error' then 'Model Loading Failed: File Lock' when event_type = 'signup' then 'Output Validation Failed' else 'Unexpected Error' end"
+_FENCE = "chr(10) || '```'"
+
+ORACLE_SQL |= {
+    "level_of_chunks": f"with {WORDS}, {FILES} select file_id, c as was_chunked, case when c and file_id % 2 = 0 then 'word' when c then 'segment' when file_id % 2 = 0 then 'char' else 'none' end as level from (select file_id, coalesce(duration > 60000, false) as c from files)",
+    "paths_and_imports": f"with {WORDS}, {FILES} select count(*) as missing, 1::bigint as unusable, count(*) + 1 as failures from files where name not in (select name from files where duration is not null)",
+    "csv_file": f"""with {WORDS} select distinct file_id, 0 as part, 0::bigint as pos, 'start_time,end_time,duration,text' as line from words union all select file_id, 1, pos, {_csv('"start"', '"end"', 'word')} from words""",
+    "stamp_cues": f"""with {_TALKS} select file_id, cue_no, {_block('cue_no', '"start"', '"end"', 'text')} as cue from (select *, (row_number() over (partition by file_id order by pos))::int as cue_no from stamps)""",
+    "batch_outputs": f"""with {_TALKS}, srts as (with {_TALKS}{_TALK_SRT}), csvs as (with {_TALKS}{_TALK_CSV}), txts as (with {_TALKS}{_TALK_TXT})
+ select 'srt' as kind, cue as line from srts union all select 'csv', line from csvs union all select 'csv', 'file,start_time,end_time,duration,text' union all select 'txt', line from txts
+ union all select 'txt', 'Batch Transcription - ' || count(*) || ' files' || chr(10) || 'Model: fast' || chr(10) || 'Total Duration: ' || {_xmys('coalesce(sum(duration), 0)')} || chr(10) || 'Processing Time: 1.50s' || chr(10) || 'ITN Applied: Yes' || chr(10) || chr(10) || {_RULE} from talks""",
+    "single_status": f"""with {WORDS}, {FILES} select file_id, case when is_video then 'video, its audio was taken' || chr(10) else '' end || 'Model: fast' || chr(10) || 'Audio Duration: ' || {_xmys('coalesce(duration, 0)')} || chr(10)
+ || printf('Real-Time Factor: %d.%dx', (t // 10)::bigint, (t % 10)::bigint) || chr(10) || 'Transcription Length: ' || length(coalesce(text, '')) || ' characters (' || {_COUNT.format("coalesce(text, '')")} || ' words)' || chr(10) || 'ITN: applied' || chr(10)
+ || 'Timestamps: ' || case when file_id % 11 = 0 then 'disabled' when duration is null then 'requested, not available' else 'word-level' end as line
+ from (select *, floor(case when file_id % 7000 > 0 then coalesce(duration, 0)::double * 10 / (file_id % 7000) else 0 end + 0.5)::bigint as t from files join (select doc_id as f, text from documents) on f = file_id)""",
+    "finished_results": f"""with {WORDS}, {FILES}, {_RESULTS}, seen as (select file_id as f, count(*) as n from words group by 1)
+ select file_id, name, ok, error, case when ok then lower(text) else text end as text, n_words, case when ok then coalesce(n, 0) else 0 end as n_stamps, case when ok and n is not null then 'word' else 'none' end as level from results left join seen on f = file_id""",
+    "result_structure": """select event_id, case when event_type = 'signup' then 'Result is None' when event_type = 'view' then 'Result is dict, expected list' when size = 0 then 'Result is an empty list'
+ when event_id % 3 >= size then 'Index ' || event_id % 3 || ' out of range (result has ' || size || ' items)' end as error from (select *, floor(value)::bigint % 4 as size from events)""",
+    "hypothesis_text": """select doc_id, case when kind <> 'str' and attribute is null then 'Hypothesis has no .text attribute (type: ' || kind || ')' when kind <> 'str' and attribute <> 'str' then '.text is ' || attribute || ', expected string'
+ when coalesce(text, '') = '' then 'Transcription is empty' end as error, coalesce(case when attribute = 'str' then text end, case when kind = 'str' then text end, '<' || lang || '>') as text
+ from (select *, case when lang = 'en' then 'str' else 'Hypothesis' end as kind, case lang when 'fr' then 'str' when 'es' then 'NoneType' end as attribute from documents)""",
+    "error_responses": f"select event_id, '### ❌ ' || {_TITLE} || chr(10) || chr(10) || case when event_type = 'view' then '```' || chr(10) || event_type || ' ' || event_id || {_FENCE} else event_type || ' ' || event_id end as response from events",
+    "load_errors": "select page_id, '❌ MODEL FILE NOT FOUND!' || chr(10) || 'File path: ' || url || chr(10) || 'Model: fast' || chr(10) || case when page_id % 2 = 0 then 'Original error: no bytes at ' || url || chr(10) else '' end || 'It is not there.' || chr(10) || 'Download it.' as text from pages",
+    "download_totals": "select count(*) as models, count(*) filter (ok) as downloaded from (select user_id, bool_or(coalesce(value > 50, false)) as ok from events group by 1)",
+}

@@ -36,9 +36,10 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
-    """Every 23rd file has no hypothesis at all."""
-    said = adapters.hypotheses(_docs(spark, d)).filter("file_id % 23 <> 0")
-    return batch.results(_files(spark, d), said)
+    """Files without a label have no hypothesis at all, and those of quality 0 an empty one."""
+    labels = read(spark, d, "labels").select(F.col("doc_id").alias("file_id"), "quality")
+    said = _docs(spark, d).withColumnRenamed("doc_id", "file_id").join(labels, "file_id")
+    return batch.results(_files(spark, d), said.select("file_id", F.when(F.col("quality") == 1, F.col("text")).otherwise("").alias("text")))
 
 
 @query
@@ -132,29 +133,29 @@ def txt_lines(spark, d):
 
 
 def _talks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Conversations as files (every 17th failed, every 5th without stamps) and their turns as stamps."""
-    turns = read(spark, d, "conversations").select(F.col("conv_id").alias("file_id"), F.col("turn").alias("pos"), "text")
+    """Conversations as files (every 17th failed) and the assistant's turns as stamps; a conversation without such turns has none."""
+    turns = read(spark, d, "conversations").select(F.col("conv_id").alias("file_id"), F.col("turn").alias("pos"), "text", "role")
     failed = validate.failure_text(F.lit("no result"))
     files = turns.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("text", "pos").alias("first"))
     text = F.when(F.col("file_id") % 17 == 0, failed).otherwise(F.col("first"))
     files = files.select("file_id", F.concat(F.lit("talk_"), F.col("file_id").cast("string"), F.lit(".wav")).alias("name"), (F.col("n") * 3000).alias("duration"), text.alias("text"), (F.col("file_id") + 1).alias("file_no"))
-    stamps = turns.filter("file_id % 5 <> 0").select("file_id", "pos", (F.col("pos") * 3000).alias("start"), (F.col("pos") * 3000 + 2500).alias("end"), "text")
+    stamps = turns.filter("role = 'assistant'").select("file_id", "pos", (F.col("pos") * 3000).alias("start"), (F.col("pos") * 3000 + 2500).alias("end"), "text")
     return files, stamps
 
 
 @query
-def batch_srt(spark, d):
+def talk_srt(spark, d):
     files, stamps = _talks(spark, d)
     return render.batch_srt(files, stamps.withColumnRenamed("pos", "cue_no"))
 
 
 @query
-def batch_csv(spark, d):
+def talk_csv(spark, d):
     return render.batch_csv(*_talks(spark, d))
 
 
 @query
-def batch_txt(spark, d):
+def talk_txt(spark, d):
     files, stamps = _talks(spark, d)
     lines = stamps.select("file_id", "pos", F.concat(scalar.txt_time_ms(F.col("start")), F.lit(" "), "text").alias("line"))
     return render.batch_txt(files, lines)
@@ -204,10 +205,13 @@ def level_fallback(spark, d):
 
 
 @query
-def chunk_level(spark, d):
+def level_of_chunks(spark, d):
+    """Long files are read in chunks; the stamps of their chunks are words, or not known as such for odd ids."""
     docs = _docs(spark, d)
     files = docs.select(F.col("doc_id").alias("file_id"), F.when(F.col("doc_id") % 2 == 0, "char").otherwise("none").alias("level"))
-    stamps = adapters.words(docs.filter("doc_id % 3 = 0")).select("file_id", F.when(F.col("file_id") % 2 == 0, F.col("word")).alias("word"))
+    long = chunks.route(_files(spark, d), SHORT).filter("is_long").select("file_id")
+    raw = chunks.raw_stamps(_words(spark, d).join(long, "file_id", "left_semi"), SHORT)
+    stamps = raw.select("file_id", F.when(F.col("file_id") % 2 == 0, F.col("word")).alias("word"))
     return levels.choose(files, stamps)
 
 
@@ -219,28 +223,28 @@ def attempt_choice(spark, d):
 
 
 @query
-def hypothesis_validation(spark, d):
+def file_checks(spark, d):
     return _results(spark, d).select("file_id", "ok", "error", "text", validate.is_failure(F.col("text")).alias("failed"))
 
 
 @query
-def batch_stats(spark, d):
+def batch_totals(spark, d):
     return batch.totals(_results(spark, d))
 
 
 @query
-def per_file_stats(spark, d):
+def file_stats(spark, d):
     seconds = F.col("file_id") % 7
     return _results(spark, d).select("file_id", "name", "duration", "n_words", F.round(scalar.real_time_factor(F.col("duration") / 1000, seconds), 6).alias("rtf"))
 
 
 @query
-def status_lines(spark, d):
+def file_status_lines(spark, d):
     return batch.status_lines(_results(spark, d))
 
 
 @query
-def combined_text(spark, d):
+def combined_blocks(spark, d):
     return batch.combined(_results(spark, d))
 
 
@@ -267,10 +271,11 @@ def audio_validation(spark, d):
 
 
 @query
-def health_check(spark, d):
-    """Pages are expected; every fifth is not there."""
-    pages = read(spark, d, "pages").select(F.col("url").alias("path"), "page_id")
-    return media.health(pages.select("path"), pages.filter("page_id % 5 <> 0").select("path"))
+def paths_and_imports(spark, d):
+    """The file of every document is expected; one without words has none. Of the modules, one does not exist."""
+    files = _files(spark, d)
+    actual = files.filter("duration is not null").select(F.col("name").alias("path"))
+    return media.full_health(files.select(F.col("name").alias("path")), actual, ["json", "math", "no_such_module_here"])
 
 
 @query
@@ -364,3 +369,77 @@ def error_category(spark, d):
     kinds = {"load_failed": "Loading failed", "unsupported_format": "Format not supported"}
     kind = validate.load_error_kind(F.col("message"))
     return spark.createDataFrame(given, "id int, message string").select("id", validate.is_file_lock(F.col("message")).alias("lock"), kind.alias("kind"), scalar.lookup(kind, kinds, "Error").alias("title"))
+
+
+@query
+def csv_file(spark, d):
+    return render.csv_file(_words(spark, d).withColumnRenamed("word", "text"))
+
+
+@query
+def stamp_cues(spark, d):
+    """The stamps of a talk are segments, so each is a cue."""
+    return render.stamp_cues(_talks(spark, d)[1])
+
+
+@query
+def batch_outputs(spark, d):
+    """The rows of the three outputs that a batch is written to."""
+    files, stamps = _talks(spark, d)
+    parts = [rows.select(F.lit(kind).alias("kind"), F.col(value).alias("line")) for kind, (rows, _, value) in render.outputs(files, stamps, itn=True, took=1.5).items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def single_status(spark, d):
+    files = _files(spark, d).join(_docs(spark, d).select(F.col("doc_id").alias("file_id"), "text"), "file_id").withColumn("took", F.col("file_id") % 7000)
+    level = F.when(F.col("duration").isNull(), "none").otherwise("word")
+    return batch.single_status(files, "fast", True, level, F.col("file_id") % 11 != 0)
+
+
+@query
+def finished_results(spark, d):
+    docs = _docs(spark, d)
+    lowered = docs.select(F.col("doc_id").alias("file_id"), F.lower("text").alias("text"))
+    return batch.finished(_results(spark, d), lowered, _words(spark, d))
+
+
+def _shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as hypotheses of several shapes, by their language: strings, objects with and without text, and objects of other text."""
+    of = lambda pairs: scalar.lookup(F.col("lang"), pairs, "")
+    attribute = of({"fr": "str", "es": "NoneType"})
+    return read(spark, d, "documents").select("doc_id", "lang", "text", F.when(F.col("lang") == "en", "str").otherwise("Hypothesis").alias("kind"), F.when(attribute != "", attribute).alias("attribute"))
+
+
+@query
+def result_structure(spark, d):
+    kind = F.when(F.col("event_type") == "signup", None).when(F.col("event_type") == "view", "dict").otherwise("list")
+    size = F.floor(F.col("value")).cast("long") % 4
+    return read(spark, d, "events").select("event_id", validate.structure_error(kind, size, F.col("event_id") % 3).alias("error"))
+
+
+@query
+def hypothesis_text(spark, d):
+    error = validate.text_error(F.col("kind"), F.col("attribute"), F.col("text"))
+    lenient = validate.lenient_text(F.when(F.col("attribute") == "str", F.col("text")), F.when(F.col("kind") == "str", F.col("text")), F.concat(F.lit("<"), F.col("lang"), F.lit(">")))
+    return _shapes(spark, d).select("doc_id", error.alias("error"), lenient.alias("text"))
+
+
+@query
+def error_responses(spark, d):
+    kinds = {"click": "network", "view": "transcription", "error": "permission_file_lock", "signup": "validation"}
+    kind = F.when(F.col("event_type") == "purchase", None).otherwise(scalar.lookup(F.col("event_type"), kinds, "other"))
+    message = F.concat("event_type", F.lit(" "), F.col("event_id").cast("string"))
+    return read(spark, d, "events").select("event_id", scalar.error_response(kind, message).alias("response"))
+
+
+@query
+def load_errors(spark, d):
+    original = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("no bytes at "), F.col("url")))
+    text = scalar.load_error(F.lit("MODEL FILE NOT FOUND!"), F.col("url"), F.lit("fast"), F.lit("It is not there."), F.lit("Download it."), original)
+    return read(spark, d, "pages").select("page_id", text.alias("text"))
+
+
+@query
+def download_totals(spark, d):
+    return media.download_totals(read(spark, d, "events").select(F.col("user_id").alias("model"), (F.col("value") > 50).alias("ok")))

@@ -10,20 +10,25 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def words(docs: DataFrame) -> DataFrame:
-    """file_id, pos, word, start, end: each document as timed words; gaps and durations follow from ids and positions."""
+def _paced(docs: DataFrame) -> DataFrame:
+    """file_id, pos, word, gap, dur: the words with the silence before and the duration of each; both follow from ids and positions."""
     each = docs.select(F.col("doc_id").alias("file_id"), F.posexplode(F.filter(F.split("text", "[ \n\t\r]+"), lambda w: w != "")).alias("pos", "word"))
     gap = F.when((F.col("file_id") * 31 + F.col("pos") * 17) % 13 == 0, 700).otherwise(80)
     dur = F.when((F.col("file_id") + F.col("pos")) % 41 == 0, 6000).otherwise(200 + 50 * (F.length("word") % 4))
-    each = each.select("file_id", F.col("pos").cast("long").alias("pos"), "word", gap.cast("long").alias("gap"), dur.cast("long").alias("dur"))
+    return each.select("file_id", F.col("pos").cast("long").alias("pos"), "word", gap.cast("long").alias("gap"), dur.cast("long").alias("dur"))
+
+
+def words(docs: DataFrame) -> DataFrame:
+    """file_id, pos, word, start, end: each document as timed words."""
+    each = _paced(docs)
     end = F.sum(F.col("gap") + F.col("dur")).over(Window.partitionBy("file_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     return each.withColumn("end", end).select("file_id", "pos", "word", (F.col("end") - F.col("dur")).alias("start"), "end")
 
 
 def files(docs: DataFrame, timed: DataFrame | None = None) -> DataFrame:
-    """file_id, name, is_video, duration (ms, of its words; null without any)."""
-    timed = words(docs) if timed is None else timed
-    duration = timed.groupBy("file_id").agg(F.max("end").alias("duration"))
+    """file_id, name, is_video, duration (ms, of its words; null without any). The last word's end is the sum of all gaps and durations, which is
+    aggregated without bringing the words into their order."""
+    duration = _paced(docs).groupBy("file_id").agg(F.sum(F.col("gap") + F.col("dur")).alias("duration")) if timed is None else timed.groupBy("file_id").agg(F.max("end").alias("duration"))
     suffix = F.when(F.col("doc_id") % 5 == 0, ".mp4").otherwise(".wav")
     named = docs.select(F.col("doc_id").alias("file_id"), F.concat("source", F.lit("_"), F.col("doc_id").cast("string"), suffix).alias("name"), (F.col("doc_id") % 5 == 0).alias("is_video"))
     return named.join(duration, "file_id", "left")

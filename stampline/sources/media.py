@@ -24,7 +24,8 @@ def normalise_inputs(inputs: object) -> list[str]:
 
 
 def scan_media(spark: SparkSession, inputs: object) -> DataFrame:
-    """path, name, length, is_video, supported, duration (seconds, from the header of a WAV file; null for others)."""
+    """path, name, length, is_video, supported, duration (seconds, from the header of a WAV file; null for others). Only the contents of WAV files are
+    read; of all others the listing is enough. Files without a byte are left out, as the reader of files does."""
 
     def seconds(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import io
@@ -41,10 +42,12 @@ def scan_media(spark: SparkSession, inputs: object) -> DataFrame:
             yield s.map(one).astype("float64")
 
     probe = F.pandas_udf(seconds, "double")
-    found = spark.read.format("binaryFile").load(normalise_inputs(inputs))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(normalise_inputs(inputs))
     name = F.element_at(F.split("path", "/"), -1)
     extension = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
-    return found.select("path", name.alias("name"), "length", scalar.is_video(name).alias("is_video"), extension.isin(*AUDIO, *scalar.VIDEO).alias("supported"), F.when(extension == "wav", probe("content")).alias("duration"))
+    columns = ("path", name.alias("name"), "length", scalar.is_video(name).alias("is_video"), extension.isin(*AUDIO, *scalar.VIDEO).alias("supported"))
+    waves = found.filter(extension == "wav").select(*columns, probe("content").alias("duration"))
+    return waves.unionByName(found.filter(extension != "wav").select(*columns, F.lit(None).cast("double").alias("duration")))
 
 
 def catalog_status(catalog: DataFrame, listing: DataFrame) -> DataFrame:
@@ -59,6 +62,13 @@ def catalog_totals(status: DataFrame) -> DataFrame:
     return status.agg(F.count_if("exists").alias("downloaded"), F.coalesce(F.sum("size_gb"), F.lit(0.0)).alias("total_gb"))
 
 
+def download_totals(tries: DataFrame) -> DataFrame:
+    """One row: models, and how many of them were downloaded, of tries (model, ok). A model with several tries counts once, as downloaded if one went
+    well."""
+    each = tries.groupBy("model").agg(F.max(F.coalesce("ok", F.lit(False))).alias("ok"))
+    return each.agg(F.count(F.lit(1)).alias("models"), F.count_if("ok").alias("downloaded"))
+
+
 def load_decision(status: DataFrame) -> DataFrame:
     return status.withColumn("load_from", F.when(F.col("exists"), "local").otherwise("hub"))
 
@@ -66,3 +76,22 @@ def load_decision(status: DataFrame) -> DataFrame:
 def health(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Failures of a health check: expected paths that are not there."""
     return expected.join(actual.distinct(), "path", "left_anti").agg(F.count(F.lit(1)).alias("failures"))
+
+
+def import_failures(modules: list[str]) -> list[str]:
+    """Those of the modules that the driver can't import."""
+    from importlib import import_module
+
+    failed = []
+    for name in modules:
+        try:
+            import_module(name)
+        except Exception:  # noqa: BLE001  whatever goes wrong in it, the module can't be used
+            failed.append(name)
+    return failed
+
+
+def full_health(expected: DataFrame, actual: DataFrame, modules: list[str]) -> DataFrame:
+    """missing (paths), unusable (modules), failures (both)."""
+    bad = F.lit(len(import_failures(modules))).cast("long")
+    return health(expected, actual).select(F.col("failures").alias("missing"), bad.alias("unusable"), (F.col("failures") + bad).alias("failures"))
