@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, table
+from .common import components, drop, fits, table
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 #: DISTANCE differing bits over so many segments leave one segment with one differing bit at most.
@@ -151,10 +151,24 @@ def classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each component stays: that of the smallest doc_id, of several texts of that id the one of the least hash, and of
-    equal rows of id and text any one. A null doc_id comes after all others, so a component without ids keeps one row too. All columns
-    of ``docs`` are kept."""
-    best = rooted(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text_hash").alias("_hash"))).alias("_best"))
+    equal rows of id and text any one. A null doc_id comes after all others, so a component without ids keeps one row too. Null and
+    empty texts are a component like any other. All columns of ``docs`` are kept, whatever their names; an empty table gives no rows.
+
+    What is chosen is chosen by keys, without texts. The keys of rows that go, and of those that stay but are repeated, are written and
+    measured: if they are few, they are broadcast and no text is shuffled but repeated ones; many are joined by a shuffle.
+    """
     key = ["_none", "_id", "_hash"]
-    id_ = F.col("doc_id").cast("long")
-    keyed = docs.withColumns({"_none": id_.isNull(), "_id": F.coalesce(id_, F.lit(0)), "_hash": F.xxhash64(F.col("text").cast("string"))})
-    return keyed.join(best.select("_best.*"), key, "left_semi").dropDuplicates(key).drop(*key)
+    rows = rooted(docs).select("root", F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text_hash").alias("_hash"))
+    keys = table(rows.groupBy("root", *key).agg(F.count(F.lit(1)).alias("n")), "keys")
+    best = keys.groupBy(F.col("root").alias("of")).agg(F.min(F.struct(*key)).alias("best"))
+    marks = keys.join(best, F.col("root") == F.col("of")).select(*key, (F.struct(*key) == F.col("best")).alias("stays"), "n")
+    marks = table(marks.filter(~F.col("stays") | (F.col("n") > 1)), "marks")
+    drop(keys)
+    id_ = docs["doc_id"].cast("long")
+    same = (id_.isNull() == marks["_none"]) & (F.coalesce(id_, F.lit(0)) == marks["_id"]) & (F.xxhash64(docs["text"].cast("string")) == marks["_hash"])
+    once = docs.join(F.broadcast(marks) if fits(marks, F.lit(40)) else marks, same, "left_anti")
+    twice = marks.filter("stays")
+    if not twice.limit(1).count():
+        return once
+    again = docs.join(F.broadcast(twice) if fits(twice, F.lit(40)) else twice, same, "left_semi")
+    return once.union(again.dropDuplicates(["doc_id", "text"]))
