@@ -160,8 +160,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     key = ["_none", "_id", "_hash"]
     rows = rooted(docs).select("root", F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text_hash").alias("_hash"))
     keys = table(rows.groupBy("root", *key).agg(F.count(F.lit(1)).alias("n")), "keys")
-    best = keys.groupBy(F.col("root").alias("of")).agg(F.min(F.struct(*key)).alias("best"))
-    marks = keys.join(best, F.col("root") == F.col("of")).select(*key, (F.struct(*key) == F.col("best")).alias("stays"), "n")
+    best = keys.groupBy("root").agg(F.min(F.struct(*key)).alias("best")).select("root", "best.*", F.lit(True).alias("stays"))
+    # by the whole key, as a component may have very many
+    marks = keys.join(best, ["root", *key], "left").select(*key, F.coalesce("stays", F.lit(False)).alias("stays"), "n")
     marks = table(marks.filter(~F.col("stays") | (F.col("n") > 1)), "marks")
     drop(keys)
     id_ = docs["doc_id"].cast("long")
