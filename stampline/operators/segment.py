@@ -2,11 +2,15 @@
 
 A boundary depends on the boundaries before it, so running sums can't say it. The fold streams over rows that are dealt by
 file and sorted by position: its state is one segment, a file may be longer than memory, and a batch may end anywhere.
+
+A file of more words than one task should take is cut into pieces where the state is known without the fold: after a word that
+ends a sentence and follows the word before it without a silence. Such a word always closes a segment, and nothing joins it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -15,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..settings import DEFAULT, Settings
+from ..sources.storage import checkpointed
 
 
 class Rules(NamedTuple):
@@ -51,63 +56,123 @@ class Open:
         return closed
 
 
-def _fold(rows: Iterator[tuple], words: int, longest: float, silence: float, merge: bool) -> Iterator[tuple]:
-    """(file, word, raw start, start, end, final, any final in the file) -> (file, seg_no, start, end, n_words, text)."""
+def _fold(rows: Iterator[tuple], words: int, longest: float, silence: float, merge: bool, repaired: bool) -> Iterator[tuple]:
+    """((file, piece), prior, more, word, raw start, start, end, final, any final in the file) -> (file, piece, seg_no, start, end, n_words, text).
+
+    prior: where the first segment of the piece begins, if not at its first word; more: whether the file has a later piece.
+    """
 
     def segments() -> Iterator[tuple]:
-        now, open_ = None, None
-        for file, word, raw, start, end, final, punctuated in rows:
-            if open_ is None or file != now:
+        """(piece, begin, end, words, ended, begin of the piece's end): the last is where the segment after a piece begins, if there is one."""
+        now, open_, goes_on = None, None, False
+        for piece, prior, more, word, raw, start, end, final, punctuated in rows:
+            if open_ is None or piece != now:
                 if open_ and open_.text:
-                    yield now, *open_.now()
-                now, open_, rules = file, Open(raw, raw, []), Rules(words, longest, silence, punctuated)
+                    yield now, *open_.now(), None
+                begin = raw if prior is None else prior
+                now, open_, rules, goes_on = piece, Open(begin, begin, []), Rules(words, longest, silence, punctuated), more
             if closed := open_.add(word, start, end, final, rules):
-                yield now, *closed
+                yield now, *closed, open_.begin if goes_on else None
         if open_ and open_.text:
-            yield now, *open_.now()
+            yield now, *open_.now(), None
 
     def merged() -> Iterator[tuple]:
         held = None
-        for file, begin, end, text, ended in segments():
-            if held and held[0] == file and len(" ".join(text).split()) <= 2 and begin - held[2] <= max(0, silence) and not held[4]:
-                held = (file, held[1], max(held[2], end), held[3] + text, ended)
+        for piece, begin, end, text, ended, after in segments():
+            if held and held[0] == piece and len(" ".join(text).split()) <= 2 and begin - held[2] <= max(0, silence) and not held[4]:
+                held = (piece, held[1], max(held[2], end), held[3] + text, ended, after)
             else:
                 if held:
                     yield held
-                held = (file, begin, end, text, ended)
+                held = (piece, begin, end, text, ended, after)
         if held:
             yield held
 
-    file_now, no = None, 0
-    for file, begin, end, text, _ in merged() if merge else segments():
-        no = no + 1 if file == file_now else 0
-        file_now = file
-        yield file, no, begin, end, len(text), " ".join(text)
-
-
-def segments(words_: DataFrame, settings: Settings = DEFAULT, txt: bool = False, merge: bool = True, unit: int = 1000) -> DataFrame:
+    def bounded() -> Iterator[tuple]:
+        """Ends not before starts and not after the next segment's start."""
+        held = None
+        for row in chain(merged() if merge else segments(), [None]):
+            if held:
+                following = row[1] if row and row[0] == held[0] else held[5]
+                end = max(held[1], held[2])
+                yield *held[:2], end if following is None else max(held[1], min(end, following)), *held[3:]
+            held = row
+
+    now, no = None, 0
+    for piece, begin, end, text, _, _ in bounded() if repaired else merged() if merge else segments():
+        no = no + 1 if piece == now else 0
+        now = piece
+        yield *piece, no, begin, end, len(text), " ".join(text)
+
+
+#: The piece of what comes before a file's first cut.
+FIRST = -(2**62)
+
+
+def _pieces(rows: DataFrame, block: int, silence: float) -> DataFrame:
+    """``rows`` with piece, prior, more and punctuated. Words are dealt by blocks of positions; each block is cut at its first sure cut, and what lies
+    before that belongs to the piece before. Per file, only one row of each block is brought together. Joins are by
+    struct(file_id), so that rows without an id stay."""
+    inside = Window.partitionBy("file", "block")
+    dealt = rows.withColumn("file", F.struct("file_id")).withColumn("block", F.floor(F.col("pos") / block).cast("long"))
+    gap = F.col("start") - F.lag("end").over(inside.orderBy("pos"))
+    sure = F.coalesce("final", F.lit(False)) & (F.coalesce(gap < silence, F.lit(False)) if silence > 0 else F.lit(True))
+    dealt = dealt.withColumn("cut", F.min(F.when(sure, F.struct("pos", "end"))).over(inside))
+    blocks = dealt.groupBy("file", "block").agg(F.first("cut").alias("cut"), F.max("final").alias("any"))
+    own = F.when(F.col("cut").isNotNull(), F.struct("block", F.col("cut.pos").alias("pos"), F.col("cut.end").alias("end")))
+    of_file, order = Window.partitionBy("file"), Window.partitionBy("file").orderBy("block")
+    before = F.last("own", True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.withColumn("own", own).select("file", "block", "own", before.alias("before"), F.max("any").over(of_file).alias("punctuated"), F.max("own.block").over(of_file).alias("most"))
+    both = dealt.drop("cut").join(blocks, ["file", "block"])
+    piece = F.when(F.col("pos") > F.col("own.pos"), F.col("own")).otherwise(F.col("before"))
+    both = both.withColumn("at", piece).withColumn("piece", F.coalesce("at.block", F.lit(FIRST)))
+    return both.select(*rows.columns, "piece", F.col("at.end").alias("prior"), (F.coalesce("most", F.lit(FIRST)) > F.col("piece")).alias("more"), "punctuated")
+
+
+def _numbered(folded: DataFrame) -> DataFrame:
+    """Numbers that go on over the pieces of a file. The segments are checkpointed, so that they are folded once."""
+    folded = checkpointed(folded).withColumn("file", F.struct("file_id"))
+    order = Window.partitionBy("file").orderBy("piece")
+    sizes = folded.groupBy("file", "piece").agg(F.count(F.lit(1)).alias("n"))
+    offsets = sizes.select("file", "piece", (F.sum("n").over(order) - F.col("n")).alias("offset"))
+    both = folded.join(offsets, ["file", "piece"])
+    return both.withColumn("seg_no", (F.col("seg_no") + F.col("offset")).cast("int")).select(folded.drop("file").columns)
+
+
+def segments(words_: DataFrame, settings: Settings = DEFAULT, txt: bool = False, merge: bool = True, unit: int = 1000, repaired: bool = False, block: int | None = None) -> DataFrame:
     """file_id, seg_no, start, end, n_words, text of ``words_`` (file_id, pos, word, start, end, with times in 1/unit seconds).
 
     A segment closes on a silence, on the end of a sentence, when it is too long, or (in a file without any end of a sentence)
     at a number of words. merge: pieces of up to two words after little silence join an unfinished sentence before them.
+    repaired: boundaries as repair() makes them. block: files are cut about every so many positions, where a sentence ends, and
+    their pieces are folded apart; the segments are the same, for more shuffles. Without it a file is folded in one task, which
+    holds one segment of it at a time; a file without any end of a sentence always is. Positions are unique in their file. Null
+    words count as empty; no words give no segments.
     """
     size, longest = (settings.txt_words, settings.txt_seconds) if txt else (settings.srt_words, settings.srt_seconds)
     start, end = scalar.clamp(F.col("start"), F.col("end"), F.lit(settings.max_word * unit).cast(words_.schema["start"].dataType))
     parts = int(words_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = words_.select("file_id", "pos", F.coalesce("word", F.lit("")).alias("word"), F.col("start").alias("raw"), start.alias("start"), end.alias("end"), scalar.ends_sentence(F.col("word")).alias("final"))
-    rows = rows.repartition(parts, "file_id").withColumn("punctuated", F.max("final").over(Window.partitionBy("file_id"))).sortWithinPartitions("file_id", "pos")
     kind = dict(words_.dtypes)
-    types = [kind["file_id"], "int", kind["start"], kind["start"], "int", "string"]
-    names = ["file_id", "seg_no", "start", "end", "n_words", "text"]
+    if block is None:
+        none = F.lit(None).cast(kind["start"])
+        rows = rows.repartition(parts, "file_id").withColumn("punctuated", F.max("final").over(Window.partitionBy("file_id")))
+        rows = rows.withColumns({"piece": F.lit(FIRST), "prior": none, "more": F.lit(False)}).sortWithinPartitions("file_id", "pos")
+    else:
+        rows = _pieces(rows, block, settings.silence * unit).repartition(parts, "file_id", "piece").sortWithinPartitions("file_id", "piece", "pos")
+    rows = rows.select("file_id", "piece", "prior", "more", "word", "raw", "start", "end", "final", "punctuated")
+    types = [kind["file_id"], "bigint", "int", kind["start"], kind["start"], "int", "string"]
+    names = ["file_id", "piece", "seg_no", "start", "end", "n_words", "text"]
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
             for b in batches:
-                yield from zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6, 7)), strict=True)
+                file, piece, *rest = (c.to_pylist() for c in b.columns)
+                yield from zip(zip(file, piece, strict=True), *rest, strict=True)
 
         out: list[tuple] = []
-        for row in _fold(each(), size, longest * unit, settings.silence * unit, merge):
+        for row in _fold(each(), size, longest * unit, settings.silence * unit, merge, repaired):
             out.append(row)
             if len(out) == 8192:
                 yield _batch(out)
@@ -115,10 +180,11 @@ def segments(words_: DataFrame, settings: Settings = DEFAULT, txt: bool = False,
         yield _batch(out)
 
     def _batch(rows_: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*rows_, strict=True) if rows_ else [()] * 6
+        columns = zip(*rows_, strict=True) if rows_ else [()] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(c, arrow[t]) for c, t in zip(columns, types, strict=True)], names)
 
-    return rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True)))
+    folded = rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True)))
+    return (folded if block is None else _numbered(folded)).drop("piece")
 
 
 def repair(segments_: DataFrame) -> DataFrame:
@@ -128,8 +194,9 @@ def repair(segments_: DataFrame) -> DataFrame:
     return segments_.withColumn("end", end).filter(F.col("text").rlike(r"(?U)\S"))
 
 
-def cues(words_: DataFrame, settings: Settings = DEFAULT, txt: bool = False, unit: int = 1000) -> DataFrame:
-    return repair(segments(words_, settings, txt, True, unit))
+def cues(words_: DataFrame, settings: Settings = DEFAULT, txt: bool = False, unit: int = 1000, block: int | None = None) -> DataFrame:
+    """Segments with their boundaries repaired, without blank ones; the fold looks one segment ahead, so nothing is shuffled again."""
+    return segments(words_, settings, txt, True, unit, True, block).filter(F.col("text").rlike(r"(?U)\S"))
 
 
 def silence_gaps(words_: DataFrame, least: int) -> DataFrame:
