@@ -114,7 +114,7 @@ def _pieces(rows: DataFrame, block: int, silence: float) -> DataFrame:
     before that belongs to the piece before. Per file, only one row of each block is brought together. Joins are by
     struct(file_id), so that rows without an id stay."""
     inside = Window.partitionBy("file", "block")
-    dealt = rows.withColumn("file", F.struct("file_id")).withColumn("block", F.floor(F.col("pos") / block).cast("long"))
+    dealt = rows.withColumn("file", F.struct("file_id")).withColumn("block", F.coalesce(F.floor(F.col("pos") / block).cast("long"), F.lit(FIRST)))
     gap = F.col("start") - F.lag("end").over(inside.orderBy("pos"))
     sure = F.coalesce("final", F.lit(False)) & (F.coalesce(gap < silence, F.lit(False)) if silence > 0 else F.lit(True))
     dealt = dealt.withColumn("cut", F.min(F.when(sure, F.struct("pos", "end"))).over(inside))

@@ -94,6 +94,9 @@ _CATALOG = """status as (select choice, c.filename, min_size_gb, size_gb is not
 _GAPS = """select file_id, count(*) as n_words, count(*) filter (gap >= {0}) as n_gaps, coalesce(max(gap), 0) as longest_gap
  from (select *, "start" - lag("end") over (partition by file_id order by pos) as gap from words) group by 1"""
 
+_PAGES = """status as (select page_id, page_id::varchar as filename, 1.0::double as min_size_gb, size_gb is not null as "exists", coalesce(size_gb, 0.0) as size_gb, coalesce(size_gb, 0.0) >= 1 as valid
+ from pages left join (select doc_id, n_chars::double / 1024 as size_gb from documents where lang <> 'en') on doc_id = page_id)"""
+
 ORACLE_SQL: dict[str, str] = {
     "word_stream": f'with {WORDS} select file_id, pos, word, "start", "end" from words',
     "word_clamp": f"with {WORDS}, {CLAMPED} select file_id, pos, s, e from clamped",
@@ -182,4 +185,15 @@ ORACLE_SQL |= {
     "error_responses": f"select event_id, '### ❌ ' || {_TITLE} || chr(10) || chr(10) || case when event_type = 'view' then '```' || chr(10) || event_type || ' ' || event_id || {_FENCE} else event_type || ' ' || event_id end as response from events",
     "load_errors": "select page_id, '❌ MODEL FILE NOT FOUND!' || chr(10) || 'File path: ' || url || chr(10) || 'Model: fast' || chr(10) || case when page_id % 2 = 0 then 'Original error: no bytes at ' || url || chr(10) else '' end || 'It is not there.' || chr(10) || 'Download it.' as text from pages",
     "download_totals": "select count(*) as models, count(*) filter (ok) as downloaded from (select user_id, bool_or(coalesce(value > 50, false)) as ok from events group by 1)",
+    "event_models": "select event_id, case when contains(event_type, 'view') then 'large' when contains(event_type, 'i') then 'fast-ctc' when contains(event_type, 'e') then 'large-v2' else 'fast' end as model from events",
+    "page_status": f'with {_PAGES} select * from status',
+    "page_load": f"""with {_PAGES} select page_id, case when "exists" then 'local' else 'hub' end as load_from from status""",
+    "page_totals": f'with {_PAGES} select count(*) filter ("exists") as downloaded, coalesce(sum(size_gb), 0.0) as total_gb from status',
+    "event_errors": """select event_id, event_type = 'error' as lock, case when event_type in ('click', 'signup') then 'unsupported_format' else 'load_failed' end as kind,
+ case when event_type in ('click', 'signup') then 'Format not supported' else 'Loading failed' end as title from (select event_id, coalesce(event_type, '') as event_type from events)""",
+    "stream_segments": rf"""with {WORDS}, sentences as (select *, coalesce(sum(regexp_matches(word, '[.?!。？！]\s*$')::int) over (partition by file_id order by pos rows between unbounded preceding and 1 preceding), 0) as no from words),
+ counted as (select *, (row_number() over (partition by file_id, no order by pos) - 1) // 13 as part from sentences),
+ closed as (select file_id, min(pos) as a, max(pos) as b, count(*)::int as n_words, string_agg(word, ' ' order by pos) as text from counted group by file_id, no, part)
+ select file_id, (row_number() over (partition by file_id order by a) - 1)::int as seg_no, case when a = 0 then 0 else 400 * a - 50 end::double as "start", (400 * b + 350)::double as "end", n_words, text from closed""",
 }
+ORACLE_SQL["segments_pieces"] = ORACLE_SQL["segments_final"]

@@ -12,6 +12,7 @@ from ..operators import batch, chunks, itn, levels, render, segment
 from ..settings import DEFAULT, Settings
 from ..sources import adapters, media
 from ..sources.adapters import read
+from ..streaming import segments as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Documents are minutes long, so the queries on chunks use short ones.
@@ -96,6 +97,20 @@ def segments_final(spark, d):
     return segment.cues(_words(spark, d))
 
 
+@query
+def segments_pieces(spark, d):
+    """The same segments as segments_final, of files that are cut where sentences end and folded in pieces."""
+    return segment.cues(_words(spark, d), block=500)
+
+
+@query
+def stream_segments(spark, d):
+    """The words of a stream of documents, one every 400 ms, segmented as they arrive; the stream ends when it has read what is there."""
+    schema = read(spark, d, "documents").schema
+    docs = spark.readStream.schema(schema).parquet(f"{d}/documents.parque[t]")  # a pattern, as the source takes no single file by its name
+    return stream.run_once(stream.segment_stream(adapters.even_words(docs)))
+
+
 @query
 def srt_cues_single(spark, d):
     return render.srt(segment.cues(_words(spark, d)))
@@ -443,3 +458,42 @@ def load_errors(spark, d):
 @query
 def download_totals(spark, d):
     return media.download_totals(read(spark, d, "events").select(F.col("user_id").alias("model"), (F.col("value") > 50).alias("ok")))
+
+
+@query
+def event_models(spark, d):
+    """The model of a label that names it, the types of events being the labels."""
+    choices = [("view", "large"), ("i", "fast-ctc"), ("e", "large-v2")]
+    return read(spark, d, "events").select("event_id", scalar.first_match(F.col("event_type"), choices, "fast").alias("model"))
+
+
+def _page_status(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as a catalog, whose least size is 1, and the documents of the same number as what is on disk."""
+    catalog = read(spark, d, "pages").select("page_id", F.col("page_id").cast("string").alias("filename"), F.lit(1.0).alias("min_size_gb"))
+    listing = read(spark, d, "documents").filter(F.col("lang") != "en").select(F.col("doc_id").cast("string").alias("filename"), (F.col("n_chars") / 1024).alias("size_gb"))
+    return media.catalog_status(catalog, listing)
+
+
+@query
+def page_status(spark, d):
+    return _page_status(spark, d)
+
+
+@query
+def page_load(spark, d):
+    return media.load_decision(_page_status(spark, d)).select("page_id", "load_from")
+
+
+@query
+def page_totals(spark, d):
+    return media.catalog_totals(_page_status(spark, d))
+
+
+@query
+def event_errors(spark, d):
+    """Kind, lock and title of the messages of events."""
+    said = {"click": "Format wrong", "view": "Audio file Format wrong", "error": "WinError 32: busy", "signup": "bad codec"}
+    message = scalar.lookup(F.col("event_type"), said, "disk full")
+    kind = validate.load_error_kind(message)
+    titles = {"load_failed": "Loading failed", "unsupported_format": "Format not supported"}
+    return read(spark, d, "events").select("event_id", validate.is_file_lock(message).alias("lock"), kind.alias("kind"), scalar.lookup(kind, titles, "Error").alias("title"))

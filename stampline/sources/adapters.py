@@ -25,6 +25,15 @@ def words(docs: DataFrame) -> DataFrame:
     return each.withColumn("end", end).select("file_id", "pos", "word", (F.col("end") - F.col("dur")).alias("start"), "end")
 
 
+def even_words(docs: DataFrame) -> DataFrame:
+    """file_id, pos, word, start, end, last, at: each document as words of 350 ms, one every 400 ms. Nothing looks beyond its row, so documents may
+    come as a stream; all of a document comes at one time."""
+    listed = docs.select(F.col("doc_id").alias("file_id"), F.filter(F.split("text", "[ \n\t\r]+"), lambda w: w != "").alias("words"))
+    each = listed.select("file_id", F.size("words").alias("n"), F.posexplode("words").alias("pos", "word"))
+    start = F.col("pos").cast("long") * 400
+    return each.select("file_id", F.col("pos").cast("long").alias("pos"), "word", start.alias("start"), (start + 350).alias("end"), (F.col("pos") == F.col("n") - 1).alias("last"), F.timestamp_seconds(F.lit(1)).alias("at"))
+
+
 def files(docs: DataFrame, timed: DataFrame | None = None) -> DataFrame:
     """file_id, name, is_video, duration (ms, of its words; null without any). The last word's end is the sum of all gaps and durations, which is
     aggregated without bringing the words into their order."""

@@ -42,11 +42,13 @@ def scan_media(spark: SparkSession, inputs: object) -> DataFrame:
             yield s.map(one).astype("float64")
 
     probe = F.pandas_udf(seconds, "double")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(normalise_inputs(inputs))
+    files = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    found = files().load(normalise_inputs(inputs))
     name = F.element_at(F.split("path", "/"), -1)
     extension = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
     columns = ("path", name.alias("name"), "length", scalar.is_video(name).alias("is_video"), extension.isin(*AUDIO, *scalar.VIDEO).alias("supported"))
-    waves = found.filter(extension == "wav").select(*columns, probe("content").alias("duration"))
+    # by the pattern, as a filter would come after the bytes of all files
+    waves = files().option("pathGlobFilter", "*.[wW][aA][vV]").load(normalise_inputs(inputs)).filter(extension == "wav").select(*columns, probe("content").alias("duration"))
     return waves.unionByName(found.filter(extension != "wav").select(*columns, F.lit(None).cast("double").alias("duration")))
 
 

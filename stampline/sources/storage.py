@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df``, computed once and read back from the folder in spark.checkpoint.dir, so that a lost executor can't change it. Where that is unset, a
-    temporary folder serves a local master, as in tests; on a cluster a RuntimeError is raised."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, made known to the session. Where that is unset, a temporary folder serves a local master, as in tests; on a
+    cluster a RuntimeError is raised."""
     if spark.sparkContext.getCheckpointDir() is None:
         path = spark.conf.get("spark.checkpoint.dir", None)
         if not path:
@@ -18,4 +17,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             path = "file://" + tempfile.mkdtemp(prefix="stampline-")
         spark.sparkContext.setCheckpointDir(path)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df``, computed once and read back from the shared folder, so that a lost executor can't change it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
