@@ -154,13 +154,12 @@ def segments(words_: DataFrame, settings: Settings = DEFAULT, txt: bool = False,
     parts = int(words_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = words_.select("file_id", "pos", F.coalesce("word", F.lit("")).alias("word"), F.col("start").alias("raw"), start.alias("start"), end.alias("end"), scalar.ends_sentence(F.col("word")).alias("final"))
     kind = dict(words_.dtypes)
-    if block is None:
-        none = F.lit(None).cast(kind["start"])
+    if not block:
         rows = rows.repartition(parts, "file_id").withColumn("punctuated", F.max("final").over(Window.partitionBy("file_id")))
-        rows = rows.withColumns({"piece": F.lit(FIRST), "prior": none, "more": F.lit(False)}).sortWithinPartitions("file_id", "pos")
+        rows = rows.sortWithinPartitions("file_id", "pos")
     else:
         rows = _pieces(rows, block, settings.silence * unit).repartition(parts, "file_id", "piece").sortWithinPartitions("file_id", "piece", "pos")
-    rows = rows.select("file_id", "piece", "prior", "more", "word", "raw", "start", "end", "final", "punctuated")
+    rows = rows.select("file_id", *(["piece", "prior", "more"] if block else []), "word", "raw", "start", "end", "final", "punctuated")
     types = [kind["file_id"], "bigint", "int", kind["start"], kind["start"], "int", "string"]
     names = ["file_id", "piece", "seg_no", "start", "end", "n_words", "text"]
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
@@ -168,7 +167,8 @@ def segments(words_: DataFrame, settings: Settings = DEFAULT, txt: bool = False,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
             for b in batches:
-                file, piece, *rest = (c.to_pylist() for c in b.columns)
+                file, *rest = (c.to_pylist() for c in b.columns)
+                piece, *rest = rest if block else ([FIRST] * len(file), [None] * len(file), [False] * len(file), *rest)
                 yield from zip(zip(file, piece, strict=True), *rest, strict=True)
 
         out: list[tuple] = []
@@ -184,7 +184,7 @@ def segments(words_: DataFrame, settings: Settings = DEFAULT, txt: bool = False,
         return pa.RecordBatch.from_arrays([pa.array(c, arrow[t]) for c, t in zip(columns, types, strict=True)], names)
 
     folded = rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True)))
-    return (folded if block is None else _numbered(folded)).drop("piece")
+    return (_numbered(folded) if block else folded).drop("piece")
 
 
 def repair(segments_: DataFrame) -> DataFrame:
