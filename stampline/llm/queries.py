@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, html, language, licenses, oracles, packing, quality, secrets, simhash, substring
+from . import decontaminate, embeddings, html, language, licenses, merkle, oracles, packing, quality, secrets, simhash, substring
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,12 +69,22 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_windows", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    same = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    hit = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0) & F.col("text").contains("\n")
+    tampered = F.when(hit, merkle.leaf(*same, F.replace("text", F.lit("\n"), F.lit(""))))
+    found = merkle.manifest(docs.select("doc_id", "source", merkle.leaf(*same, F.col("text")).alias("leaf"), tampered.alias("tampered")))
+    folded = found.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("siblings"), F.col("steps")))
+    return folded.select("doc_id", "leaf", "subroot", "root", F.sha2(F.lower(F.hex("siblings")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_substring, op4_secrets, op5_packing, op6_embeddings, op7_html, op8_quality, op9_language, op10_licenses, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_substring, op4_secrets, op5_packing, op6_embeddings, op7_html, op8_quality, op9_language, op10_licenses, op11_merkle, pipeline)}
 
 ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
