@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
 
-#: The frames that table() gave and their paths, by identity.
-_made: dict[int, tuple[DataFrame, str]] = {}
+#: What lies in the shared folder: the frames that table() gave, by identity, or the path of a folder, each with its session and path.
+_made: dict[int | str, tuple[SparkSession, str, DataFrame | None]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,15 +34,23 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: the lineage is cut, lost executors cost nothing but their
     running tasks. The files go when the driver's process ends, or with drop()."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     df.write.parquet(path)
-    if not _made:
-        atexit.register(_clean)
     out = spark.read.schema(df.schema).parquet(path)
-    _made[id(out)] = (out, path)
+    del _made[path]
+    _made[id(out)] = (spark, path, out)
     return out
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own name under the shared one, which goes when the driver's process ends. It is not made."""
+    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clean)
+    _made[path] = (spark, path, None)
+    return path
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by table(), once all that was made of them has been written."""
     for t in tables:
@@ -55,9 +63,9 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def _clean() -> None:
-    for made, path in _made.values():
+    for spark, path, _ in _made.values():
         try:
-            _delete(made.sparkSession, path)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the gateway may be gone when the interpreter ends
             return
 

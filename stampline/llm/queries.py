@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, html, language, licenses, merkle, oracles, packing, quality, secrets, simhash, substring
+from . import conversations, decontaminate, embeddings, html, language, licenses, merkle, oracles, packing, quality, secrets, simhash, substring, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,12 +79,34 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select("doc_id", "leaf", "subroot", "root", F.sha2(F.lower(F.hex("siblings")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    shards = tokens.write(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1)
+    return tokens.read(shards).select("doc_id", "start", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def damaged(talks: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text, there: conversations with faults that follow from their ids; null counts as one space, a dropped row isn't there."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(said("conv_id"), F.lit(":"), said("turn")).cast("binary")) % 20
+    marked = talks.select("conv_id", "turn", said("role").alias("role"), said("text").alias("text"), fault.alias("fault"))
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.array_repeat(F.col("fault") != 0, F.when(F.col("fault") == 3, 2).otherwise(1)))
+    return marked.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("there"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(damaged(_read(spark, sf_dir, "conversations")), F.col("there"), with_turns=False)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_substring, op4_secrets, op5_packing, op6_embeddings, op7_html, op8_quality, op9_language, op10_licenses, op11_merkle, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_substring, op4_secrets, op5_packing, op6_embeddings, op7_html, op8_quality, op9_language, op10_licenses, op11_merkle, op12_tokens, op13_conversations, pipeline)}
 
 ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
