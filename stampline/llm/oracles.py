@@ -124,4 +124,41 @@ from docs join t0 using (r) join tops using (s) join ends using (r) left join pr
 
 OP11 = _merkle()
 
-ORACLE_SQL = {"op1_decontamination": OP1, "op3_substring": OP3, "op4_secrets": OP4, "op6_embeddings": OP6, "op10_licenses": OP10, "op11_merkle": OP11}
+
+def _conversations() -> str:
+    """The cheapest edits turn by turn: k0 to k3 hold, for each state of the grammar, nine digits of cost and then the audit, so that the least string is the
+    best way. a2 and a3 are those ways with insertions after them."""
+    add = lambda k, cost, letter: f"lpad((left({k}, 9)::int + {cost})::varchar, 9, '0') || substr({k}, 10) || '{letter}'"
+    a2 = f"least(k2, {add('k0', 3, 'I')}, {add('k1', 3, 'I')}, {add('k3', 3, 'I')})"
+    closed = f"select *, least(k3, {add('a2', 3, 'I')}) as a3 from (select *, {a2} as a2 from ways)"
+    to_user = [f"case when not gone and initial = 'u' then {add(k, 'more', 'K')} end, case when not gone then {add(k, '3 + more', 'R')} end" for k in ("k0", "k1", "a3")]
+    to_assistant = f"case when not gone and initial = 'a' then {add('a2', 'more', 'K')} end, case when not gone then {add('a2', '3 + more', 'R')} end"
+    to_system = f"case when not gone and initial = 's' then {add('k0', 'more', 'K')} end"
+    given = "case when (place - system) % 2 = 0 then 'user' else 'assistant' end"
+    return rf"""with recursive {_CRC_TABLE},
+talks as (select dense_rank() over (order by conv_id) as c, conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+ {_crc("(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))")} % 20 as fault from conversations, crc),
+faulty as (select c, turn, case when fault = 4 then 'user' else role end as role, case fault when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+ unnest(range(case when fault = 3 then 2 else 1 end)) as copy from talks where fault <> 0),
+turns as (select *, row_number() over (partition by c order by turn nulls first, role, md5(text), copy) as i, left(role, 1) as initial, regexp_replace(text, '[ 	-]+$', '') as said from faulty),
+judged as (select *, said = '' as blank, said <> '' and row_number() over (partition by c, role, text order by i) > 1 as duplicate, lag(initial) over (partition by c order by i) as last from turns),
+edits as (select *, blank or duplicate as gone, case when not blank and not duplicate and right(said, 1) not in ('.', '!', '?') then 3 else 0 end as more from judged),
+ways as (select distinct c, 0::bigint as i, '000000000' as k0, null::varchar as k1, null::varchar as k2, null::varchar as k3 from talks
+ union all select c, i, {add('k0', 4, 'D')}, least({add('k1', 4, 'D')}, {to_system}), least({add('a2', 4, 'D')}, {', '.join(to_user)}), least({add('a3', 4, 'D')}, {to_assistant})
+ from (select e.*, k0, k1, a2, a3 from ({closed}) w join edits e on e.c = w.c and e.i = w.i + 1)),
+ends as (select c, arg_max(least(k0, a3), i) as best from ({closed}) group by c),
+steps as (select c, p, substr(best, 9 + p, 1) as edit from (select c, best, unnest(range(1, length(best) - 8))::int as p from ends)),
+taken as (select c, p, edit, count(*) filter (edit <> 'I') over (partition by c order by p) as i, count(*) filter (edit <> 'D') over (partition by c order by p) - 1 as place from steps),
+kept as (select t.c, p, place, edit, case when edit <> 'I' then role end as role, case when edit <> 'I' then text else '' end as text from taken t left join turns u on u.c = t.c and u.i = t.i where edit <> 'D'),
+begun as (select c, max((place = 0 and edit = 'K' and left(role, 1) = 's')::int) as system from kept group by c),
+left_over as (select c, string_agg(case when edit = 'K' then role else {given} end || ':' || text, chr(10) order by p) as said from kept join begun using (c) group by c),
+counts as (select c, max(turn) - min(turn) + 1 - count(distinct turn) as gaps, count(*) filter (blank) as blank, count(*) filter (duplicate) as duplicate, count(*) filter (more > 0) as truncated,
+ count(*) filter (last is not null and last || initial not in ('su', 'ua', 'au')) as illegal from edits group by c)
+select conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+ left(best, 9)::bigint as cost, substr(best, 10) as audit, sha256(coalesce(said, '')) as repaired_sha256
+from (select distinct c, conv_id from talks) join ends using (c) left join counts using (c) left join left_over using (c)"""
+
+
+OP13 = _conversations()
+
+ORACLE_SQL = {"op1_decontamination": OP1, "op3_substring": OP3, "op4_secrets": OP4, "op6_embeddings": OP6, "op10_licenses": OP10, "op11_merkle": OP11, "op13_conversations": OP13}
