@@ -74,16 +74,17 @@ class Mapped:
         return self._get(".bin", low * self.kind.itemsize, high - low, self.kind)
 
 
-def encode(docs: DataFrame, file: str, end: int) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit) of every row: the whole text's ids, then ``end``. Null text counts as empty."""
+def encode(docs: DataFrame, file: str, end: int, width: int = 4) -> DataFrame:
+    """doc_id, ids (little-endian, ``width`` bytes each) of every row: the whole text's ids, then ``end``. Null text counts as empty."""
     last = np.array([end], "<u4").tobytes()
+    narrow = (lambda x: x) if width == 4 else (lambda x: np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(file)
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 b = whole.slice(i, 256)
-                ids = [x + last for x in known.encode([t or "" for t in b.column(1).to_pylist()])]
+                ids = [narrow(x + last) for x in known.encode([t or "" for t in b.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -111,7 +112,7 @@ def write(docs: DataFrame, file: str, end: int = 1, where: str | None = None) ->
     target = _qualified(spark, where or folder(spark, "tokens")).rstrip("/")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # written, as dealing by ranges reads its input twice
-    encoded = table(encode(docs, file, end), "ids")
+    encoded = table(encode(docs, file, end, width), "ids")
     keys = ["doc_id", "_hash", "_read"]
     dealt = encoded.withColumn("_hash", F.xxhash64("ids")).withColumn("_read", F.monotonically_increasing_id()).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
 
@@ -127,8 +128,9 @@ def write(docs: DataFrame, file: str, end: int = 1, where: str | None = None) ->
                 name = f"shard-{shard:06d}-{uuid.uuid4().hex}"
                 store.create_dir(top, recursive=True)
                 out = store.open_output_stream(f"{top}/{name}.bin")
-            out.write(np.frombuffer(b"".join(b.column(1).to_pylist()), "<u4").astype(f"<u{width}").tobytes())
-            sizes.append(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False).astype("<u8") // 4)
+            for ids in b.column(1):
+                out.write(ids.as_buffer())
+            sizes.append(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False).astype("<u8") // width)
             numbers.append(b.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
             known.append(b.column(0).is_valid().to_numpy(zero_copy_only=False).astype("u1"))
         if out is None:
