@@ -11,12 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop, folder, table
+from .common import folder, table
 from .packing import encoder
 
 # The index file is a head, n + 1 offsets in ids (unsigned, 64 bits), n document ids (signed, 64 bits) and n bytes that are 1
@@ -74,23 +73,6 @@ class Mapped:
         return self._get(".bin", low * self.kind.itemsize, high - low, self.kind)
 
 
-def encode(docs: DataFrame, file: str, end: int, width: int = 4) -> DataFrame:
-    """doc_id, ids (little-endian, ``width`` bytes each) of every row: the whole text's ids, then ``end``. Null text counts as empty."""
-    last = np.array([end], "<u4").tobytes()
-    narrow = (lambda x: x) if width == 4 else (lambda x: np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = encoder(file)
-        for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                b = whole.slice(i, 256)
-                ids = [narrow(x + last) for x in known.encode([t or "" for t in b.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, ids binary")
-
-
 def _width(file: str, end: int) -> int:
     """Bytes of an id: two where the vocabulary and ``end`` allow it, else four."""
     from tokenizers import Tokenizer
@@ -100,52 +82,54 @@ def _width(file: str, end: int) -> int:
 
 
 def write(docs: DataFrame, file: str, end: int = 1, where: str | None = None) -> DataFrame:
-    """Write the ids of every row of ``docs`` (doc_id, text) and give the shards: shard, path, width, n_docs, n_ids, base (ids of all shards before).
+    """Write the ids of every row of ``docs`` (doc_id, text), each text's ids and then ``end``, and give the shards: shard, path, width, n_docs, n_ids, base
+    (ids of all shards before).
 
-    Documents ascend by doc_id, null first; those of one id by the XXH64 of their ids, then by where they were read, and they are dealt so,
-    too: neither an id that is there very often nor equal rows are gathered. where: a folder that all executors share, or a store that
-    pyarrow knows; else one under the shared folder, which goes when the driver ends. Each attempt of a task writes files of its own
+    Documents ascend by doc_id, null first; those of one id by the XXH64 of their text, then by where they were read, and they are dealt so,
+    too: neither an id that is there very often nor equal rows are gathered. Null text counts as empty. where: a folder that all executors share, or a
+    store that pyarrow knows; else one under the shared folder, which goes when the driver ends. Each attempt of a task writes files of its own
     name, and those of the attempt that Spark commits are the shards. An empty table gives none; other columns are not read.
+
+    Texts are encoded after they are dealt, straight into the files: dealing by ranges reads its input twice, which is cheap for texts.
     """
     spark = docs.sparkSession
     width = _width(file, end)
+    last = np.array([end], "<u4").tobytes()
     target = _qualified(spark, where or folder(spark, "tokens")).rstrip("/")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # written, as dealing by ranges reads its input twice
-    encoded = table(encode(docs, file, end, width), "ids")
     keys = ["doc_id", "_hash", "_read"]
-    dealt = encoded.withColumn("_hash", F.xxhash64("ids")).withColumn("_read", F.monotonically_increasing_id()).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    dealt = texts.withColumn("_hash", F.xxhash64("text")).withColumn("_read", F.monotonically_increasing_id()).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = _store(target)
-        out, shard, sizes, numbers, known = None, None, [], [], []
-        name = ""
-        for b in batches:
-            if not b.num_rows:
-                continue
-            if out is None:
-                shard = b.column(2)[0].as_py()
+        known = encoder(file)
+        out, name, shard, sizes, numbers, valid = None, "", None, [], [], []
+        for whole in batches:
+            if whole.num_rows and out is None:
+                shard = whole.column(2)[0].as_py()
                 name = f"shard-{shard:06d}-{uuid.uuid4().hex}"
                 store.create_dir(top, recursive=True)
                 out = store.open_output_stream(f"{top}/{name}.bin")
-            for ids in b.column(1):
-                out.write(ids.as_buffer())
-            sizes.append(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False).astype("<u8") // width)
-            numbers.append(b.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
-            known.append(b.column(0).is_valid().to_numpy(zero_copy_only=False).astype("u1"))
+            for i in range(0, whole.num_rows, 256):
+                b = whole.slice(i, 256)
+                ids = [x + last for x in known.encode(b.column(1).to_pylist())]
+                out.write(np.frombuffer(b"".join(ids), "<u4").astype(f"<u{width}").tobytes())
+                sizes.append(np.array([len(x) // 4 for x in ids], "<u8"))
+                numbers.append(b.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
+                valid.append(b.column(0).is_valid().to_numpy(zero_copy_only=False).astype("u1"))
         if out is None:
             return
         out.close()
         offsets = np.concatenate([np.zeros(1, "<u8"), np.cumsum(np.concatenate(sizes), dtype="<u8")])
         head = np.array([(MAGIC, VERSION, width, len(offsets) - 1, offsets[-1])], HEAD)
         with store.open_output_stream(f"{top}/{name}.idx") as index:
-            for part in (head, offsets, *numbers, *known):
+            for part in (head, offsets, *numbers, *valid):
                 index.write(part.tobytes())
         row = {"shard": [shard], "path": [f"{target}/{name}"], "width": [width], "n_docs": [len(offsets) - 1], "n_ids": [int(offsets[-1])]}
         yield pa.RecordBatch.from_pydict(row, pa.schema([("shard", pa.int32()), ("path", pa.string()), ("width", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    shards = table(dealt.select("doc_id", "ids", F.spark_partition_id().alias("shard")).mapInArrow(run, _SHARD), "shards")
-    drop(encoded)
+    shards = table(dealt.select("doc_id", "text", F.spark_partition_id().alias("shard")).mapInArrow(run, _SHARD), "shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return shards.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
 
