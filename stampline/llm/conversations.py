@@ -137,7 +137,7 @@ def repair(rows: DataFrame, present: Column | None = None, with_turns: bool = Tr
     conversation in ``rows`` (conv_id, turn, role, text).
 
     present: rows where it isn't true are no turns, but their conversation is in the result. Null roles and texts count as one space, a null conv_id
-    is a conversation, turns ascend with null ones first; those of one number go by role, then by the MD5 of their text, equal
+    is a conversation, an empty role has no initial and can't be kept, turns ascend with null ones first; those of one number go by role, then by the MD5 of their text, equal
     ones are alike in any order. A turn without any character but white space is blank, one whose role and text were there
     before is a duplicate, one that doesn't end in ``.!?`` is truncated; the first of these counts. Other columns are not read. An empty table gives
     no rows; a conversation without turns zeros, an empty audit and the hash of nothing.

@@ -12,7 +12,7 @@ from stampline.llm import decontaminate, language, licenses, packing, queries, q
 @pytest.fixture(scope="module")
 def empty(spark, data, tmp_path_factory):
     folder = tmp_path_factory.mktemp("empty")
-    for name in ("documents", "embeddings", "pages", "benchmark", "labels"):
+    for name in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         spark.read.parquet(f"{data}/{name}.parquet").limit(0).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
     return str(folder)
 
