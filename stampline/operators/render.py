@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..functions.validate import is_failure
+from ..settings import DEFAULT, Settings
 from ..sources.storage import checkpointed
+from . import segment
 
 
 def srt_block(no: Column, start: Column, end: Column, text: Column) -> Column:
@@ -75,35 +77,54 @@ def global_numbers(rows: DataFrame, group: str, inside: list[str]) -> Column | D
     before = F.sum("_t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_t")
     offsets = sizes.join(F.broadcast(totals.select("_p", before.alias("_before"))), "_p").select(F.col(group).alias("_g"), (F.col("_inner") + F.col("_before")).alias("_offset"))
     own = F.row_number().over(Window.partitionBy(group).orderBy(*inside))
-    return rows.withColumn("_own", own).join(offsets, F.col(group) == F.col("_g")).withColumn("no", (F.col("_own") + F.col("_offset")).cast("long")).drop("_own", "_g", "_offset")
+    return rows.withColumn("_own", own).join(offsets, F.col(group).eqNullSafe(F.col("_g"))).withColumn("no", (F.col("_own") + F.col("_offset")).cast("long")).drop("_own", "_g", "_offset")
+
+
+def _good(files: DataFrame) -> DataFrame:
+    return files.filter(~F.coalesce(is_failure(F.col("text")), F.lit(False))).withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def _with(files: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """``files`` with each of their ``rows`` (file_id and columns, which are called _column); a file without any, null among ids too, has nulls."""
+    of = rows.select(F.col("file_id").alias("_of"), *(F.col(c).alias(f"_{c}") for c in columns))
+    return files.join(of, F.col("file_id").eqNullSafe(F.col("_of")), "left").drop("_of")
+
+
+def _cues(good: DataFrame, cues: DataFrame) -> DataFrame:
+    """file_id, cue_no, start, end, text: the cues of good files; one without any has one cue of all its text, as long as its words take."""
+    both = _with(good.select("file_id", "text"), cues, "cue_no", "start", "end", "text")
+    none, zero = F.col("_cue_no").isNull(), F.lit(0).cast("long")
+    end = F.when(none, scalar.estimated_ms(scalar.word_count(F.col("text")))).otherwise(F.col("_end").cast("long"))
+    text = F.when(none, F.col("text")).otherwise(F.col("_text"))
+    return both.select("file_id", F.coalesce(F.col("_cue_no").cast("long"), zero).alias("cue_no"), F.coalesce(F.col("_start").cast("long"), zero).alias("start"), end.alias("end"), text.alias("text"))
 
 
 def batch_srt(files: DataFrame, cues: DataFrame) -> DataFrame:
     """no, file_id, cue: failed files are skipped; each file has a header cue of two seconds, and numbers go on over all files. files:
-    file_id, name, text; cues: file_id, cue_no, start, end, text."""
-    good = files.filter(~is_failure(F.col("text")))
-    header = good.select("file_id", F.lit(0).cast("long").alias("cue_no"), F.lit(0).cast("long").alias("start"), F.lit(2000).cast("long").alias("end"), F.concat(F.lit("[FILE: "), "name", F.lit("]")).alias("text"))
-    body = cues.join(good.select("file_id"), "file_id", "left_semi").select("file_id", (F.col("cue_no") + 1).cast("long").alias("cue_no"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "text")
-    numbered = global_numbers(header.unionByName(body), "file_id", ["cue_no"])
+    file_id, name, text; cues: file_id, cue_no, start, end, text. A good file without cues has one of its whole text."""
+    good = _good(files)
+    header = good.select("file_id", F.lit(-1).cast("long").alias("cue_no"), F.lit(0).cast("long").alias("start"), F.lit(2000).cast("long").alias("end"), F.concat(F.lit("[FILE: "), "name", F.lit("]")).alias("text"))
+    numbered = global_numbers(header.unionByName(_cues(good, cues)), "file_id", ["cue_no"])
     return numbered.select("no", "file_id", srt_block(F.col("no"), F.col("start"), F.col("end"), F.col("text")).alias("cue"))
 
 
 def batch_csv(files: DataFrame, stamps: DataFrame) -> DataFrame:
     """file_id, pos, line: one row per stamp, or one from 0 to the duration for a good file without stamps."""
-    good = files.filter(~is_failure(F.col("text"))).select("file_id", "name", "duration", F.col("text").alias("whole"))
-    both = good.join(stamps.select("file_id", "pos", "start", "end", "text"), "file_id", "left")
-    none = F.col("pos").isNull()
-    start, end = F.when(none, F.lit(0)).otherwise(F.col("start")), F.when(none, F.col("duration")).otherwise(F.col("end"))
+    both = _with(_good(files).select("file_id", "name", "duration", "text"), stamps, "pos", "start", "end", "text")
+    none = F.col("_pos").isNull()
+    start, end = F.when(none, F.lit(0)).otherwise(F.col("_start")), F.when(none, F.col("duration")).otherwise(F.col("_end"))
     # without stamps the row's duration is the file's, as its end is
-    return both.select("file_id", F.coalesce("pos", F.lit(0).cast("long")).alias("pos"), csv_line(start, end, F.when(none, F.col("whole")).otherwise(F.col("text")), F.col("name")).alias("line"))
+    return both.select("file_id", F.coalesce("_pos", F.lit(0).cast("long")).alias("pos"), csv_line(start, end, F.when(none, F.col("text")).otherwise(F.col("_text")), F.col("name")).alias("line"))
 
 
 def batch_txt(files: DataFrame, lines: DataFrame) -> DataFrame:
-    """file_id, part, pos, line: of each file a header (part 0) and its lines (part 1); failed files are printed too."""
+    """file_id, part, pos, line: of each file a header (part 0) and its lines (part 1); a file without lines, also a failed one, has its text."""
     rule = "=" * 60
     head = F.concat_ws("\n", F.lit(""), F.concat(F.lit("FILE "), (F.col("file_no")).cast("string"), F.lit(": "), "name"), F.concat(F.lit("Duration: "), scalar.minutes_seconds(F.col("duration"))), F.lit(rule), F.lit(""))
-    header = files.select("file_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("pos"), head.alias("line"))
-    return header.unionByName(lines.select("file_id", F.lit(1).alias("part"), F.col("pos").cast("long").alias("pos"), "line"))
+    zero = F.lit(0).cast("long")
+    header = files.select("file_id", F.lit(0).alias("part"), zero.alias("pos"), head.alias("line"))
+    body = _with(files.select("file_id", "text"), lines, "pos", "line")
+    return header.unionByName(body.select("file_id", F.lit(1).alias("part"), F.coalesce(F.col("_pos").cast("long"), zero).alias("pos"), F.coalesce("_line", "text", F.lit("")).alias("line")))
 
 
 def txt_header(name: str, model: str, ms: int, seconds: float, itn: bool, n_files: int | None = None) -> str:
@@ -156,12 +177,46 @@ def outputs(files: DataFrame, stamps: DataFrame, model: str = "fast", itn: bool
     return {"txt": (text, ["top", "file_id", "part", "pos"], "line"), "srt": (cues, ["no"], "cue"), "csv": (table, ["part", "file_id", "pos"], "line")}
 
 
+def single_outputs(files: DataFrame, stamps: DataFrame, level: str = "segment", model: str = "fast", itn: bool = False, settings: Settings = DEFAULT) -> dict[str, tuple[DataFrame, list[str], str]]:
+    """The three outputs of every file as if it were the only one, in the form of outputs(), each row with its file_id. files: file_id, name, text,
+    duration, took (ms); stamps: file_id, pos, start, end and text, or word where ``level`` is word; words are grouped for SRT and TXT.
+
+    A failed file has no outputs. A file without stamps has its text: in TXT as it is, in SRT as one cue and in CSV as one row, both as long as its
+    words take."""
+    good, zero = _good(files), F.lit(0).cast("long")
+    if level == "word":
+        words = stamps.select("file_id", "pos", "word", "start", "end")
+        stamps = words.withColumnRenamed("word", "text")
+        shown, told = (segment.cues(words, settings, txt).withColumnRenamed("seg_no", "pos") for txt in (False, True))
+    else:
+        shown = told = stamps
+    shown = shown.withColumn("cue_no", F.row_number().over(Window.partitionBy("file_id").orderBy("pos")))
+    srt_ = _cues(good, shown).withColumn("pos", F.greatest(F.col("cue_no"), F.lit(1)))
+    srt_ = srt_.select("file_id", F.lit(1).alias("part"), "pos", srt_block(F.col("pos"), F.col("start"), F.col("end"), F.col("text")).alias("line"))
+
+    top = _with(good.select("file_id"), txt_headers(good, model, itn), "header").select("file_id", F.lit(0).alias("part"), zero.alias("pos"), F.col("_header").alias("line"))
+    lines = _with(good.select("file_id", "text"), told, "pos", "start", "text")
+    said = F.when(F.col("_pos").isNull(), F.col("text")).otherwise(F.concat(scalar.txt_time_ms(F.col("_start")), F.lit(" "), "_text"))
+    txt = top.unionByName(lines.select("file_id", F.lit(1).alias("part"), F.coalesce(F.col("_pos").cast("long"), zero).alias("pos"), said.alias("line")))
+
+    head = good.select("file_id", F.lit(0).alias("part"), zero.alias("pos"), F.lit(CSV_HEADER).alias("line"))
+    table = _cues(good, stamps.withColumnRenamed("pos", "cue_no"))
+    csv = head.unionByName(table.select("file_id", F.lit(1).alias("part"), F.col("cue_no").alias("pos"), csv_line(F.col("start"), F.col("end"), F.col("text")).alias("line")))
+    order = ["file_id", "part", "pos"]
+    return {"txt": (txt, order, "line"), "srt": (srt_, order, "line"), "csv": (csv, order, "line")}
+
+
 def write_outputs(files: DataFrame, stamps: DataFrame, folder: str, model: str = "fast", itn: bool = False, took: float = 0.0) -> dict[str, str]:
-    """Write all three outputs of a batch, or of a single file, under ``folder``, and give their paths. The name is output_name()'s."""
+    """Write all three outputs of a batch, or of a single file in the layout of one, under ``folder``, and give their paths. The name is output_name()'s.
+    Of a single file that failed nothing is written."""
     some = [r["name"] for r in files.select("name").limit(2).collect()]
-    stem = output_name(some[0] if some else None, 1 if len(some) == 1 else files.count())
+    single = len(some) == 1
+    stem = output_name(some[0] if some else None, 1 if single else files.count())
+    if single and not _good(files).count():
+        return {}
+    made = single_outputs(files.withColumn("took", F.lit(round(took * 1000)).cast("long")), stamps, model=model, itn=itn) if single else outputs(files, stamps, model, itn, took)
     paths = {}
-    for kind, (rows, order, value) in outputs(files, stamps, model, itn, took).items():
+    for kind, (rows, order, value) in made.items():
         paths[kind] = f"{folder.rstrip('/')}/{stem}.{kind}"
         write_lines(rows, order, value, paths[kind])
     return paths

@@ -84,9 +84,11 @@ _RESULTS = f"""results as (select file_id, name, is_video, duration, error is nu
   case when error is null then said else '[Transcription failed: ' || error || ']' end as text, case when error is null then {_COUNT.format('said')} else 0 end::bigint as n_words
  from (select files.*, said, case when f is null then 'no result' when said = '' then 'empty text' end as error from files
   left join (select d.doc_id as f, case when quality = 1 then text else '' end as said from documents d join labels l on l.doc_id = d.doc_id) on f = file_id))"""
-_TALKS = """talks as (select conv_id as file_id, 'talk_' || conv_id || '.wav' as name, count(*) * 3000 as duration,
-  case when conv_id % 17 = 0 then '[Transcription failed: no result]' else arg_min(text, turn) end as text from conversations group by conv_id),
+_BAD = "(select distinct doc_id as bad from labels where quality = 0)"
+_TALKS = f"""talks as (select file_id, name, duration, case when bad is not null then '[Transcription failed: empty text]' else text end as text from (
+  select conv_id as file_id, 'talk_' || conv_id || '.wav' as name, count(*) * 3000 as duration, arg_min(text, turn) as text from conversations group by conv_id) left join {_BAD} on bad = file_id),
 stamps as (select conv_id as file_id, turn as pos, turn * 3000 as "start", turn * 3000 + 2500 as "end", text from conversations where role = 'assistant')"""
+_ESTIMATE = f"greatest(5000, 400 * {_COUNT.format('t.text')})"
 _GOOD = "not starts_with(text, '[Transcription failed: ')"
 _CATALOG = """status as (select choice, c.filename, min_size_gb, size_gb is not null as "exists", coalesce(size_gb, 0.0)::double as size_gb, coalesce(size_gb, 0.0) >= min_size_gb as valid
  from (values ('1', 'fast.bin', 2.0::double), ('2', 'large.bin', 4.0), ('3', 'large-v2.bin', 4.5), ('4', 'fast-ctc.bin', 4.5)) c(choice, filename, min_size_gb)
@@ -110,23 +112,24 @@ ORACLE_SQL: dict[str, str] = {
     "segments_merged": _raw(8, 5000) + _MERGED + _SEG + "merged",
     "segments_final": _raw(8, 5000) + _MERGED + _SEG + "final",
     "srt_cues_single": _raw(8, 5000) + _MERGED + f"""select file_id, cue_no, {_block('cue_no', '"start"', '"end"', 'text')} as cue from (select *, row_number() over (partition by file_id order by seg_no)::int as cue_no from final)""",
-    "srt_estimated": f"select doc_id as file_id, {_block('1', '0', 'est', 'said')} as cue from (select doc_id, said, (greatest(5.0, {_COUNT.format('said')} / 2.5) * 1000)::bigint as est from (select doc_id, case when doc_id % 17 = 0 then '' else text end as said from documents))",
-    "csv_estimated": f"select doc_id as file_id, {_csv('0', 'est', 'said')} as line from (select doc_id, said, (greatest(5.0, {_COUNT.format('said')} / 2.5) * 1000)::bigint as est from (select doc_id, case when doc_id % 17 = 0 then '' else text end as said from documents))",
-    "txt_plain": "select doc_id as file_id, '[00:00:00] ' || case when doc_id % 17 = 0 then '' else text end as line from documents",
+    "srt_estimated": f"select doc_id as file_id, {_block('1', '0', 'est', 'said')} as cue from (select doc_id, said, (greatest(5.0, {_COUNT.format('said')} / 2.5) * 1000)::bigint as est from (select doc_id, case when bad is not null then '' else text end as said from documents left join {_BAD} on bad = doc_id))",
+    "csv_estimated": f"select doc_id as file_id, {_csv('0', 'est', 'said')} as line from (select doc_id, said, (greatest(5.0, {_COUNT.format('said')} / 2.5) * 1000)::bigint as est from (select doc_id, case when bad is not null then '' else text end as said from documents left join {_BAD} on bad = doc_id))",
+    "txt_plain": f"select doc_id as file_id, '[00:00:00] ' || case when bad is not null then '' else text end as line from documents left join {_BAD} on bad = doc_id",
     "output_headers": f"""with {WORDS}, {FILES} select file_id, 'Audio File: ' || name || chr(10) || 'Model: fast' || chr(10) || 'Duration: ' || {_xmys('coalesce(duration, 0)')} || chr(10) || printf('Processing Time: %d.%02ds', (h // 100)::bigint, (h % 100)::bigint)
  || chr(10) || 'ITN Applied: Yes' || chr(10) || chr(10) || repeat('=', 60) || chr(10) || 'TRANSCRIPTION' || chr(10) || repeat('=', 60) || chr(10) as header, regexp_replace(name, '\\.[^.]*$', '') || '_transcription' as stem from (select *, (file_id % 7000 + 5) // 10 as h from files)""",
     "audio_validation": f"""with {WORDS}, {FILES} select file_id, case when duration::double / 1000 < 0.1 then 'too_short' when duration::double / 1000 > 86400 then 'too_long' when energy < 0.001 then 'silent' end as error from files left join
  (select vec_id, sqrt(list_sum(list_transform(embedding, lambda x: (x::double / (vec_id % 4 * 200 + 1)) * (x::double / (vec_id % 4 * 200 + 1)))) / len(embedding)) as energy from embeddings) on vec_id = file_id""",
     "csv_rows": f"""with {WORDS} select file_id, pos, {_csv('"start"', '"end"', 'word')} as line from words""",
     "txt_lines": _raw(12, 8000) + _MERGED + f"""select file_id, seg_no::int as seg_no, {_txt('"start"')} || ' ' || text as line from final""",
-    "talk_srt": f"""with {_TALKS}, parts as (select file_id, 0 as cue_no, 0 as "start", 2000 as "end", '[FILE: ' || name || ']' as text from talks where {_GOOD}
- union all select s.file_id, s.pos + 1, s."start", s."end", s.text from stamps s join talks t on t.file_id = s.file_id where not starts_with(t.text, '[Transcription failed: '))
+    "talk_srt": f"""with {_TALKS}, parts as (select file_id, -1 as cue_no, 0 as "start", 2000 as "end", '[FILE: ' || name || ']' as text from talks where {_GOOD}
+ union all select t.file_id, coalesce(s.pos, 0), coalesce(s."start", 0), case when s.pos is null then {_ESTIMATE} else s."end" end, case when s.pos is null then t.text else s.text end
+ from talks t left join stamps s on t.file_id = s.file_id where not starts_with(t.text, '[Transcription failed: '))
  select no, file_id, {_block('no', '"start"', '"end"', 'text')} as cue from (select *, row_number() over (order by file_id, cue_no) as no from parts)""",
     "talk_csv": f"""with {_TALKS} select file_id, pos, {_quoted('name')} || ',' || {_csv('st', 'en', 'text')} as line from (
  select t.file_id, t.name, coalesce(s.pos, 0) as pos, case when s.pos is null then 0 else s."start" end as st, case when s.pos is null then t.duration else s."end" end as en,
   case when s.pos is null then t.text else s.text end as text from talks t left join stamps s on s.file_id = t.file_id where not starts_with(t.text, '[Transcription failed: '))""",
     "talk_txt": f"""with {_TALKS} select file_id, 0 as part, 0::bigint as pos, chr(10) || 'FILE ' || (file_id + 1) || ': ' || name || chr(10) || 'Duration: ' || {_xmys('duration')} || chr(10) || repeat('=', 60) || chr(10) as line from talks
- union all select file_id, 1, pos, {_txt('"start"')} || ' ' || text from stamps""",
+ union all select t.file_id, 1, coalesce(s.pos, 0), case when s.pos is null then t.text else {_txt('s."start"')} || ' ' || s.text end from talks t left join stamps s on s.file_id = t.file_id""",
     "chunk_plan": f"""with {WORDS}, {FILES} select file_id, k as chunk_no, cs as chunk_start, ce as chunk_end, greatest(cs - {_OVER}, 0) as read_start, least(ce + {_OVER}, duration) as read_end, cs - greatest(cs - {_OVER}, 0) as left_ctx
  from (select *, k * {_CHUNK} as cs, least(k * {_CHUNK} + {_CHUNK}, duration) as ce from (select *, unnest(range(ceil(duration / {_CHUNK})::bigint)) as k from files where duration > 0))""",
     "chunk_membership": f"with {WORDS}, {_MEMBERS} select file_id, k as chunk_no, count(*) as n_words, min(pos) as first_pos, max(pos) as last_pos from members group by 1, 2",
@@ -135,7 +138,9 @@ ORACLE_SQL: dict[str, str] = {
     "chunk_text": f"with {WORDS}, {_MEMBERS}, {_SHIFTED} select file_id, chunk_no, count(*) as n_words, string_agg(word, ' ' order by pos) as text from shifted group by 1, 2",
     "merged_text": f"with {WORDS}, {_MEMBERS}, {_SHIFTED}, t as (select file_id, chunk_no, string_agg(word, ' ' order by pos) as text from shifted group by 1, 2) select file_id, count(*) as n_chunks, string_agg(text, ' ' order by chunk_no) as text from t group by 1",
     "long_routing": f"with {WORDS}, {FILES} select file_id, duration, coalesce(duration, 0) > 150000 as is_long, (select coalesce(max(duration > 150000), false) from files) as batch_chunked from files",
-    "level_fallback": "select doc_id, level, case when doc_id % 11 = 0 then 'disabled' when level = 'none' then 'requested, not available' else level || '-level' end as status from (select doc_id, case when doc_id % 11 = 0 or length(text) % 7 = 0 then 'none' when doc_id % 2 <> 0 then 'word' when doc_id % 3 <> 0 then 'segment' when doc_id % 5 <> 0 then 'char' else 'none' end as level from documents)",
+    "level_fallback": rf"""select doc_id, level, case when toxic = 1 then 'disabled' when level = 'none' then 'requested, not available' else level || '-level' end as status from (
+ select d.doc_id, toxic, case when toxic = 1 then 'none' when quality = 1 and {_COUNT.format('text')} > 0 then 'word' when quality is not null and regexp_matches(text, '\S') then 'segment' when {_COUNT.format('text')} > 0 then 'char' else 'none' end as level
+ from documents d left join labels l on l.doc_id = d.doc_id)""",
     "attempt_choice": "select user_id, event_type, min(event_id) as attempt, true as ok from events where value > 50 group by 1, 2",
     "file_checks": f"with {WORDS}, {FILES}, {_RESULTS} select file_id, ok, error, text, starts_with(text, '[Transcription failed: ') as failed from results",
     "batch_totals": f"with {WORDS}, {FILES}, {_RESULTS} select count(*) as n_files, count(*) filter (ok) as n_ok, count(*) filter (not ok) as n_failed, count(*) filter (is_video) as n_videos, coalesce(sum(n_words), 0)::bigint as n_words, coalesce(sum(duration), 0)::bigint as duration from results",
@@ -171,6 +176,13 @@ ORACLE_SQL |= {
     "batch_outputs": f"""with {_TALKS}, srts as (with {_TALKS}{_TALK_SRT}), csvs as (with {_TALKS}{_TALK_CSV}), txts as (with {_TALKS}{_TALK_TXT})
  select 'srt' as kind, cue as line from srts union all select 'csv', line from csvs union all select 'csv', 'file,start_time,end_time,duration,text' union all select 'txt', line from txts
  union all select 'txt', 'Batch Transcription - ' || count(*) || ' files' || chr(10) || 'Model: fast' || chr(10) || 'Total Duration: ' || {_xmys('coalesce(sum(duration), 0)')} || chr(10) || 'Processing Time: 1.50s' || chr(10) || 'ITN Applied: Yes' || chr(10) || chr(10) || {_RULE} from talks""",
+    "single_outputs": f"""with {_TALKS}, good as (select * from talks where {_GOOD}),
+ each as (select t.file_id, s.pos, coalesce(s.pos, 0) as no, coalesce(s."start", 0) as "start", case when s.pos is null then {_ESTIMATE} else s."end" end as "end", coalesce(s.text, t.text) as text,
+  row_number() over (partition by t.file_id order by s.pos) as cue_no from good t left join stamps s on s.file_id = t.file_id)
+ select 'srt' as kind, file_id, 1 as part, cue_no as pos, {_block('cue_no', '"start"', '"end"', 'text')} as line from each
+ union all select 'csv', file_id, 0, 0, 'start_time,end_time,duration,text' from good union all select 'csv', file_id, 1, no, {_csv('"start"', '"end"', 'text')} from each
+ union all select 'txt', file_id, 0, 0, 'Audio File: ' || name || chr(10) || 'Model: fast' || chr(10) || 'Duration: ' || {_xmys('duration')} || chr(10) || 'Processing Time: 1.50s' || chr(10) || 'ITN Applied: Yes' || chr(10) || chr(10) || {_RULE} || chr(10) || 'TRANSCRIPTION' || chr(10) || {_RULE} || chr(10) from good
+ union all select 'txt', file_id, 1, no, case when pos is null then text else {_txt('"start"')} || ' ' || text end from each""",
     "single_status": f"""with {WORDS}, {FILES} select file_id, case when is_video then 'video, its audio was taken' || chr(10) else '' end || 'Model: fast' || chr(10) || 'Audio Duration: ' || {_xmys('coalesce(duration, 0)')} || chr(10)
  || printf('Real-Time Factor: %d.%dx', (t // 10)::bigint, (t % 10)::bigint) || chr(10) || 'Transcription Length: ' || length(coalesce(text, '')) || ' characters (' || {_COUNT.format("coalesce(text, '')")} || ' words)' || chr(10) || 'ITN: applied' || chr(10)
  || 'Timestamps: ' || case when file_id % 11 = 0 then 'disabled' when duration is null then 'requested, not available' else 'word-level' end as line

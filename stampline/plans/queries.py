@@ -118,17 +118,17 @@ def srt_cues_single(spark, d):
 
 @query
 def srt_estimated(spark, d):
-    return render.srt_estimated(adapters.hypotheses(_docs(spark, d)))
+    return render.srt_estimated(adapters.hypotheses(_docs(spark, d), read(spark, d, "labels")))
 
 
 @query
 def csv_estimated(spark, d):
-    return render.csv_estimated(adapters.hypotheses(_docs(spark, d)))
+    return render.csv_estimated(adapters.hypotheses(_docs(spark, d), read(spark, d, "labels")))
 
 
 @query
 def txt_plain(spark, d):
-    return render.txt_plain(adapters.hypotheses(_docs(spark, d)))
+    return render.txt_plain(adapters.hypotheses(_docs(spark, d), read(spark, d, "labels")))
 
 
 @query
@@ -148,11 +148,14 @@ def txt_lines(spark, d):
 
 
 def _talks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Conversations as files (every 17th failed) and the assistant's turns as stamps; a conversation without such turns has none."""
+    """Conversations as files and the assistant's turns as stamps; a conversation without such turns has none. A talk failed where the document of
+    its number has a label of quality 0."""
     turns = read(spark, d, "conversations").select(F.col("conv_id").alias("file_id"), F.col("turn").alias("pos"), "text", "role")
-    failed = validate.failure_text(F.lit("no result"))
+    failed = validate.failure_text(F.lit("empty text"))
     files = turns.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("text", "pos").alias("first"))
-    text = F.when(F.col("file_id") % 17 == 0, failed).otherwise(F.col("first"))
+    bad = read(spark, d, "labels").filter("quality = 0").select(F.col("doc_id").alias("_bad")).distinct()
+    files = files.join(bad, F.col("file_id") == F.col("_bad"), "left")
+    text = F.when(F.col("_bad").isNotNull(), failed).otherwise(F.col("first"))
     files = files.select("file_id", F.concat(F.lit("talk_"), F.col("file_id").cast("string"), F.lit(".wav")).alias("name"), (F.col("n") * 3000).alias("duration"), text.alias("text"), (F.col("file_id") + 1).alias("file_no"))
     stamps = turns.filter("role = 'assistant'").select("file_id", "pos", (F.col("pos") * 3000).alias("start"), (F.col("pos") * 3000 + 2500).alias("end"), "text")
     return files, stamps
@@ -213,10 +216,18 @@ def long_routing(spark, d):
 
 @query
 def level_fallback(spark, d):
-    counts = {n: F.when(F.col("doc_id") % k == 0, 0).otherwise(F.length("text") % 7) for n, k in (("word", 2), ("segment", 3), ("char", 5))}
-    wanted = F.col("doc_id") % 11 != 0
-    level = levels.level(counts, wanted)
-    return _docs(spark, d).select("doc_id", level.alias("level"), scalar.timestamp_status(wanted, level).alias("status"))
+    """The stamps of a document by level: words where its label says quality 1, sentences where it has a label, the letters of its first word; those
+    labelled as toxic want none."""
+    labels = read(spark, d, "labels").select(F.col("doc_id").alias("_id"), "quality", "toxic")
+    docs = _docs(spark, d).join(labels, F.col("doc_id") == F.col("_id"), "left")
+    none, words = F.array().cast("array<string>"), scalar.word_list(F.col("text"))
+    stamps = F.create_map(
+        F.lit("word"), F.when(F.col("quality") == 1, words).otherwise(none), F.lit("segment"), F.when(F.col("quality").isNotNull(), itn.sentences(F.col("text"))).otherwise(none),
+        F.lit("char"), F.when(F.size(words) > 0, F.split(F.element_at(words, 1), "")).otherwise(none),
+    )
+    wanted = F.coalesce(F.col("toxic") == 0, F.lit(True))
+    level = levels.level_of_map(stamps, wanted)
+    return docs.select("doc_id", level.alias("level"), scalar.timestamp_status(wanted, level).alias("status"))
 
 
 @query
@@ -405,6 +416,15 @@ def batch_outputs(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query
+def single_outputs(spark, d):
+    """The rows of the three outputs of every talk as if it were the only file."""
+    files, stamps = _talks(spark, d)
+    made = render.single_outputs(files.withColumn("took", F.lit(1500).cast("long")), stamps, itn=True)
+    parts = [rows.select(F.lit(kind).alias("kind"), "file_id", "part", F.col("pos").cast("long").alias("pos"), "line") for kind, (rows, _, _) in made.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query
 def single_status(spark, d):
     files = _files(spark, d).join(_docs(spark, d).select(F.col("doc_id").alias("file_id"), "text"), "file_id").withColumn("took", F.col("file_id") % 7000)

@@ -43,9 +43,11 @@ def files(docs: DataFrame, timed: DataFrame | None = None) -> DataFrame:
     return named.join(duration, "file_id", "left")
 
 
-def hypotheses(docs: DataFrame) -> DataFrame:
-    """file_id, text: every 17th file's recognition gave nothing."""
-    return docs.select(F.col("doc_id").alias("file_id"), F.when(F.col("doc_id") % 17 == 0, "").otherwise(F.col("text")).alias("text"))
+def hypotheses(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """file_id, text: the recognition of a file with a label of quality 0 gave nothing."""
+    bad = labels.filter("quality = 0").select(F.col("doc_id").alias("_bad")).distinct()
+    both = docs.join(bad, F.col("doc_id") == F.col("_bad"), "left")
+    return both.select(F.col("doc_id").alias("file_id"), F.when(F.col("_bad").isNotNull(), "").otherwise(F.col("text")).alias("text"))
 
 
 def event_words(events: DataFrame) -> DataFrame:

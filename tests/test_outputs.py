@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import wave
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from stampline.functions import scalar, validate
-from stampline.operators import itn, render
+from stampline.operators import itn, render, segment
 from stampline.plans.oracles import ORACLE_SQL
 from stampline.plans.queries import QUERIES
 from stampline.sources import media, storage
@@ -24,19 +25,64 @@ def read(spark, path):
     return [r["value"] for r in spark.read.text(path).collect()]
 
 
-@pytest.mark.parametrize("n", [1, 2])
-def test_written_outputs(spark, tmp_path, n):
-    failed = "[Transcription failed: no result]"
-    files = spark.createDataFrame([(1, "a.b.wav", "one two", 3000, 1), (2, "c.mp4", failed, 61000, 2)][:n], "file_id long, name string, text string, duration long, file_no long")
-    stamps = spark.createDataFrame([(1, 0, 0, 900, 'say "one"'), (1, 1, 1000, 2000, "two")], "file_id long, pos long, start long, end long, text string")
+FAILED = "[Transcription failed: no result]"
+FILE_SCHEMA, STAMP_SCHEMA = "file_id long, name string, text string, duration long, file_no long", "file_id long, pos long, start long, end long, text string"
+
+
+def test_written_batch(spark, tmp_path):
+    """Files with stamps, without, failed and without an id: none loses its text."""
+    files = spark.createDataFrame([(1, "a.b.wav", "one two", 3000, 1), (2, "c.mp4", FAILED, 61000, 2), (3, "d.wav", "good text no stamps", 9000, 3), (None, "e.wav", "no id", 1000, 4)], FILE_SCHEMA)
+    stamps = spark.createDataFrame([(1, 0, 0, 900, 'say "one"'), (1, 1, 1000, 2000, "two"), (None, 0, 0, 500, "nameless")], STAMP_SCHEMA)
     paths = render.write_outputs(files, stamps, str(tmp_path))
-    stem = "a.b_transcription" if n == 1 else "batch_transcription_2_files"
-    assert paths == {k: f"{tmp_path}/{stem}.{k}" for k in ("txt", "srt", "csv")}
-    csv = read(spark, paths["csv"])
-    assert Counter(csv) == Counter(["file,start_time,end_time,duration,text", '"a.b.wav",0.000,0.900,0.900,"say ""one"""', '"a.b.wav",1.000,2.000,1.000,"two"'])
-    assert Counter(x for x in read(spark, paths["srt"]) if "-->" in x) == Counter(["00:00:00,000 --> 00:00:02,000", "00:00:00,000 --> 00:00:00,900", "00:00:01,000 --> 00:00:02,000"])
-    text = read(spark, paths["txt"])
-    assert f"Batch Transcription - {n} files" in text and "[00:00:01] two" in text and ("FILE 2: c.mp4" in text) == (n == 2)
+    assert paths == {k: f"{tmp_path}/batch_transcription_4_files.{k}" for k in ("txt", "srt", "csv")}
+    assert Counter(read(spark, paths["csv"])) == Counter(
+        ["file,start_time,end_time,duration,text", '"a.b.wav",0.000,0.900,0.900,"say ""one"""', '"a.b.wav",1.000,2.000,1.000,"two"', '"d.wav",0.000,9.000,9.000,"good text no stamps"', '"e.wav",0.000,0.500,0.500,"nameless"']
+    )
+    cues = [r["cue"].split("\n") for r in render.batch_srt(files, stamps.withColumnRenamed("pos", "cue_no")).orderBy("no").collect()]
+    assert [c[:3] for c in cues] == [
+        ["1", "00:00:00,000 --> 00:00:02,000", "[FILE: e.wav]"], ["2", "00:00:00,000 --> 00:00:00,500", "nameless"], ["3", "00:00:00,000 --> 00:00:02,000", "[FILE: a.b.wav]"],
+        ["4", "00:00:00,000 --> 00:00:00,900", 'say "one"'], ["5", "00:00:01,000 --> 00:00:02,000", "two"], ["6", "00:00:00,000 --> 00:00:02,000", "[FILE: d.wav]"], ["7", "00:00:00,000 --> 00:00:05,000", "good text no stamps"],
+    ]
+    text = "\n".join(read(spark, paths["txt"]))
+    assert "Batch Transcription - 4 files" in text
+    for body in ("[00:00:00] say", "[00:00:01] two", FAILED, "good text no stamps", "[00:00:00] nameless", "FILE 2: c.mp4"):
+        assert body in text
+
+
+@pytest.mark.parametrize("stamped", [True, False])
+def test_written_single_file(spark, tmp_path, stamped):
+    """One file has a layout of its own: no file column, no cue with its name, and a header with its own name."""
+    files = spark.createDataFrame([(1, "a.b.wav", "one two", 3000, 1)], FILE_SCHEMA)
+    stamps = spark.createDataFrame([(1, 3, 0, 900, 'say "one"'), (1, 8, 1000, 2000, "two")], STAMP_SCHEMA).filter(str(stamped))
+    paths = render.write_outputs(files, stamps, str(tmp_path), took=1.234)
+    assert paths == {k: f"{tmp_path}/a.b_transcription.{k}" for k in ("txt", "srt", "csv")}
+    head = ["Audio File: a.b.wav", "Model: fast", "Duration: 0m 3s", "Processing Time: 1.23s", "ITN Applied: No", "", "=" * 60, "TRANSCRIPTION", "=" * 60, ""]
+    ends = {
+        "csv": ["start_time,end_time,duration,text", *(['0.000,0.900,0.900,"say ""one"""', '1.000,2.000,1.000,"two"'] if stamped else ['0.000,5.000,5.000,"one two"'])],
+        "srt": ["1", "00:00:00,000 --> 00:00:00,900", 'say "one"', "", "2", "00:00:01,000 --> 00:00:02,000", "two", ""] if stamped else ["1", "00:00:00,000 --> 00:00:05,000", "one two", ""],
+        "txt": head + (['[00:00:00] say "one"', "[00:00:01] two"] if stamped else ["one two"]),
+    }
+    for kind, want in ends.items():
+        # parts are named by their order, and rows of one range stay in theirs
+        found = [line for f in sorted(Path(paths[kind]).glob("part-*")) for line in f.read_text().split("\n")[:-1]]
+        assert found == want
+
+
+def test_single_file_of_words(spark, tmp_path):
+    files = spark.createDataFrame([(1, "a.wav", "x", 9000, 5000), (2, "b.wav", FAILED, 1, 1), (3, "c.wav", None, None, 1)], "file_id long, name string, text string, duration long, took long")
+    words = spark.createDataFrame([(1, i, i * 300, i * 300 + 250, w) for i, w in enumerate("a b c d. e f g h i j k l m n.".split())], "file_id long, pos long, start long, end long, word string")
+    got = {k: sorted((r["file_id"], r["part"], r["pos"], r["line"]) for r in rows.collect()) for k, (rows, _, _) in render.single_outputs(files, words, "word").items()}
+    want = render.srt(segment.cues(words)).collect()
+    assert [x[3] for x in got["srt"] if x[0] == 1] == [r["cue"] for r in sorted(want, key=lambda r: r["cue_no"])] and len(want) > 1
+    assert [x[3] for x in got["txt"] if x[:2] == (1, 1)] == [r["line"] for r in render.txt_lines(segment.cues(words, txt=True)).orderBy("seg_no").collect()]
+    assert [x[3] for x in got["csv"] if x[:2] == (1, 1)] == [r["line"] for r in words.orderBy("pos").select(render.csv_line(F.col("start"), F.col("end"), F.col("word")).alias("line")).collect()]
+    assert {x[0] for rows in got.values() for x in rows} == {1, 3}
+    assert [x[3] for x in got["srt"] if x[0] == 3] == ["1\n00:00:00,000 --> 00:00:05,000\n\n"]
+
+
+def test_a_failed_single_file_writes_nothing(spark, tmp_path):
+    files = spark.createDataFrame([(2, "c.mp4", FAILED, 61000, 1)], FILE_SCHEMA)
+    assert render.write_outputs(files, spark.createDataFrame([], STAMP_SCHEMA), str(tmp_path)) == {} and not list(tmp_path.iterdir())
 
 
 def test_scan_reads_wave_files_only(spark, tmp_path):
@@ -61,7 +107,8 @@ def test_estimated_times_have_no_binary_fractions(spark):
 @pytest.mark.parametrize("name", ["srt_estimated", "csv_estimated"])
 def test_estimated_outputs_of_more_rows(spark, data, name):
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{data.replace('0.001', '0.01')}/documents.parquet'")
+    for given in ("documents", "labels"):
+        con.sql(f"create view {given} as select * from '{data.replace('0.001', '0.01')}/{given}.parquet'")
     want = con.sql(ORACLE_SQL[name])
     got = QUERIES[name](spark, data.replace("0.001", "0.01"))
     assert Counter(tuple(r[c] for c in want.columns) for r in got.collect()) == Counter(want.fetchall())
@@ -92,9 +139,9 @@ def test_error_texts(spark):
 
 
 def test_numbering_runs_over_all_files(spark):
-    rows = spark.createDataFrame([(f, i) for f in (9, 3, 5) for i in range(f)], "g long, i long").repartition(4)
+    rows = spark.createDataFrame([(f, i) for f in (9, None, 3, 5) for i in range(f or 2)], "g long, i long").repartition(4)
     got = [(r["g"], r["i"], r["no"]) for r in render.global_numbers(rows, "g", ["i"]).orderBy("no").collect()]
-    assert got == [(g, i, k) for k, (g, i) in enumerate(((f, i) for f in (3, 5, 9) for i in range(f)), 1)]
+    assert got == [(g, i, k) for k, (g, i) in enumerate(((f, i) for f in (None, 3, 5, 9) for i in range(f or 2)), 1)]
 
 
 def test_durations_need_no_window(spark, data):
