@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..functions.validate import is_failure
 from ..settings import DEFAULT, Settings
-from ..sources.storage import checkpointed
+from ..sources.storage import stored
 from . import segment
 
 
@@ -66,11 +66,11 @@ def txt_lines(cues: DataFrame) -> DataFrame:
 
 def global_numbers(rows: DataFrame, group: str, inside: list[str]) -> Column | DataFrame:
     """rows with ``no``, counting from 1 in the order of ``group`` and then ``inside``. The groups' offsets are running sums of their sizes, dealt
-    by ranges of the group; no window runs over all rows in one task except over one row per range. The dealt sizes are checkpointed, as the
+    by ranges of the group; no window runs over all rows in one task except over one row per range. The dealt sizes are stored, as the
     sampled ranges of a second run could differ."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(parts, group).withColumn("_p", F.spark_partition_id())
-    sizes = checkpointed(sizes)
+    sizes = stored(sizes)
     inner = F.sum("_n").over(Window.partitionBy("_p").orderBy(group).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
     sizes = sizes.withColumn("_inner", inner)
     totals = sizes.groupBy("_p").agg(F.sum("_n").alias("_t"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,7 +22,31 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df``, computed once and read back from the shared folder, so that a lost executor can't change it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+#: Paths in the shared folder that go when the driver's process ends, each with its session.
+_made: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, which goes, with what is there then, when the driver's process ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clean)
+    _made.append((spark, path))
+    return path
+
+
+def _clean() -> None:
+    for spark, path in _made:
+        try:
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        except Exception:  # noqa: BLE001  the gateway may be gone when the interpreter ends
+            return
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df``, computed once, written to the shared folder as a table and read back, so that a lost executor can't change it and readers take only
+    the columns that they need."""
+    path = scratch(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

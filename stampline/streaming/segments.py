@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions import scalar
 from ..operators.segment import Open, Rules
 from ..settings import DEFAULT, Settings
-from ..sources.storage import shared_folder
+from ..sources.storage import scratch
 
 _STATE = "next long, seg_no int, begin double, last double, ended boolean, text array<string>, held string"
 _HELD = ["pos", "word", "raw", "s", "e", "last"]
@@ -82,7 +81,7 @@ def run_once(stream: DataFrame) -> DataFrame:
     """What a stream gives for all that its source holds now, as a table. The rows and the state lie in the folder that driver and executors share, so
     the stream goes on after a lost executor and writes each row once."""
     spark = stream.sparkSession
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = scratch(spark, "stream")
     query = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")

@@ -154,4 +154,4 @@ def test_checkpoints_are_never_of_one_machine():
 
     context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        storage.checkpointed(SimpleNamespace(sparkSession=SimpleNamespace(conf={}, sparkContext=context)))
+        storage.stored(SimpleNamespace(sparkSession=SimpleNamespace(conf={}, sparkContext=context)))
