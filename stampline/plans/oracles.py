@@ -209,3 +209,12 @@ ORACLE_SQL |= {
  select file_id, (row_number() over (partition by file_id order by a) - 1)::int as seg_no, case when a = 0 then 0 else 400 * a - 50 end::double as "start", (400 * b + 350)::double as "end", n_words, text from closed""",
 }
 ORACLE_SQL["segments_pieces"] = ORACLE_SQL["segments_final"]
+
+_LOOKS = """looks as (select user_id as file_id, event_id, place as "start", place + floor(case when event_type = 'purchase' then value * 1000 else value * 20 end)::bigint as "end" from (select *, epoch_us(ts) // 1000 % 300000 as place from events))"""
+_SHARE = """case when a."start" >= b."start" then a."start" < b."end" or (a."start" = b."start" and b."start" = b."end") else b."start" < a."end" end"""
+
+ORACLE_SQL |= {
+    "words_in_windows": f"with {WORDS}, {_LOOKS} select a.file_id, event_id, count(*) as n_words, min(pos) as first_pos, max(pos) as last_pos from words a join looks b on a.file_id = b.file_id and ({_SHARE}) group by all",
+    "windows_in_windows": f"""with {_LOOKS} select a.event_id, count(*) as n_others, sum(least(a."end", b."end") - greatest(a."start", b."start"))::bigint as shared, max(b.event_id) as last_other
+ from looks a join looks b on a.file_id = b.file_id and a.event_id < b.event_id and ({_SHARE}) group by a.event_id""",
+}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar, validate
-from ..operators import batch, chunks, itn, levels, render, segment
+from ..operators import batch, chunks, intervals, itn, levels, render, segment
 from ..settings import DEFAULT, Settings
 from ..sources import adapters, media
 from ..sources.adapters import read
@@ -209,6 +209,29 @@ def merged_text(spark, d):
     return chunks.merge_texts(chunk_text(spark, d))
 
 
+def _looks(spark: SparkSession, d: str) -> DataFrame:
+    """file_id, event_id, start, end: events as looks of a user at the document of the same number, of very unequal lengths."""
+    at = F.unix_millis(F.col("ts").cast("timestamp")) % 300_000
+    length = F.floor(F.when(F.col("event_type") == "purchase", F.col("value") * 1000).otherwise(F.col("value") * 20)).cast("long")
+    return read(spark, d, "events").select(F.col("user_id").alias("file_id"), "event_id", at.alias("start"), (at + length).alias("end"))
+
+
+@query
+def words_in_windows(spark, d):
+    """The words that fall in windows of any place and length."""
+    pairs = intervals.interval_join(_words(spark, d), _looks(spark, d), "file_id")
+    return pairs.groupBy("file_id", "event_id").agg(F.count(F.lit(1)).alias("n_words"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+
+
+@query
+def windows_in_windows(spark, d):
+    """The looks at a document that share time with others at it."""
+    looks = _looks(spark, d)
+    pairs = intervals.interval_join(looks, looks, "file_id").filter(F.col("event_id") < F.col("event_id_right"))
+    shared = F.least("end", "end_right") - F.greatest("start", "start_right")
+    return pairs.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_others"), F.sum(shared).alias("shared"), F.max("event_id_right").alias("last_other"))
+
+
 @query
 def long_routing(spark, d):
     return chunks.route(_files(spark, d))
