@@ -218,3 +218,16 @@ ORACLE_SQL |= {
     "windows_in_windows": f"""with {_LOOKS} select a.event_id, count(*) as n_others, sum(least(a."end", b."end") - greatest(a."start", b."start"))::bigint as shared, max(b.event_id) as last_other
  from looks a join looks b on a.file_id = b.file_id and a.event_id < b.event_id and ({_SHARE}) group by a.event_id""",
 }
+
+_ARRIVED = """ends as (select min(ts) as first, max(ts) as last from events), known as (select max(ts) as known from events, ends where ts < first + (last - first) / 3 * 2),
+told as (select e.*, event_type = 'error' and ts + interval 6 hours <= known - interval 1 day as late, last from events e, known, ends),
+kept as (select * from told where not late)"""
+
+ORACLE_SQL |= {
+    "event_sessions": f"""with {_ARRIVED}, cut as (select *, coalesce(ts - lag(ts) over (partition by user_id order by ts, event_id) >= interval 6 hours, true)::int as begins from kept),
+ numbered as (select *, sum(begins) over (partition by user_id order by ts, event_id) as no from cut)
+ select user_id, min(ts) as "start", max(ts) + interval 6 hours as "end", count(*) as n_events, round(sum(value), 3) as value from numbered group by user_id, no having max(ts) + interval 6 hours <= any_value(last) - interval 1 day""",
+    "event_windows": f"""with {_ARRIVED}, spans as (select *, time_bucket(interval 90 minutes, ts, timestamp '1970-01-01') - k * interval 90 minutes as "start" from kept, range(4) r(k))
+ select user_id, "start", "start" + interval 6 hours as "end", count(*) as n_events, round(sum(value), 3) as value from spans group by user_id, "start" having "start" + interval 6 hours <= any_value(last) - interval 1 day""",
+    "late_events": f"with {_ARRIVED} select event_id, user_id, ts from told where late",
+}

@@ -13,6 +13,7 @@ from ..settings import DEFAULT, Settings
 from ..sources import adapters, media
 from ..sources.adapters import read
 from ..streaming import segments as stream
+from ..streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Documents are minutes long, so the queries on chunks use short ones.
@@ -111,6 +112,45 @@ def stream_segments(spark, d):
     return stream.run_once(stream.segment_stream(adapters.even_words(docs)))
 
 
+#: Silence between sessions, how far the watermark stays behind, and the length and step of sliding windows.
+SILENCE, LATE, LENGTH, SLIDE = "6 hours", "1 day", "6 hours", "90 minutes"
+
+
+def _arrived(spark: SparkSession, d: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What build() gives of a stream of events: three thirds of the time one after the other, but for errors that are over before the watermark of the
+    last third, which come with that."""
+    events = read(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    if first is None:
+        return build(events)
+    third = (last - first) / 3
+    known = events.filter(F.col("ts") < F.lit(first + 2 * third)).agg(F.max("ts")).first()[0]
+    belated = (F.col("event_type") == "error") & (F.col("ts") + F.expr(f"interval {SILENCE}") <= F.lit(known) - F.expr(f"interval {LATE}"))
+    part = F.when(belated, 2).when(F.col("ts") < F.lit(first + third), 0).when(F.col("ts") < F.lit(first + 2 * third), 1).otherwise(2)
+    arrivals = windows.Arrivals(spark, "event_id long, ts timestamp, user_id long, event_type string, value double")
+    result = build(arrivals.stream)
+    for k in range(3):
+        arrivals.add(events.filter(part == k), result)
+    return arrivals.given(result)
+
+
+@query
+def event_sessions(spark, d):
+    """Sessions of users between silences, from a stream of which some rows come too late."""
+    return _arrived(spark, d, lambda s: windows.silence_sessions(s, "user_id", SILENCE, LATE)).withColumn("value", F.round("value", 3))
+
+
+@query
+def event_windows(spark, d):
+    return _arrived(spark, d, lambda s: windows.sliding_counts(s, "user_id", LENGTH, SLIDE, LATE)).withColumn("value", F.round("value", 3))
+
+
+@query
+def late_events(spark, d):
+    """The events that came too late for their session."""
+    return _arrived(spark, d, lambda s: windows.late_events(s, "user_id", 6 * 3600 * 1000, LATE)).select("event_id", "user_id", "ts")
+
+
 @query
 def srt_cues_single(spark, d):
     return render.srt(segment.cues(_words(spark, d)))
