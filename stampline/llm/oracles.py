@@ -46,12 +46,30 @@ def _spans(k: int, rule: Rule) -> str:
     select r, regexp_extract_all(t, '{regex}') as ms, regexp_extract_all(t, '{regex}', {rule.group}) as gs, string_split_regex(t, '{regex}') as gaps from d)))) where checked >= {rule.least}"""
 
 
+# RE2 has neither lookaheads nor possessive loops, so what follows a BEGIN line is taken in steps: up to the next marker, or header lines, long runs of
+# base64 and whole lines of it, of which the last must end like a line.
+_BREAK = r"(\r\n|\n|\r|\\r\\n|\\n)"
+_LINE = rf"[ \t]*{_BREAK}[ \t]*[A-Za-z0-9+/=]+"
+
+
+def _keys(k: int, rule: Rule) -> str:
+    """(row, start, kind number, end) of whole private keys, without those that begin within one."""
+    after = lambda *taken: "substr(rest, 1" + "".join(f" + length({t})" for t in taken) + ")"
+    return rf"""select r, "start", {k} as kind, "end" from (
+ select *, max("end") over (partition by r order by "start" rows between unbounded preceding and 1 preceding) as before from (
+  select r, "start", "end" + case when closing <> '' then length(up_to) + length(closing) else length(headers) + length(runs) + length(case when regexp_matches({after('headers', 'runs', 'lines')}, '^[ \t]*({_BREAK}|\z)') then lines else regexp_replace(lines, '{_LINE}$', '') end) end as "end" from (
+   select *, regexp_extract({after('headers', 'runs')}, '^({_LINE})*') as lines from (
+    select *, regexp_extract({after('headers')}, '^(([ \t\n\x0B\f\r]|\\[rn])*[A-Za-z0-9+/=]{{16,}})*') as runs from (
+     select *, regexp_extract(substr(rest, 1 + length(up_to)), '^-----END [A-Z ]*PRIVATE KEY-----') as closing, regexp_extract(rest, '^([ \t]*{_BREAK}[ \t]*[A-Z][A-Za-z0-9-]*:\x20[^\r\n\\]*)*') as headers from (
+      select *, regexp_extract(rest, '(?s)^(.*?)-----(BEGIN|END) ', 1) as up_to from (select s.*, substr(t, "end"::bigint + 1) as rest from ({_spans(k, rule)}) s join d using (r)))))))) where before is null or "start" >= before"""
+
+
 def _secrets() -> str:
     kinds = "[" + ", ".join(f"'{r.kind}'" for r in RULES) + "]"
     count = lambda k: f"count(*) filter (kind = {k})"
     one = """name || ':' || "start"::bigint || ':' || "end"::bigint"""
     return f"""with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
-spans as ({' union all '.join(_spans(k, r) for k, r in enumerate(RULES))}),
+spans as ({' union all '.join((_keys if r.whole else _spans)(k, r) for k, r in enumerate(RULES))}),
 named as (select *, {kinds}[kind + 1] as name from spans),
 per as (select r, {count(0)} as n_assign, {count(1)} as n_access, {count(2)} as n_hex, string_agg({one}, ',' order by "start", kind) filter (kind < 3) as base, string_agg({one}, ',' order by "start", kind) as spans from named group by r)
 select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
@@ -140,7 +158,8 @@ talks as (select dense_rank() over (order by conv_id) as c, conv_id, turn, coale
  {_crc("(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))")} % 20 as fault from conversations, crc),
 faulty as (select c, turn, case when fault = 4 then 'user' else role end as role, case fault when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
  unnest(range(case when fault = 3 then 2 else 1 end)) as copy from talks where fault <> 0),
-turns as (select *, row_number() over (partition by c order by turn nulls first, role, md5(text), copy) as i, left(role, 1) as initial, regexp_replace(text, '[ 	-]+$', '') as said from faulty),
+turns as (select *, row_number() over (partition by c order by turn nulls first, role, md5(text), copy) as i, left(role, 1) as initial, regexp_replace(text, '[ 	-
+]+$', '') as said from faulty),
 judged as (select *, said = '' as blank, said <> '' and row_number() over (partition by c, role, text order by i) > 1 as duplicate, lag(initial) over (partition by c order by i) as last from turns),
 edits as (select *, blank or duplicate as gone, case when not blank and not duplicate and right(said, 1) not in ('.', '!', '?') then 3 else 0 end as more from judged),
 ways as (select distinct c, 0::bigint as i, '000000000' as k0, null::varchar as k1, null::varchar as k2, null::varchar as k3 from talks

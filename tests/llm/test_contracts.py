@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from stampline.llm import decontaminate, embeddings, html, language, licenses, packing, quality, queries, secrets, simhash, substring
+from stampline.llm.oracles import ORACLE_SQL
 
 ODD = [
     (90001, None, None, None), (90002, "", "en", "x"), (90003, " \n\t ", "en", "x"), (90004, "one", None, "x"), (None, "words without an id here", "en", "x"),
@@ -184,7 +185,7 @@ def test_secrets(docs, rows):
     assert secrets.find_secrets(docs.limit(0)).count() == 0
 
 
-def test_private_keys(spark):
+def test_private_keys(spark, tmp_path):
     rng = np.random.default_rng(4)
     signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
     body = ["".join(signs[i] for i in rng.integers(0, 64, 64)) for _ in range(8)] + ["AKIA" + "Q7" * 10 + "0123456789abcdef" * 2, "xY7="]
@@ -206,6 +207,12 @@ def test_private_keys(spark):
         assert spans[i] == [(len(before), len(before) + len(secret))], i
         assert kept[i] == f"{before}[SECRET]{after}", i
     assert len(spans[99]) == 3 and kept[99] == "[SECRET] and [SECRET]\n[SECRET]"
+    # the SQL says the same of whole keys
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = queries.QUERIES["op4_secrets"](spark, str(tmp_path))
+    same(got.collect(), con.sql(f"select {', '.join(got.columns)} from ({ORACLE_SQL['op4_secrets']})").fetchall())
 
 
 def test_trigram_queries():

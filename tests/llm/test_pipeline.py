@@ -77,7 +77,7 @@ def test_run(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     stages, frame = {}, docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        frame = stage(spark, frame, folder).localCheckpoint()
+        frame = stage(spark, frame, folder).checkpoint()
         assert frame.columns == docs.columns
         stages[name] = Counter((r["doc_id"], r["text"]) for r in frame.collect())
 
