@@ -42,20 +42,66 @@ def test_marks():
     assert html.main_text(f'<main><p>{LONG}</p><div class="reader-replies"><p>{LONG} d</p></div></main>', model) == LONG
 
 
-def test_tree_asks_for_words_and_neighbours():
+def test_tree_is_no_table_of_its_pages():
+    """Every leaf has some blocks, depth and leaves are what cross-validation over pages bears out, and it is shares and neighbours that are asked for."""
     rows, labels = html.labelled()
     model = html.tree()
-    assert all(html.classify(model, r) == bool(y) for r, y in zip(rows, labels, strict=True))
     asked = set()
 
-    def walk(node):
+    def walk(node, inside):
+        assert inside.sum() >= html.LEAST
         if node[1] is not None:
             asked.add(html.FEATURES[node[0]])
-            walk(node[2])
-            walk(node[3])
+            low = rows[:, node[0]] <= node[1]
+            walk(node[2], inside & low)
+            walk(node[3], inside & ~low)
 
-    walk(model)
-    assert {"words", "words_after", "section_words"} <= asked
+    walk(model, labels >= 0)
+    assert {"words", "words_after", "share", "article", "boiler"} <= asked
+    found = {d: html.cross_validated(d) for d in range(1, 9)}
+    assert found[html.DEPTH] == max(found.values()) > 0.94
+
+
+def said(n, word="word"):
+    return " ".join([word] * n)
+
+
+def listed(n, k):
+    return "".join(f"<li><a href=x>{said(k, 'link')}</a>" for _ in range(n))
+
+
+TEXT = said(66, "text")
+ARTICLE = f"<div><p>{TEXT}</p></div>"
+PROBES = {
+    "related links": (f"{ARTICLE}<div><ul>{listed(8, 6)}</ul></div>", TEXT),
+    "a list of many links": (f"<div><ul>{listed(40, 1)}</ul></div>{ARTICLE}", TEXT),
+    "a long footer": (f"{ARTICLE}<footer><p>{said(45)}</p></footer>", TEXT),
+    "an advert by its name": (f"{ARTICLE}<div class='gpt-ad-unit'>{said(33)}</div>", TEXT),
+    "legal text by its name": (f"{ARTICLE}<div class='legal'>{said(33)}</div>", TEXT),
+    "a short article": (f"<div>{said(17)}</div>", said(17)),
+    "a short article among links": (f"<div><a href=x>Home</a></div><div><p>{said(17)}</p></div><div><p>{said(2)}</div>", said(17)),
+    "a heading in its own element": (f"<div class='article-header'><h1>{said(5)}</h1></div>{ARTICLE}", f"{said(5)}\n\n{TEXT}"),
+    "a button": (f"<div><p>{TEXT}</p><button>Share this</button></div>", TEXT),
+    "a button in an article": (f"<article><p>{TEXT}</p><button>Share this</button></article>", TEXT),
+    "a form": (f"{ARTICLE}<form><label>{said(9)}</label><input></form>", TEXT),
+    "links in a row": (f"<div><a>Home</a> <a>News</a> <a>Sport and more</a></div>{ARTICLE}", TEXT),
+    "a short list of long links": (f"{ARTICLE}<div><h3>{said(2)}</h3><ul>{listed(3, 9)}</ul></div>", TEXT),
+    "sections of an article": (f"<article><section><p>{said(12)}</p></section><section><p>{TEXT} {TEXT}</p></section><div><p>{said(7)}</p></div></article>", f"{said(12)}\n\n{TEXT} {TEXT}\n\n{said(7)}"),
+    "an element a paragraph": (f"<div><p>{said(25)}</p></div>{ARTICLE}<div><p>{said(30)}</p></div><div><a>x</a></div>", f"{said(25)}\n\n{TEXT}\n\n{said(30)}"),
+}
+
+
+@pytest.mark.parametrize("name", PROBES)
+def test_pages_unlike_the_labelled(name):
+    page, want = PROBES[name]
+    assert html.main_text(page, html.tree()) == want
+    assert html.main_text(f"<!DOCTYPE html><html><body class=page>{page}</body></html>", html.tree()) == want
+
+
+def test_a_page_of_megabytes():
+    long = " ".join(f"w{i}" for i in range(200_000))
+    page = f"<nav>{listed(20_000, 2)}</nav><article><p>{long}</p><p>end.</p></article><footer>{said(30)}</footer>"
+    assert len(page) > 1_500_000 and html.main_text(page, html.tree()) == f"{long}\n\nend."
 
 
 def test_boilerplate_of_every_length():
