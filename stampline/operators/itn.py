@@ -121,29 +121,54 @@ def grammar_of(language: str, make: Callable[[str], Callable[[str], str]]) -> Ca
     return _made[0]
 
 
-def apply(text: Column, grammar: Callable[[str], str] = normalise, split: Callable[[str], list[str]] | None = None) -> Column:
-    """The text normalised in an Arrow-batched function: by the sentences that ``split`` gives, if it is given, works and finds any; else by sentences
-    if there are several, else by 50-word chunks; blank text stays."""
-
-    def run(s: pd.Series) -> pd.Series:
-        def one(t: str | None) -> str | None:
+def apply(
+    text: Column, grammar: Callable[[str], str] = normalise, split: Callable[[str], list[str]] | None = None, units: Column | None = None,
+    language: str = "en", make: Callable[[str], Callable[[str], str]] | None = None,
+) -> Column:
+    """The text normalised in an Arrow-batched function: by its sentences, as ``units`` (an array column) or else ``split`` gives them, if there are any and
+    split works; else by sentences if there are several, else by 50-word chunks; blank text stays. make: gives the grammar of a language, once in
+    a process, as grammar_of() does; without one, texts stay as they are."""
+
+    def run(s: pd.Series, given: pd.Series | None = None) -> pd.Series:
+        mine = grammar_of(language, make) if make else grammar
+        if mine is None:
+            return s
+
+        def one(t: str | None, own: list[str] | None) -> str | None:
             if t is None or not t.strip():
                 return t
             try:
-                own = split(t) if split else []
+                own = split(t) if split and own is None else [] if own is None else list(own)
             except Exception:  # noqa: BLE001  the next way is taken
                 own = []
             if own:
-                return " ".join(with_fallback(grammar, own))
+                return " ".join(with_fallback(mine, own))
             parts = [p.strip() for p in re.split(r"(?<=[.!?])\s+", t.strip()) if p.strip()]
             if len(parts) < 2:
                 w = t.split()
                 parts = [" ".join(w[k : k + 50]) for k in range(0, len(w), 50)]
-            return " ".join(with_fallback(grammar, parts))
+            return " ".join(with_fallback(mine, parts))
 
-        return s.map(one)
+        return pd.Series([one(t, u) for t, u in zip(s, [None] * len(s) if given is None else given, strict=True)], dtype=object)
 
-    return F.pandas_udf(run, "string")(text)
+    if units is None:
+
+        def alone(s: pd.Series) -> pd.Series:
+            return run(s)
+
+        return F.pandas_udf(alone, "string")(text)
+
+    def both(s: pd.Series, given: pd.Series) -> pd.Series:
+        return run(s, given)
+
+    return F.pandas_udf(both, "string")(text, units)
+
+
+def english(language: str) -> Callable[[str], str]:
+    """The grammar of a language, of which there is the one."""
+    if language != "en":
+        raise ValueError(f"no grammar of {language}")
+    return normalise
 
 
 def apply_segment(text: Column, size: int = 50, grammar: Callable[[str], str] = normalise) -> Column:

@@ -231,3 +231,22 @@ ORACLE_SQL |= {
  select user_id, "start", "start" + interval 6 hours as "end", count(*) as n_events, round(sum(value), 3) as value from spans group by user_id, "start" having "start" + interval 6 hours <= any_value(last) - interval 1 day""",
     "late_events": f"with {_ARRIVED} select event_id, user_id, ts from told where late",
 }
+
+_OPENING, _CLOSING, _QUOTE = r"""["''(\[{«“‘]""", r"""["'')\]}»”’,;:]""", r"""["'')\]}»”’]"""
+_LEARNED = rf"""said as (select unnest(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '')) as w from documents),
+bare as (select regexp_replace(regexp_replace(lower(w), '^{_OPENING}+', ''), '{_CLOSING}+$', '') as w from said),
+stems as (select regexp_replace(w, '\.$', '') as stem, ends_with(w, '.') as dotted from bare where regexp_matches(w, '\p{{L}}') and not ends_with(w, '..')),
+counts as (select stem, count(*) filter (dotted) as n_dotted, count(*) filter (not dotted) as n_plain from stems group by stem),
+chances as (select sum(n_dotted) / sum(n_dotted + n_plain) as p from counts),
+scored as (select *, length(regexp_replace(stem, '[^.]', '', 'g')) as inside from counts, chances where n_dotted > 0),
+abbreviations as (select stem, n_dotted, n_plain, 2 * (n_dotted * ln(0.99::double / p) + n_plain * ln((1 - 0.99::double) / (1 - p))) * exp(inside - length(stem)) * (inside + 1) * pow((length(stem) - inside)::double, -n_plain::double) as score from scored)"""
+
+ORACLE_SQL |= {
+    "learned_abbreviations": f"with {_LEARNED} select stem, n_dotted, n_plain, round(score, 6) as score from abbreviations where score >= 0.3",
+    "learned_sentences": rf"""with {_LEARNED}, known as (select stem from abbreviations where score >= 0.3),
+ words as (select doc_id, unnest(ws) as w, unnest(seps) as sep, unnest(range(len(ws))) as i from (select doc_id, regexp_extract_all(t, '\S+') as ws, list_append(regexp_extract_all(t, '\s+'), '') as seps from (select doc_id, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') as t from documents) where t <> '')),
+ marked as (select doc_id, i, w, case when sep <> '' and regexp_matches(w, '[.!?]{_QUOTE}{{0,2}}$') and not (ends_with(w, '.') and (k.stem is not null or l.stem is not null)) then chr(1) else sep end as sep
+  from words left join known k on k.stem || '.' = lower(w) left join known l on l.stem || '.' = regexp_replace(lower(w), '^.*{_OPENING}', '')),
+ whole as (select doc_id, string_split(string_agg(w || sep, '' order by i), chr(1)) as ss from marked group by doc_id)
+ select doc_id, unnest(range(len(ss)))::int as no, unnest(ss) as sentence from whole""",
+}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar, validate
-from ..operators import batch, chunks, intervals, itn, levels, render, segment
+from ..operators import batch, chunks, intervals, itn, levels, render, segment, sentences
 from ..settings import DEFAULT, Settings
 from ..sources import adapters, media
 from ..sources.adapters import read
@@ -424,6 +424,25 @@ def sentence_split(spark, d):
     return _docs(spark, d).select("doc_id", F.posexplode(itn.sentences(F.col("text"))).alias("no", "sentence"))
 
 
+@query
+def learned_abbreviations(spark, d):
+    """Words that the documents have a period after far oftener than chance says."""
+    return sentences.abbreviations(_docs(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query
+def learned_sentences(spark, d):
+    docs = _docs(spark, d)
+    return docs.select("doc_id", F.posexplode(sentences.split(F.col("text"), sentences.learned(docs))).alias("no", "sentence"))
+
+
+@query
+def itn_learned(spark, d):
+    """The whole text of every document, normalised by the sentences that its abbreviations leave."""
+    docs = _docs(spark, d)
+    return docs.select("doc_id", itn.apply(F.col("text"), units=sentences.split(F.col("text"), sentences.learned(docs)), make=itn.english).alias("text"))
+
+
 @query
 def itn_modes(spark, d):
     rows = [(m, c) for m in ("per_chunk", "final_pass", "both", "disabled") for c in (True, False)]
