@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..functions.validate import is_failure
 from ..settings import DEFAULT, Settings
+from ..sources.outputs import write_files
 from ..sources.storage import stored
 from . import segment
 
@@ -222,6 +223,17 @@ def write_outputs(files: DataFrame, stamps: DataFrame, folder: str, model: str =
     return paths
 
 
+def write_each(files: DataFrame, stamps: DataFrame, folder: str, level: str = "segment", model: str = "fast", itn: bool = False) -> None:
+    """Write the three outputs of every good file, in the layout of a single one, as one ordered file each under ``folder``, all in one job a kind. Names are
+    output_stem()'s; files of one stem also have their id in it. For the columns see single_outputs()."""
+    stems = _good(files).select("file_id", output_stem(F.col("name")).alias("stem"))
+    again = stems.groupBy(F.col("stem").alias("_again")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    stems = stems.join(again, F.col("stem") == F.col("_again"), "left").select("file_id", F.when(F.col("_n") > 1, F.concat_ws("_", "stem", F.coalesce(F.col("file_id").cast("string"), F.lit("none")))).otherwise(F.col("stem")).alias("stem"))
+    for kind, (rows, order, value) in single_outputs(files, stamps, level, model, itn).items():
+        named = _with(rows, stems, "stem").withColumn("_name", F.concat("_stem", F.lit(f".{kind}")))
+        write_files(named, "_name", order, value, folder)
+
+
 def write_lines(rows: DataFrame, order: list[str], value: str, path: str) -> None:
     """Sorted text files under ``path``; their names keep the order of their ranges, so nothing is gathered into one task."""
     rows.orderBy(*order).select(F.col(value).alias("value")).write.mode("overwrite").text(path)

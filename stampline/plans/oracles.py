@@ -250,3 +250,13 @@ ORACLE_SQL |= {
  whole as (select doc_id, string_split(string_agg(w || sep, '' order by i), chr(1)) as ss from marked group by doc_id)
  select doc_id, unnest(range(len(ss)))::int as no, unnest(ss) as sentence from whole""",
 }
+
+ORACLE_SQL |= {
+    "files_read_back": f"""with {_TALKS}, good as (select * from talks where {_GOOD}),
+ each as (select t.file_id, name, s.pos, coalesce(s."start", 0) as "start", case when s.pos is null then {_ESTIMATE} else s."end" end as "end", case when s.pos is null then duration else s."end" end as till, coalesce(s.text, t.text) as text,
+  row_number() over (partition by t.file_id order by s.pos) as no from good t left join stamps s on s.file_id = t.file_id),
+ batch as (select file_id, -1 as no, 0 as "start", 2000 as "end", '[FILE: ' || name || ']' as text from good union all select file_id, no, "start", "end", text from each)
+ select replace(name, '.wav', '') || '_transcription.' || kind as output, null as file, no::int as no, "start", "end", text from each, (values ('srt'), ('csv')) k(kind)
+ union all select 'all.csv', name, (row_number() over (order by file_id, no))::int, "start", till, text from each
+ union all select 'all.srt', null, (row_number() over (order by file_id, no))::int, "start", "end", text from batch""",
+}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar, validate
 from ..operators import batch, chunks, intervals, itn, levels, render, segment, sentences
 from ..settings import DEFAULT, Settings
-from ..sources import adapters, media
+from ..sources import adapters, media, outputs, storage
 from ..sources.adapters import read
 from ..streaming import segments as stream
 from ..streaming import windows
@@ -507,6 +507,17 @@ def single_outputs(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query
+def files_read_back(spark, d):
+    """What is read from the outputs of every talk, written as one file each, and from those of all talks as a batch."""
+    files, stamps = _talks(spark, d)
+    folder = storage.scratch(spark, "outputs")
+    render.write_each(files.withColumn("took", F.lit(1500).cast("long")), stamps, folder)
+    for kind, (rows, order, value) in render.outputs(files, stamps).items():
+        outputs.write_files(rows.withColumn("_name", F.lit(f"all.{kind}")), "_name", order, value, folder)
+    return outputs.read_files(spark, folder)
+
+
 @query
 def single_status(spark, d):
     files = _files(spark, d).join(_docs(spark, d).select(F.col("doc_id").alias("file_id"), "text"), "file_id").withColumn("took", F.col("file_id") % 7000)
