@@ -6,17 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar, validate
+from .ordinal import ordinal_join
 
 
-def results(files: DataFrame, hypotheses: DataFrame) -> DataFrame:
-    """file_id, name, is_video, duration, ok, error, text, n_words: hypotheses are joined by file_id; a file without one has failed."""
-    found = hypotheses.select("file_id", F.col("text").alias("said"), F.lit(True).alias("present"))
-    both = files.join(found, "file_id", "left")
+def results(files: DataFrame, hypotheses: DataFrame, pairing: str = "key") -> DataFrame:
+    """file_id, name, is_video, duration, ok, error, text, n_words of ``files`` and their ``hypotheses`` (file_id, text); a file without one has failed.
+
+    pairing: by "key" a hypothesis is that of its file_id. By "position" they come as a list from which empty ones are missing, as where long files were
+    read in chunks: the first is taken for the first file, by file_id, so texts move up to other files, whose id is in said_of, and the last files have
+    none. That is what a list without keys does; it is there to tell what went wrong, and never the default.
+    """
+    found = hypotheses.select(F.col("file_id").alias("said_of"), F.col("text").alias("said"), F.lit(True).alias("present"))
+    if pairing == "position":
+        both = ordinal_join(files, found.filter("said <> ''"), ["file_id"], ["said_of"], "left")
+    else:
+        both = files.join(found, F.col("file_id") == F.col("said_of"), "left")
     error = validate.hypothesis_error(F.col("present").isNotNull(), F.col("said"))
     both = both.withColumn("error", error).withColumn("ok", F.col("error").isNull())
     text = F.when(F.col("ok"), F.col("said")).otherwise(validate.failure_text(F.col("error")))
     n = F.when(F.col("ok"), scalar.word_count(F.col("said"))).otherwise(F.lit(0).cast("long"))
-    return both.select("file_id", "name", "is_video", "duration", "ok", "error", text.alias("text"), n.alias("n_words"))
+    return both.select("file_id", "name", "is_video", "duration", "ok", "error", text.alias("text"), n.alias("n_words"), *(["said_of"] if pairing == "position" else []))
 
 
 def totals(results_: DataFrame) -> DataFrame:

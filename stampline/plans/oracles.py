@@ -260,3 +260,14 @@ ORACLE_SQL |= {
  union all select 'all.csv', name, (row_number() over (order by file_id, no))::int, "start", till, text from each
  union all select 'all.srt', null, (row_number() over (order by file_id, no))::int, "start", "end", text from batch""",
 }
+
+ORACLE_SQL |= {
+    "shifted_results": f"""with {WORDS}, {FILES}, said as (select d.doc_id, text, row_number() over (order by d.doc_id) as no from documents d join labels l on l.doc_id = d.doc_id where quality = 1 and text <> ''),
+ named as (select *, row_number() over (order by file_id) as no from files)
+ select file_id, doc_id is not null as ok, case when doc_id is null then 'no result' end as error, doc_id as said_of, case when doc_id is null then 0 else {_COUNT.format("coalesce(text, '')")} end::bigint as n_words from named left join said using (no)""",
+    "changed_files": """with counts as (select conv_id, count(*) as n, count(*) filter (role = 'user') as users from conversations group by 1),
+ contents as (select conv_id, string_agg(text || chr(10), '' order by turn) as all_, string_agg(text || chr(10), '' order by turn) filter (role = 'user') as users from conversations group by 1)
+ select 'talk_' || conv_id || '.txt' as name, strlen(said)::bigint as length, sha256(said) as sha256, state from (
+  select conv_id, case when n % 2 = 0 then t.all_ else t.users end as said, case when n % 2 = 1 then 'same' when c.users = 0 then 'new' when c.users = n then 'touched' else 'changed' end as state
+  from counts c join contents t using (conv_id)) where said is not null""",
+}

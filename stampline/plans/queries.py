@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar, validate
 from ..operators import batch, chunks, intervals, itn, levels, render, segment, sentences
 from ..settings import DEFAULT, Settings
-from ..sources import adapters, media, outputs, storage
+from ..sources import adapters, incremental, media, outputs, storage
 from ..sources.adapters import read
 from ..streaming import segments as stream
 from ..streaming import windows
@@ -37,11 +37,11 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
     return adapters.files(_docs(spark, d))
 
 
-def _results(spark: SparkSession, d: str) -> DataFrame:
+def _results(spark: SparkSession, d: str, pairing: str = "key") -> DataFrame:
     """Files without a label have no hypothesis at all, and those of quality 0 an empty one."""
     labels = read(spark, d, "labels").select(F.col("doc_id").alias("file_id"), "quality")
     said = _docs(spark, d).withColumnRenamed("doc_id", "file_id").join(labels, "file_id")
-    return batch.results(_files(spark, d), said.select("file_id", F.when(F.col("quality") == 1, F.col("text")).otherwise("").alias("text")))
+    return batch.results(_files(spark, d), said.select("file_id", F.when(F.col("quality") == 1, F.col("text")).otherwise("").alias("text")), pairing)
 
 
 @query
@@ -316,6 +316,12 @@ def file_checks(spark, d):
     return _results(spark, d).select("file_id", "ok", "error", "text", validate.is_failure(F.col("text")).alias("failed"))
 
 
+@query
+def shifted_results(spark, d):
+    """The results as a list without keys gives them: after each file without a text, texts are those of later files."""
+    return _results(spark, d, "position").select("file_id", "ok", "error", "said_of", "n_words")
+
+
 @query
 def batch_totals(spark, d):
     return batch.totals(_results(spark, d))
@@ -377,6 +383,18 @@ def media_totals(spark, d):
     return _files(spark, d).agg(F.sum("duration").alias("duration"), F.count_if("is_video").alias("videos"))
 
 
+@query
+def changed_files(spark, d):
+    """The talks as files, scanned, written again with all their turns where these are an even number, and scanned once more."""
+    turns = read(spark, d, "conversations")
+    turns = turns.join(turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")), "conv_id").withColumn("name", F.concat(F.lit("talk_"), F.col("conv_id").cast("string"), F.lit(".txt")))
+    folder = storage.scratch(spark, "talks")
+    outputs.write_files(turns.filter("role = 'user'"), "name", ["turn"], "text", folder)
+    first = storage.stored(incremental.scan_changes(spark, folder).drop("state"))
+    outputs.write_files(turns.filter("n % 2 = 0"), "name", ["turn"], "text", folder)
+    return incremental.scan_changes(spark, folder, first).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "sha256", "state")
+
+
 @query
 def cache_key(spark, d):
     name = F.element_at(F.split("url", "/"), -1)
