@@ -271,3 +271,8 @@ ORACLE_SQL |= {
   select conv_id, case when n % 2 = 0 then t.all_ else t.users end as said, case when n % 2 = 1 then 'same' when c.users = 0 then 'new' when c.users = n then 'touched' else 'changed' end as state
   from counts c join contents t using (conv_id)) where said is not null""",
 }
+
+ORACLE_SQL |= {
+    "sketched_statistics": r"""select source, count(*) as n_words, min(length(w)) as shortest, max(length(w)) as longest, count(distinct lower(w)) as n_distinct, true as distinct_holds, true as median_holds
+ from (select source, unnest(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) as w from documents) group by source""",
+}

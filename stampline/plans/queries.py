@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar, validate
-from ..operators import batch, chunks, intervals, itn, levels, render, segment, sentences
+from ..operators import batch, chunks, intervals, itn, levels, render, segment, sentences, sketches
 from ..settings import DEFAULT, Settings
 from ..sources import adapters, incremental, media, outputs, storage
 from ..sources.adapters import read
@@ -327,6 +327,21 @@ def batch_totals(spark, d):
     return batch.totals(_results(spark, d))
 
 
+@query
+def sketched_statistics(spark, d):
+    """Statistics of the documents of each source from sketches of each document, and whether they keep their bounds against exact ones."""
+    docs = _docs(spark, d)
+    held = storage.stored(sketches.text_sketches(docs, "doc_id"))
+    merged = sketches.merged(held.join(docs.select("doc_id", "source"), "doc_id"), "source")
+    about = merged.select("source", "n_words", "shortest", "longest", sketches.distinct_words(F.col("distinct")).alias("about"), sketches.length_at(F.col("lengths"), 0.5).alias("median"))
+    words = docs.select("source", F.explode(scalar.word_list(F.col("text"))).alias("word")).join(about.select("source", "median"), "source")
+    length = F.length("word")
+    exact = words.groupBy("source").agg(F.count_distinct(F.lower("word")).alias("n_distinct"), F.avg((length < F.col("median")).cast("int")).alias("below"), F.avg((length <= F.col("median")).cast("int")).alias("upto"))
+    near = F.abs(F.col("about") - F.col("n_distinct")) <= F.col("n_distinct") * sketches.DISTINCT_ERROR + 1
+    inside = (F.col("below") - sketches.RANK_ERROR <= 0.5) & (F.col("upto") + sketches.RANK_ERROR >= 0.5)
+    return about.join(exact, "source").select("source", "n_words", "shortest", "longest", "n_distinct", near.alias("distinct_holds"), inside.alias("median_holds"))
+
+
 @query
 def file_stats(spark, d):
     seconds = F.col("file_id") % 7
