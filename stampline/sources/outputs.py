@@ -32,14 +32,17 @@ class Written(WriterCommitMessage):
 
 
 class OrderedWriter(DataSourceWriter):
-    """Each task writes its files under names of their own, and the commit gives them theirs, one rename a file; a failed write leaves none."""
+    """All attempts write into one hidden folder of this write, which the driver makes; the commit moves what committed attempts have, one rename a file. After
+    it, and after a failure, the folder goes with all that is in it, also what tasks left that were killed or are still running: they make no folder, so
+    nothing of theirs can come after that."""
 
     def __init__(self, path: str) -> None:
-        self.path = path.rstrip("/")
+        self.path, self.stage = path.rstrip("/"), f".{uuid.uuid4().hex}.part"
+        store, top = _store(self.path)
+        store.create_dir(f"{top}/{self.stage}", recursive=True)
 
     def write(self, rows: Iterator) -> Written:
         store, top = _store(self.path)
-        store.create_dir(top, recursive=True)
         files: list[tuple[str, str]] = []
         now, out = None, None
         try:
@@ -49,17 +52,13 @@ class OrderedWriter(DataSourceWriter):
                         raise ValueError(f"no name of a file: {name!r}")
                     if out:
                         out.close()
-                    now, begun = name, f"{top}/.{uuid.uuid4().hex}.part"
+                    now, begun = name, f"{top}/{self.stage}/{uuid.uuid4().hex}"
                     files.append((begun, f"{top}/{name}"))
                     out = store.open_output_stream(begun)
                 out.write(((value or "") + "\n").encode("utf-8", "surrogatepass"))
+        finally:
             if out:
                 out.close()
-        except BaseException:
-            if out and not out.closed:
-                out.close()
-            _remove(store, files)
-            raise
         return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -67,19 +66,17 @@ class OrderedWriter(DataSourceWriter):
         for message in messages:
             for begun, done in message.files if message else []:
                 store.move(begun, done)
+        self._clear()
 
     def abort(self, messages: list[Written | None]) -> None:
-        store, _ = _store(self.path)
-        for message in messages:
-            _remove(store, message.files if message else [])
-
+        self._clear()
 
-def _remove(store: fs.FileSystem, files: list[tuple[str, str]]) -> None:
-    for begun, _ in files:
+    def _clear(self) -> None:
+        store, top = _store(self.path)
         try:
-            store.delete_file(begun)
-        except FileNotFoundError:
-            pass
+            store.delete_dir(f"{top}/{self.stage}")
+        except OSError:  # a task may put a file there while the rest is deleted
+            store.delete_dir(f"{top}/{self.stage}")
 
 
 class OrderedFiles(DataSource):
