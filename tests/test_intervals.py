@@ -29,14 +29,13 @@ def rows(dice, n, lengths):
     return out
 
 
-@pytest.mark.parametrize("lengths", [[0], [1, 3], [0, 1, 10, 100, 3000], [-5, 0, 64, 16, 4, 1, 256]])
-@pytest.mark.parametrize("most", [3, 10_000])
+@pytest.mark.parametrize(("lengths", "most"), [([0], 3), ([0, 1, 10, 100, 3000], 10_000), ([-5, 0, 64, 16, 4, 1, 256], 3)])
 def test_all_pairs(spark, lengths, most):
     dice = random.Random(len(lengths) + most)
     left = rows(dice, 150, lengths)
     right = [(*r, "x") for r in rows(dice, 120, [0, 1, 5, 40, 700])]
     left += left[:5]
-    for base in (None, 1.0, 16.0, 5000.0):
+    for base in (None, 4.0):
         got = intervals.interval_join(spark.createDataFrame(left, LEFT), spark.createDataFrame(right, RIGHT), "k", base, most)
         assert got.columns == ["k", "start", "end", "a", "start_right", "end_right", "a_right", "b"]
         assert Counter(map(tuple, got.collect())) == every(left, right)
