@@ -18,9 +18,10 @@ def srt_block(no: Column, start: Column, end: Column, text: Column) -> Column:
 
 
 def srt(cues: DataFrame, order: str = "seg_no") -> DataFrame:
-    """file_id, cue_no, cue: numbered from 1 in each file."""
-    no = F.row_number().over(Window.partitionBy("file_id").orderBy(order))
-    return cues.withColumn("cue_no", no).select("file_id", "cue_no", srt_block(F.col("cue_no"), F.col("start"), F.col("end"), F.col("text")).alias("cue"))
+    """file_id, cue_no, cue: numbered from 1 in each file, in their order, unless they come with a cue_no."""
+    if "cue_no" not in cues.columns:
+        cues = cues.withColumn("cue_no", F.row_number().over(Window.partitionBy("file_id").orderBy(order)))
+    return cues.select("file_id", "cue_no", srt_block(F.col("cue_no"), F.col("start"), F.col("end"), F.col("text")).alias("cue"))
 
 
 def srt_estimated(texts: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def csv_file(stamps: DataFrame, header: str = CSV_HEADER) -> DataFrame:
 
 def stamp_cues(stamps: DataFrame) -> DataFrame:
     """file_id, cue_no, cue: stamps of a segment or a character are cues as they are, one each, in their order."""
-    return srt(stamps, "pos")
+    return srt(stamps.drop("cue_no"), "pos")
 
 
 def txt_lines(cues: DataFrame) -> DataFrame:

@@ -12,9 +12,10 @@ pieces that are folded apart.
 from __future__ import annotations
 
 import json
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate, chain, pairwise
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -67,13 +68,15 @@ BLOCK = 100_000
 LOOK = 512
 #: The piece of what comes before a file's first cut.
 FIRST = -(2**62)
+#: What Spark's (?U)\S is; Python's own takes some control characters for white space.
+_SAID = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def _fold(rows: Iterator[tuple], words: int, longest: float, silence: float, merge: bool, repaired: bool, left: list | None = None) -> Iterator[tuple]:
-    """((file, piece), prior, opened, more, word, raw start, start, end, final, any final in the file) -> (file, piece, seg_no, start, end, n_words, text).
+    """((file, piece), prior, opened, more, word, raw start, start, end, final, any final in the file) -> (file, piece, seg_no, start, end, n_words, text, cue_no).
 
     prior: where the first segment of the piece begins, if not at its first word; opened: whether that word opens it after a silence; more: whether
-    the file has a later piece. left: takes begin, number of words and last end of what each piece leaves open.
+    the file has a later piece. cue_no: how many segments of the piece so far aren't blank. left: takes begin, number of words and last end of what each piece leaves open.
     """
 
     def segments() -> Iterator[tuple]:
@@ -118,11 +121,12 @@ def _fold(rows: Iterator[tuple], words: int, longest: float, silence: float, mer
                 yield *held[:2], end if following is None else max(held[1], min(end, following)), *held[3:]
             held = row
 
-    now, no = None, 0
+    now, no, cue = None, 0, 0
     for piece, begin, end, text, _, _ in bounded() if repaired else merged() if merge else segments():
-        no = no + 1 if piece == now else 0
-        now = piece
-        yield *piece, no, begin, end, len(text), " ".join(text)
+        no, cue = (no + 1, cue) if piece == now else (0, 0)
+        now, said = piece, " ".join(text)
+        cue += _SAID.search(said) is not None
+        yield *piece, no, begin, end, len(text), said, cue
 
 
 class Block:
@@ -249,18 +253,26 @@ def _batches(rows: Iterator[tuple], names: list[str], types: list[str]) -> Itera
     yield batch(out)
 
 
+def _list(column: pa.Array) -> list:
+    """to_pylist() by way of NumPy, which takes a fraction of the time; numbers with nulls would become floats there."""
+    through = pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or not column.null_count
+    return column.to_numpy(zero_copy_only=False).tolist() if through else column.to_pylist()
+
+
 def _schema(names: list[str], types: list[str]) -> str:
     return ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True))
 
 
-_NAMES = ["file_id", "piece", "seg_no", "start", "end", "n_words", "text"]
+_NAMES = ["file_id", "piece", "seg_no", "start", "end", "n_words", "text", "cue_no"]
 
 
-def _first_blocks(rows: DataFrame, types: list[str], rules: Rules, merge: bool, repaired: bool, block: int) -> DataFrame:
+def _first_blocks(rows: DataFrame, types: list[str], rules: Rules, merge: bool, repaired: bool, block: int, together: bool) -> DataFrame:
     """Of each first block its segments, as if its file ended there, with summary null; of every block a row with its maps as summary, by whether the
     file is punctuated, and whether it has the end of a sentence as any."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _dealt(rows, block).repartition(parts, "file_id", "block").sortWithinPartitions("file_id", "block", "pos")
+    dealt = _dealt(rows, block)
+    if not together:
+        dealt = dealt.repartition(parts, "file_id", "block").sortWithinPartitions("file_id", "block", "pos")
     names, kinds = [*_NAMES, "block", "any", "summary"], [*types, "bigint", "boolean", "string"]
 
     def one(file: object, number: int, columns: tuple[list, ...]) -> Iterator[tuple]:
@@ -282,25 +294,20 @@ def _first_blocks(rows: DataFrame, types: list[str], rules: Rules, merge: bool,
         else:
             for punctuated in (True,) if any_ else (True, False):
                 maps[punctuated] = Block(pos, words, raw, start, end, final, rules._replace(punctuated=punctuated)).summary()
-        yield file, None, None, None, None, None, None, number, any_, json.dumps({str(k): v for k, v in maps.items()})
+        yield file, None, None, None, None, None, None, None, number, any_, json.dumps({str(k): v for k, v in maps.items()})
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         now, held = None, None
         for b in batches:
-            columns = [c.to_pylist() for c in b.columns]
-            keys = list(zip(columns[0], columns[1], strict=True))
-            i = 0
-            while i < len(keys):
-                if held is None or keys[i] != now:
+            files, blocks, *columns = (_list(c) for c in b.columns)
+            changes = [k for k in range(1, len(files)) if files[k] != files[k - 1] or blocks[k] != blocks[k - 1]]
+            for i, to in pairwise([0, *changes, len(files)]) if files else ():
+                if held is None or (files[i], blocks[i]) != now:
                     if held:
                         yield from one(*now, tuple(held))
-                    now, held = keys[i], [[] for _ in columns[2:]]
-                to = i
-                while to < len(keys) and keys[to] == now:
-                    to += 1
-                for h, c in zip(held, columns[2:], strict=True):
+                    now, held = (files[i], blocks[i]), [[] for _ in columns]
+                for h, c in zip(held, columns, strict=True):
                     h += c[i:to]
-                i = to
         if held:
             yield from one(*now, tuple(held))
 
@@ -356,13 +363,13 @@ def _numbered(folded: DataFrame) -> DataFrame:
     """Numbers that go on over the pieces of a file. The segments are stored, so that they are folded once."""
     folded = stored(folded).withColumn("file", F.struct("file_id"))
     order = Window.partitionBy("file").orderBy("piece")
-    sizes = folded.groupBy("file", "piece").agg(F.count(F.lit(1)).alias("n"))
-    offsets = sizes.select("file", "piece", (F.sum("n").over(order) - F.col("n")).alias("offset"))
+    sizes = folded.groupBy("file", "piece").agg(F.count(F.lit(1)).alias("n"), F.max("cue_no").alias("cues"))
+    offsets = sizes.select("file", "piece", (F.sum("n").over(order) - F.col("n")).alias("offset"), (F.sum("cues").over(order) - F.col("cues")).alias("before"))
     both = folded.join(offsets, ["file", "piece"])
-    return both.withColumn("seg_no", (F.col("seg_no") + F.col("offset")).cast("int")).select(folded.drop("file").columns)
+    return both.withColumns({"seg_no": (F.col("seg_no") + F.col("offset")).cast("int"), "cue_no": (F.col("cue_no") + F.col("before")).cast("int")}).select(folded.drop("file").columns)
 
 
-def segments(words_: DataFrame, settings: Settings = DEFAULT, txt: bool = False, merge: bool = True, unit: int = 1000, repaired: bool = False, block: int | None = BLOCK) -> DataFrame:
+def segments(words_: DataFrame, settings: Settings = DEFAULT, txt: bool = False, merge: bool = True, unit: int = 1000, repaired: bool = False, block: int | None = BLOCK, together: bool = False, numbered: bool = False) -> DataFrame:
     """file_id, seg_no, start, end, n_words, text of ``words_`` (file_id, pos, word, start, end, with times in 1/unit seconds).
 
     A segment closes on a silence, on the end of a sentence, when it is too long, or (in a file without any end of a sentence)
@@ -370,7 +377,9 @@ def segments(words_: DataFrame, settings: Settings = DEFAULT, txt: bool = False,
     repaired: boundaries as repair() makes them. block: a file of more positions is folded by several tasks, each of about so many; the segments
     are the same. Those of the first blocks are stored, and where all files are within theirs, that is all; the words of longer files
     are read once more. None: every file is folded in one task, which holds one segment of it at a time, and nothing is run before the result is
-    asked for. Positions are unique in their file. Null words count as empty; no words give no segments.
+    asked for. Positions are unique in their file. Null words count as empty; no words give no segments. together: the words of each file lie in one
+    partition and in their order, as adapters.words gives them, so with blocks nothing is shuffled but the words of longer files. numbered: with
+    cue_no, which counts from 1 the segments of a file that aren't blank.
     """
     size, longest = (settings.txt_words, settings.txt_seconds) if txt else (settings.srt_words, settings.srt_seconds)
     rules = Rules(size, longest * unit, settings.silence * unit)
@@ -378,12 +387,14 @@ def segments(words_: DataFrame, settings: Settings = DEFAULT, txt: bool = False,
     parts = int(words_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = words_.select("file_id", "pos", F.coalesce("word", F.lit("")).alias("word"), F.col("start").alias("raw"), start.alias("start"), end.alias("end"), scalar.ends_sentence(F.col("word")).alias("final"))
     kind = dict(words_.dtypes)
-    types = [kind["file_id"], "bigint", "int", kind["start"], kind["start"], "int", "string"]
+    types = [kind["file_id"], "bigint", "int", kind["start"], kind["start"], "int", "string", "int"]
+
+    unasked = [] if numbered else ["cue_no"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
             for b in batches:
-                file, piece, *rest = (c.to_pylist() for c in b.columns)
+                file, piece, *rest = (_list(c) for c in b.columns)
                 yield from zip(zip(file, piece, strict=True), *rest, strict=True)
 
         return _batches(_fold(each(), rules.words, rules.longest, rules.silence, merge, repaired), _NAMES, types)
@@ -395,9 +406,9 @@ def segments(words_: DataFrame, settings: Settings = DEFAULT, txt: bool = False,
     if not block:
         rows = rows.repartition(parts, "file_id").withColumn("punctuated", F.max("final").over(Window.partitionBy("file_id"))).sortWithinPartitions("file_id", "pos")
         none = F.lit(None).cast(kind["start"])
-        return folded(rows.withColumns({"piece": F.lit(FIRST), "prior": none, "opened": F.lit(False), "more": none})).drop("piece")
-    made = stored(_first_blocks(rows, types, rules, merge, repaired, block))
-    done, maps = made.filter("summary is null").select(_NAMES).drop("piece"), made.filter("summary is not null").select("file_id", "block", "any", "summary")
+        return folded(rows.withColumns({"piece": F.lit(FIRST), "prior": none, "opened": F.lit(False), "more": none})).drop("piece", *unasked)
+    made = stored(_first_blocks(rows, types, rules, merge, repaired, block, together))
+    done, maps = made.filter("summary is null").select(_NAMES).drop("piece", *unasked), made.filter("summary is not null").select("file_id", "block", "any", "summary")
     if not maps.filter("block <> 0").limit(1).count():
         return done
     of_file = Window.partitionBy("file_id")
@@ -406,7 +417,7 @@ def segments(words_: DataFrame, settings: Settings = DEFAULT, txt: bool = False,
     pieces = _pieces(rows, maps, _cuts(maps, kind["file_id"], kind["start"], rules), block)
     pieces = pieces.repartition(parts, "file_id", "piece").sortWithinPartitions("file_id", "piece", "pos")
     short = done.join(files, F.struct("file_id") == F.col("_file"), "left_anti")
-    return short.unionByName(_numbered(folded(pieces)).drop("piece"))
+    return short.unionByName(_numbered(folded(pieces)).drop("piece", *unasked))
 
 
 def repair(segments_: DataFrame) -> DataFrame:
@@ -416,9 +427,9 @@ def repair(segments_: DataFrame) -> DataFrame:
     return segments_.withColumn("end", end).filter(F.col("text").rlike(r"(?U)\S"))
 
 
-def cues(words_: DataFrame, settings: Settings = DEFAULT, txt: bool = False, unit: int = 1000, block: int | None = BLOCK) -> DataFrame:
+def cues(words_: DataFrame, settings: Settings = DEFAULT, txt: bool = False, unit: int = 1000, block: int | None = BLOCK, together: bool = False, numbered: bool = False) -> DataFrame:
     """Segments with their boundaries repaired, without blank ones; the fold looks one segment ahead, so nothing is shuffled again."""
-    return segments(words_, settings, txt, True, unit, True, block).filter(F.col("text").rlike(r"(?U)\S"))
+    return segments(words_, settings, txt, True, unit, True, block, together, numbered).filter(F.col("text").rlike(r"(?U)\S"))
 
 
 def silence_gaps(words_: DataFrame, least: int) -> DataFrame:

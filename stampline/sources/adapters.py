@@ -39,8 +39,9 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def words(docs: DataFrame) -> DataFrame:
     """file_id, pos, word, start, end: each document as timed words. A document's words lie in one partition and in their order, as they come from one
-    row; nothing is shuffled."""
-    each = _paced(docs)
+    row. Documents are dealt before, as few tasks may read them; words aren't."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = _paced(docs.repartition(parts, "doc_id"))
     return each.mapInArrow(_ends, f"file_id {dict(each.dtypes)['file_id']}, pos long, word string, start long, end long")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from stampline.operators import intervals
+from stampline.operators import intervals, render, segment
 from stampline.sources import adapters
 
 
@@ -16,7 +16,8 @@ def test_words_are_not_shuffled(spark, data):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
         words = adapters.words(docs)
-        assert "Exchange" not in words._jdf.queryExecution().executedPlan().toString()
+        plan = words._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Window" not in plan and plan.index("Exchange") > plan.index("Generate")
         got = sorted(map(tuple, words.collect()))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
@@ -42,3 +43,37 @@ def test_few_windows_visit_many_words(spark, monkeypatch):
 @pytest.mark.parametrize(("mine", "other", "kept"), [({}, {}, [0]), ({0: 10**6}, {0: 9, 3: 5, 5: 1}, [0]), ({0: 10**9}, {9: 1}, [0, 9]), ({0: 10, 2: 10**6}, {0: 10}, [0, 2])])
 def test_levels_kept(mine, other, kept):
     assert intervals._kept(mine, other) == kept
+
+
+def _rows(frame):
+    return sorted((tuple(r[c] for c in ("file_id", "seg_no", "start", "end", "n_words", "text")) for r in frame.collect()), key=repr)
+
+
+@pytest.mark.parametrize("txt", [False, True])
+def test_words_that_lie_together_are_folded_there(spark, data, txt):
+    """As dealt words are, with no exchange but that of documents; of files longer than a block, too."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "source")
+    words = adapters.words(docs)
+    want = _rows(segment.segments(words, txt=txt, block=None))
+    assert _rows(segment.segments(words, txt=txt, together=True)) == want == _rows(segment.segments(words, txt=txt, block=300, together=True))
+    want = _rows(segment.cues(words, txt=txt, block=None))
+    assert _rows(segment.cues(words, txt=txt, together=True)) == want == _rows(segment.cues(words, txt=txt, block=300, together=True))
+    stored, written = segment.stored, []
+    try:
+        segment.stored = lambda df: written.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df)
+        cues = render.srt(segment.cues(words, txt=txt, together=True, numbered=True))
+    finally:
+        segment.stored = stored
+    plans = [*written, cues._jdf.queryExecution().executedPlan().toString()]
+    assert len(plans) == 2 and [p.count("Exchange") for p in plans] == [1, 0] and plans[0].index("Exchange") > plans[0].index("Generate")
+
+
+def test_cue_numbers_leave_out_blank_segments(spark):
+    """Of white space as Spark has it (no-break and ideographic spaces are, the separator \x1c isn't), in files of one and of several pieces."""
+    said = ["　.", "\xa0", "a.", " \x85", "\x1c", "b c d.", None, "e?"]
+    rows = [(f, i, said[(i * 5 + i // 8 + f) % 8], 3000 * i, 3000 * i + 200) for f in (1, 2) for i in range(200)]
+    words = spark.createDataFrame(rows, "file_id long, pos long, word string, start long, end long")
+    want = sorted(map(tuple, render.srt(segment.cues(words, block=None)).collect()))
+    assert 200 < len(want) < 400
+    for block in (None, 10, 10**9):
+        assert sorted(map(tuple, render.srt(segment.cues(words, block=block, numbered=True)).collect())) == want
