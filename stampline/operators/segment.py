@@ -15,6 +15,7 @@ import json
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import accumulate, chain, pairwise
 from typing import NamedTuple
 
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..settings import DEFAULT, Settings
+from ..sources.packed import pack, unpack
 from ..sources.storage import stored
 
 
@@ -76,7 +78,7 @@ def _fold(rows: Iterator[tuple], words: int, longest: float, silence: float, mer
     """((file, piece), prior, opened, more, word, raw start, start, end, final, any final in the file) -> (file, piece, seg_no, start, end, n_words, text, cue_no).
 
     prior: where the first segment of the piece begins, if not at its first word; opened: whether that word opens it after a silence; more: whether
-    the file has a later piece. cue_no: how many segments of the piece so far aren't blank. left: takes begin, number of words and last end of what each piece leaves open.
+    the file has a later piece, which the last word must say. cue_no: how many segments of the piece so far aren't blank. left: takes begin, number of words and last end of what each piece leaves open.
     """
 
     def segments() -> Iterator[tuple]:
@@ -91,6 +93,7 @@ def _fold(rows: Iterator[tuple], words: int, longest: float, silence: float, mer
                 if opened:
                     open_.text, open_.last, open_.ended = [word], end, final
                     continue
+            goes_on = more
             if closed := open_.add(word, start, end, final, rules):
                 yield now, *closed, open_.begin if goes_on is not None else None
         if open_:
@@ -191,6 +194,42 @@ class Block:
             self.known[node] = exit_, found
         return self.known[at] if not path else self.known[path[0][0]]
 
+    def _met(self) -> tuple[int, bool] | None:
+        """The first word at which a segment begins whatever state the block is entered with, and whether a silence opens it; None where there is none."""
+        quiet, ended = self.quiet[0], self.ended[0]
+        if self.rules.punctuated and min(quiet, ended) == self.size:
+            return None  # a segment may be open all through the block
+        stop = min(quiet - 1, ended, self.size - 1, *([] if self.rules.punctuated else [max(self.rules.words, 1) - 1]))
+        if not self.rules.punctuated and stop == self.size - 1 < quiet:
+            return None
+        counted = not self.rules.punctuated
+        ways = {(k + 1, False) for k in range(stop + 1) if counted or k == ended or not k or self.end[k] > self.most[k - 1]} | {(0, True)} | ({(quiet, True)} if quiet < self.size else set())
+        left = list(ways)
+        heapify(left)
+        while True:
+            at = heappop(left)
+            if at[0] == self.size:
+                return None
+            if not left:
+                return at
+            following = self._segment(*at)[0]
+            if following is None:
+                return None
+            if following not in ways:
+                ways.add(following)
+                heappush(left, following)
+
+    def sure(self) -> tuple[tuple, tuple] | None:
+        """(word, whether a silence opens it, begin) of the first and of the last segment that begin there whatever came before the block, and that
+        nothing joins to the one before: that ended a sentence, or this one has more than two words."""
+        at, cuts = self._met(), []
+        while at is not None and at[0] < self.size:
+            following, n, begin = self._segment(*at)
+            if not at[1] and self.final[at[0] - 1] or self.weight[at[0] + n] - self.weight[at[0]] > 2:
+                cuts = [*cuts[:1], (*at, begin)]
+            at = following
+        return (cuts[0], cuts[-1]) if cuts else None
+
     def summary(self) -> dict:
         """The map: where an open segment may close, and what comes of each."""
         punctuated = self.rules.punctuated
@@ -236,7 +275,7 @@ def _dealt(rows: DataFrame, block: int) -> DataFrame:
     return rows.withColumn("block", F.greatest(F.floor(F.coalesce("pos", F.lit(0)) / block), F.lit(0)).cast("long"))
 
 
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+_ARROW = {"binary": pa.binary(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
 
 
 def _batches(rows: Iterator[tuple], names: list[str], types: list[str]) -> Iterator[pa.RecordBatch]:
@@ -359,6 +398,112 @@ def _pieces(rows: DataFrame, maps: DataFrame, cuts: DataFrame, block: int) -> Da
     return both.select(*rows.columns, F.coalesce("at.block", F.lit(FIRST)).alias("piece"), F.col("at.begin").alias("prior"), opened.alias("opened"), F.col("then.begin").alias("more"), "punctuated")
 
 
+def _packs(rows: DataFrame, kind: str, block: int) -> DataFrame:
+    """file_id, block, whole, words: of ``rows``, which lie file by file and in order, the words of each block packed; whole: the file has no other block."""
+    names, kinds = ["file_id", "block", "whole", "words"], [kind, "bigint", "boolean", "binary"]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        now, held, first = None, [], True  # a block is held until the next one says whether its file goes on
+
+        def row(last: bool) -> tuple:
+            return *now, first and last, pack([pa.concat_arrays(c) for c in zip(*held, strict=True)])
+
+        for b in batches:
+            files, blocks, *columns = b.columns
+            files, blocks = _list(files), _list(blocks)
+            changes = [k for k in range(1, len(files)) if files[k] != files[k - 1] or blocks[k] != blocks[k - 1]]
+            for i, to in pairwise([0, *changes, len(files)]) if files else ():
+                if held and (files[i], blocks[i]) != now:
+                    yield row(files[i] != now[0])
+                    first, held = files[i] != now[0], []
+                now = files[i], blocks[i]
+                held.append([c.slice(i, to - i) for c in columns])
+        if held:
+            yield row(True)
+
+    # a raw start is there where the clamped one differs
+    chosen = _dealt(rows, block).select("file_id", "block", "word", F.nullif("raw", "start").alias("raw"), "start", "end", "final")
+    return chosen.mapInArrow(lambda batches: _batches(each(batches), names, kinds), _schema(names, kinds))
+
+
+#: Whether a row holds for a file without (0) or with (1) an end of a sentence, or for any (2).
+_ANY = 2
+
+
+def _spread(rows: DataFrame, types: list[str], rules: Rules, merge: bool, repaired: bool, block: int) -> DataFrame:
+    """_NAMES of ``rows``, which lie file by file and in order. Their blocks are dealt, packed. Each is folded between the first and the last word from which
+    on all is known whatever came before (Block.sure); what lies around, some words of a block, is dealt again by file and folded as the seams between.
+    A block that knows no such word is part of a seam."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seam = ["block", "head", "tail", "begin", "prior", "opened", "any", "reading"]
+    names, kinds = [*_NAMES, *seam], [*types, "bigint", "binary", "binary", types[3], types[3], "boolean", "boolean", "int"]
+    numbers, nothing = (rules.words, rules.longest, rules.silence, merge, repaired), (None,) * len(_NAMES[1:])
+
+    def one(file: object, number: int, whole: bool, packed_: bytes) -> Iterator[tuple]:
+        columns = unpack(packed_)
+        words, raw, start, end, final = lists = [_list(c) for c in columns]
+        size = len(words)
+        lists[1] = raw = [s if r is None else r for r, s in zip(raw, start, strict=True)]
+        any_ = any(final)
+
+        def fold(piece: int, prior: object, opened: bool, more: object, i: int, to: int, punctuated: bool, reading: int) -> Iterator[tuple]:
+            given = (((file, piece), prior, opened, more, *row, punctuated) for row in zip(*(c[i:to] for c in lists), strict=True))
+            return ((*s, *(None,) * 7, reading) for s in _fold(given, *numbers))
+
+        def packed(i: int, to: int) -> bytes:
+            return pack([c.slice(i, to - i) for c in columns])
+
+        if whole:
+            yield from fold(0, None, False, None, 0, size, any_, _ANY)
+            return
+        for punctuated in (True,) if any_ else (True, False):
+            reading = _ANY if any_ else int(punctuated)
+            if cuts := Block(range(size), words, raw, start, end, final, rules._replace(punctuated=punctuated)).sure():
+                (i, opened, begin), (j, quiet, prior) = cuts
+                yield from fold(2 * number + 1, begin, opened, prior, i, j, punctuated, reading)
+                yield file, *nothing, number, packed(0, i), packed(j, size), begin, prior, quiet, any_, reading
+            else:
+                yield file, *nothing, number, packed(0, size), None, None, None, False, any_, reading
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                yield from one(*row)
+
+    def seams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """The words of the seams, for _fold."""
+        now, piece, prior, opened = None, 0, None, False
+        for b in batches:
+            for file, number, head, tail, begin, after, quiet, punctuated in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if now is None or now[0] != file:
+                    now, piece, prior, opened = (file,), 0, None, False
+                for packed, more in ((head, begin), (tail, None)):
+                    if packed is None:
+                        continue
+                    words, raw, start, end, final = (_list(c) for c in unpack(packed))
+                    for w, r, s, e, f in zip(words, raw, start, end, final, strict=True):
+                        yield (file, piece), prior, opened, more, w, s if r is None else r, s, e, f, punctuated
+                    if packed is head and tail is not None:
+                        piece, prior, opened = 2 * number + 2, after, quiet
+
+    dealt = _packs(rows, types[0], block).repartition(parts, "file_id", "block")
+    made = stored(dealt.mapInArrow(lambda batches: _batches(blocks(batches), names, kinds), _schema(names, kinds)))
+    folded = made.filter("piece is not null").select(*_NAMES, "reading")
+    if not made.filter("piece is null").limit(1).count():
+        return folded.select(_NAMES)
+    around = made.filter("piece is null").withColumn("punctuated", F.max("any").over(Window.partitionBy("file_id")))
+    read = around.filter(f"reading = {_ANY} or reading = cast(punctuated as int)").sortWithinPartitions("file_id", "block").select("file_id", *seam[:6], "punctuated")
+    sewn = stored(read.mapInArrow(lambda batches: _batches(_fold(seams(batches), *numbers), _NAMES, types), _schema(_NAMES, types)).withColumn("reading", F.lit(_ANY)))
+    folded = folded.unionByName(sewn).withColumn("file", F.struct("file_id"))
+    sizes = folded.groupBy("file", "piece", "reading").agg(F.count(F.lit(1)).alias("n"), F.max("cue_no").alias("cues"))
+    spoken = made.filter("piece is null").groupBy(F.struct("file_id").alias("file")).agg(F.max("any").cast("int").alias("punctuated"))
+    sizes = sizes.join(spoken, "file", "left").filter(f"reading = {_ANY} or reading = punctuated")
+    order = Window.partitionBy("file").orderBy("piece")
+    offsets = stored(sizes.select("file", "piece", "reading", (F.sum("n").over(order) - F.col("n")).alias("offset"), (F.sum("cues").over(order) - F.col("cues")).alias("before")))
+    both = folded.join(F.broadcast(offsets) if offsets.count() <= 100_000 else offsets, ["file", "piece", "reading"])
+    return both.withColumns({"seg_no": (F.col("seg_no") + F.col("offset")).cast("int"), "cue_no": (F.col("cue_no") + F.col("before")).cast("int")}).select(_NAMES)
+
+
 def _numbered(folded: DataFrame) -> DataFrame:
     """Numbers that go on over the pieces of a file. The segments are stored, so that they are folded once."""
     folded = stored(folded).withColumn("file", F.struct("file_id"))
@@ -369,7 +514,7 @@ def _numbered(folded: DataFrame) -> DataFrame:
     return both.withColumns({"seg_no": (F.col("seg_no") + F.col("offset")).cast("int"), "cue_no": (F.col("cue_no") + F.col("before")).cast("int")}).select(folded.drop("file").columns)
 
 
-def segments(words_: DataFrame, settings: Settings = DEFAULT, txt: bool = False, merge: bool = True, unit: int = 1000, repaired: bool = False, block: int | None = BLOCK, together: bool = False, numbered: bool = False) -> DataFrame:
+def segments(words_: DataFrame, settings: Settings = DEFAULT, txt: bool = False, merge: bool = True, unit: int = 1000, repaired: bool = False, block: int | None = BLOCK, together: bool = False, numbered: bool = False, spread: bool = False) -> DataFrame:
     """file_id, seg_no, start, end, n_words, text of ``words_`` (file_id, pos, word, start, end, with times in 1/unit seconds).
 
     A segment closes on a silence, on the end of a sentence, when it is too long, or (in a file without any end of a sentence)
@@ -378,7 +523,8 @@ def segments(words_: DataFrame, settings: Settings = DEFAULT, txt: bool = False,
     are the same. Those of the first blocks are stored, and where all files are within theirs, that is all; the words of longer files
     are read once more. None: every file is folded in one task, which holds one segment of it at a time, and nothing is run before the result is
     asked for. Positions are unique in their file. Null words count as empty; no words give no segments. together: the words of each file lie in one
-    partition and in their order, as adapters.words gives them, so with blocks nothing is shuffled but the words of longer files. numbered: with
+    partition and in their order, as adapters.words gives them, so with blocks nothing is shuffled but the words of longer files. spread: such words are read once and dealt packed, a row a block, and
+    each block is folded apart but for its first and last words; for blocks that are many and files that few tasks read. numbered: with
     cue_no, which counts from 1 the segments of a file that aren't blank.
     """
     size, longest = (settings.txt_words, settings.txt_seconds) if txt else (settings.srt_words, settings.srt_seconds)
@@ -407,6 +553,8 @@ def segments(words_: DataFrame, settings: Settings = DEFAULT, txt: bool = False,
         rows = rows.repartition(parts, "file_id").withColumn("punctuated", F.max("final").over(Window.partitionBy("file_id"))).sortWithinPartitions("file_id", "pos")
         none = F.lit(None).cast(kind["start"])
         return folded(rows.withColumns({"piece": F.lit(FIRST), "prior": none, "opened": F.lit(False), "more": none})).drop("piece", *unasked)
+    if together and spread:
+        return _spread(rows, types, rules, merge, repaired, block).drop("piece", *unasked)
     made = stored(_first_blocks(rows, types, rules, merge, repaired, block, together))
     done, maps = made.filter("summary is null").select(_NAMES).drop("piece", *unasked), made.filter("summary is not null").select("file_id", "block", "any", "summary")
     if not maps.filter("block <> 0").limit(1).count():
@@ -427,9 +575,9 @@ def repair(segments_: DataFrame) -> DataFrame:
     return segments_.withColumn("end", end).filter(F.col("text").rlike(r"(?U)\S"))
 
 
-def cues(words_: DataFrame, settings: Settings = DEFAULT, txt: bool = False, unit: int = 1000, block: int | None = BLOCK, together: bool = False, numbered: bool = False) -> DataFrame:
+def cues(words_: DataFrame, settings: Settings = DEFAULT, txt: bool = False, unit: int = 1000, block: int | None = BLOCK, together: bool = False, numbered: bool = False, spread: bool = False) -> DataFrame:
     """Segments with their boundaries repaired, without blank ones; the fold looks one segment ahead, so nothing is shuffled again."""
-    return segments(words_, settings, txt, True, unit, True, block, together, numbered).filter(F.col("text").rlike(r"(?U)\S"))
+    return segments(words_, settings, txt, True, unit, True, block, together, numbered, spread).filter(F.col("text").rlike(r"(?U)\S"))
 
 
 def silence_gaps(words_: DataFrame, least: int) -> DataFrame:
