@@ -487,7 +487,7 @@ def _spread(rows: DataFrame, types: list[str], rules: Rules, merge: bool, repair
                         piece, prior, opened = 2 * number + 2, after, quiet
 
     dealt = _packs(rows, types[0], block).repartition(parts, "file_id", "block")
-    made = stored(dealt.mapInArrow(lambda batches: _batches(blocks(batches), names, kinds), _schema(names, kinds)))
+    made = stored(dealt.mapInArrow(lambda batches: _batches(blocks(batches), names, kinds), _schema(names, kinds)), "zstd")
     folded = made.filter("piece is not null").select(*_NAMES, "reading")
     if not made.filter("piece is null").limit(1).count():
         return folded.select(_NAMES)

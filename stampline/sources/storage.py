@@ -44,9 +44,9 @@ def _clean() -> None:
             return
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str | None = None) -> DataFrame:
     """``df``, computed once, written to the shared folder as a table and read back, so that a lost executor can't change it and readers take only
-    the columns that they need."""
+    the columns that they need. compression: None is the session's."""
     path = scratch(df.sparkSession, "rows")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -68,9 +68,9 @@ def test_words_are_dealt_once_and_packed(spark, data, monkeypatch):
 
     plans, real, made = [], segment.stored, []
 
-    def watched(df):
+    def watched(df, *options):
         plans.append(df._jdf.queryExecution().executedPlan().toString())
-        made.append(real(df))
+        made.append(real(df, *options))
         return made[-1]
 
     monkeypatch.setattr(segment, "stored", watched)
